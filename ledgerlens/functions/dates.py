@@ -9,29 +9,47 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import ustrip
 
-# Tried in order; the first pattern that parses the whole text wins. ISO forms come first,
-# then day-first forms, and month-first only as the last resort (so 01/25/2025 is 25 Jan).
-DEFAULT_DATE_FORMATS: tuple[str, ...] = (
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyyMMdd",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d.M.yyyy",
-    "d/M/yy",
-    "d MMM yyyy",
-    "d-MMM-yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "M/d/yyyy",
+_D = "[0-9]{1,2}"
+_Y = "[0-9]{4}"
+_MON = "[A-Za-z]{3}"
+_MONTH = "[A-Za-z]+"
+
+# (pattern, shape) tried in order; the first pattern that parses the whole text wins. ISO forms
+# come first, then day-first forms, and month-first only as the last resort (so 01/25/2025 is
+# 25 Jan). The shape is a cheap regular expression that every text the pattern accepts
+# matches: a pattern is only attempted on texts of its shape, because a failed parse is costly.
+DEFAULT_DATE_FORMATS: tuple[tuple[str, str], ...] = (
+    ("yyyy-M-d", f"^{_Y}-{_D}-{_D}$"),
+    ("yyyy/M/d", f"^{_Y}/{_D}/{_D}$"),
+    ("yyyyMMdd", "^[0-9]{8}$"),
+    ("d/M/yyyy", f"^{_D}/{_D}/{_Y}$"),
+    ("d-M-yyyy", f"^{_D}-{_D}-{_Y}$"),
+    ("d.M.yyyy", rf"^{_D}\.{_D}\.{_Y}$"),
+    ("d/M/yy", f"^{_D}/{_D}/[0-9]{{2}}$"),
+    ("d MMM yyyy", f"^{_D} {_MON} {_Y}$"),
+    ("d-MMM-yyyy", f"^{_D}-{_MON}-{_Y}$"),
+    ("d MMMM yyyy", f"^{_D} {_MONTH} {_Y}$"),
+    ("MMM d, yyyy", f"^{_MON} {_D}, {_Y}$"),
+    ("MMMM d, yyyy", f"^{_MONTH} {_D}, {_Y}$"),
+    ("M/d/yyyy", f"^{_D}/{_D}/{_Y}$"),
 )
 
 # A trailing clock time ("2025-01-02 10:00", "02/01/2025 9:15:00 PM") is ignored.
 _TRAILING_TIME = r"(?U)(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
 
 
-def parse_mixed_date(c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Parse text in any of ``formats`` to a DateType column; unparseable text gives null."""
-    text = F.regexp_replace(ustrip(c), _TRAILING_TIME, "")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in formats]).cast("date")
+def date_text(c: Column) -> Column:
+    """The date part of a raw date cell: stripped, trailing time removed."""
+    return F.regexp_replace(ustrip(c), _TRAILING_TIME, "")
+
+
+def parse_date_text(text: Column, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS) -> Column:
+    """Parse prepared date text (see :func:`date_text`); pass a column reference so the text is
+    computed once, not once per attempted pattern."""
+    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p))) for p, shape in formats]
+    return F.coalesce(*tries).cast("date")
+
+
+def parse_mixed_date(c: Column, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS) -> Column:
+    """Raw date cell -> DateType; unparseable text gives null."""
+    return parse_date_text(date_text(c), formats)

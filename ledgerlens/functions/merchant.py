@@ -22,14 +22,14 @@ def strip_noise(name: Column, tokens: Sequence[str] = D.NOISE_TOKENS) -> Column:
     return name
 
 
-def normalise_merchant(
+def merchant_base(
     description: Column,
     noise_tokens: Sequence[str] = D.NOISE_TOKENS,
-    aliases: Sequence[tuple[str, str]] = D.MERCHANT_ALIASES,
     max_chars: int = D.MERCHANT_MAX_CHARS,
 ) -> Column:
-    """Raw description -> canonical merchant name. The steps run in a fixed order and each
-    one sees the output of the previous one, so an early step can hide a later alias."""
+    """Cleaning steps before the alias map: terminal suffix, wallet prefixes, country suffix,
+    leading digits, reference tails, noise tokens, blank runs, length cut. Each step sees the
+    output of the previous one, so an early step can hide a later alias."""
     name = F.upper(description)
     name = F.regexp_replace(name, _re(D.TERMINAL_SUFFIX_RE), "")
     name = F.regexp_replace(name, _re(D.GRAB_PREFIX_RE), D.GRAB_PREFIX_REPLACEMENT)
@@ -39,7 +39,23 @@ def normalise_merchant(
     name = F.regexp_replace(name, _re(D.LEADING_DIGITS_RE), "")
     name = F.regexp_replace(name, _re(D.REFERENCE_TAIL_RE), "")
     name = strip_noise(name, noise_tokens)
-    name = F.substring(ustrip(F.regexp_replace(name, _re(D.WHITESPACE_RUN_RE), " ")), 1, max_chars)
+    return F.substring(ustrip(F.regexp_replace(name, _re(D.WHITESPACE_RUN_RE), " ")), 1, max_chars)
+
+
+def apply_aliases(name: Column, aliases: Sequence[tuple[str, str]] = D.MERCHANT_ALIASES) -> Column:
+    """The first alias contained in ``name`` replaces the whole name. Pass a column reference:
+    the name is tested once per alias."""
     if not aliases:
         return name
     return F.coalesce(first_match(name, aliases), name)
+
+
+def normalise_merchant(
+    description: Column,
+    noise_tokens: Sequence[str] = D.NOISE_TOKENS,
+    aliases: Sequence[tuple[str, str]] = D.MERCHANT_ALIASES,
+    max_chars: int = D.MERCHANT_MAX_CHARS,
+) -> Column:
+    """Raw description -> canonical merchant name (single expression; inside DataFrame
+    operators prefer staging :func:`merchant_base` as a column, then :func:`apply_aliases`)."""
+    return apply_aliases(merchant_base(description, noise_tokens, max_chars), aliases)

@@ -18,8 +18,9 @@ def classify_codes(
     """(code, description) -> (code, description, category); codes upper-cased, first
     spelling of a code kept. Category = first rule group with a keyword in the lower-cased
     description, else Uncategorised."""
-    cat = F.coalesce(first_group_match(F.lower("description"), rules), F.lit(D.UNCATEGORISED))
-    return codes.select(F.upper("code").alias("code"), "description", cat.alias("category"))
+    cat = F.coalesce(first_group_match(F.col("_lc"), rules), F.lit(D.UNCATEGORISED))
+    staged = codes.withColumn("_lc", F.lower("description"))
+    return staged.select(F.upper("code").alias("code"), "description", cat.alias("category"))
 
 
 def keyword_category(description, keywords: Sequence[tuple[str, str]] = D.MERCHANT_KEYWORDS):
@@ -43,10 +44,12 @@ def categorise_rows(
     """
     lookup = codes.select(F.col("code").alias("_code"), F.col("category").alias("_code_cat"))
     df = batch.join(broadcast_if_small(lookup), batch["transaction_code"] == F.col("_code"), "left")
+    # The lower-cased text is staged once; the keyword CASE tests it up to len(keywords) times.
+    df = df.withColumn("_lc", F.lower("description"))
     code = F.col("transaction_code")
     code_cat = F.col("_code_cat")
     known = code_cat.isNotNull()
-    kw = keyword_category(F.col("description"), keywords)
+    kw = first_match(F.col("_lc"), keywords)
     category = (
         F.when(code.isin(*cash), F.lit(D.CASH_CATEGORY))
         .when(code.isin(*bidirectional),
@@ -59,4 +62,4 @@ def categorise_rows(
     return df.withColumns({
         "row_category": category,
         "transaction_code": F.when(known, code),
-    }).drop("_code", "_code_cat")
+    }).drop("_code", "_code_cat", "_lc")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.functions import (
-    blank_to_null, clean_upper, normalise_merchant, parse_amount, parse_mixed_date, transaction_hash,
-)
+from ledgerlens.functions import blank_to_null, clean_upper, parse_amount, transaction_hash
+from ledgerlens.functions.dates import date_text, parse_date_text
+from ledgerlens.functions.merchant import apply_aliases, merchant_base
 from ledgerlens.schemas import CLEAN_COLUMNS, check_required_columns
 
 PASS_THROUGH = ("account_id", "seq", "event_time")
@@ -27,32 +29,41 @@ def parse_columns(raw: DataFrame, strip_thousands: bool = False) -> DataFrame:
     """Typed columns before any row is dropped (bad dates and zero amounts still present)."""
     df = conform_headers(raw)
     amount = parse_amount(F.col("deposit"), strip_thousands) - parse_amount(F.col("withdrawal"), strip_thousands)
-    description = clean_upper(F.col("description"))
+    # Inputs used by several branches are staged as columns so each is computed once per row.
+    df = df.withColumns({
+        "_date_text": date_text(F.col("transaction_date")),
+        "_description": clean_upper(F.col("description")),
+    })
+    description = F.col("_description")
     return df.withColumns({
         "transaction_code": blank_to_null(clean_upper(F.col("transaction_code"))),
-        "transaction_date": parse_mixed_date(F.col("transaction_date")),
+        "transaction_date": parse_date_text(F.col("_date_text")),
         "amount": amount.cast("decimal(18,2)"),
         "description": F.when(description == "", F.lit(D.UNKNOWN_PAYEE)).otherwise(description),
-    })
+    }).drop("_date_text", "_description")
 
 
 def clean_statements(
     raw: DataFrame, strip_thousands: bool = False, observation: Observation | None = None
 ) -> DataFrame:
     """Typed, cleaned statement rows. Rows with an unparseable date or a zero amount are
-    dropped; pass an :class:`Observation` to count them in the same pass."""
+    dropped and counted in the same pass; pass an :class:`Observation` to read the counts.
+
+    The counting node also keeps the optimizer from copying the date and amount parsing into
+    the row filter below it, so each is evaluated once per row.
+    """
     df = parse_columns(raw, strip_thousands)
-    if observation is not None:
-        df = df.observe(
-            observation,
-            F.count(F.lit(1)).alias("raw_rows"),
-            F.count_if(F.col("transaction_date").isNull()).alias("bad_dates"),
-            F.count_if(F.col("transaction_date").isNotNull() & (F.col("amount") == 0)).alias("zero_amounts"),
-        )
+    counters = (
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(F.col("transaction_date").isNull()).alias("bad_dates"),
+        F.count_if(F.col("transaction_date").isNotNull() & (F.col("amount") == 0)).alias("zero_amounts"),
+    )
+    df = df.observe(observation if observation is not None else f"clean_{uuid.uuid4().hex}", *counters)
     df = df.filter(F.col("transaction_date").isNotNull() & (F.col("amount") != 0))
+    df = df.withColumn("_merchant_base", merchant_base(F.col("description")))
     df = df.withColumns({
         "year_month": F.date_format("transaction_date", "yyyy-MM"),
-        "merchant_name": normalise_merchant(F.col("description")),
+        "merchant_name": apply_aliases(F.col("_merchant_base")),
         "transaction_hash": transaction_hash(F.col("transaction_date"), F.col("amount"), F.col("description")),
     })
     extra = [c for c in PASS_THROUGH if c in df.columns]

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_mixed_date
 from ledgerlens.operators import audits, quality, rollups, views
-from ledgerlens.operators.categorise import classify_codes, keyword_category
+from ledgerlens.defaults import MERCHANT_KEYWORDS
+from ledgerlens.functions.rules import first_match
+from ledgerlens.operators.categorise import classify_codes
 from ledgerlens.operators.clean import parse_columns
 from ledgerlens.operators.load import seeded_categories
 from ledgerlens.plans.star import DEFAULT_STATE, SEARCH_TEXT, SELECTED_STATE, build_star, two_loads
@@ -64,8 +66,8 @@ def dedup_batch(spark, sf_dir):
 
 def keyword_categories(spark, sf_dir):
     s = build_star(spark, sf_dir)
-    return s.clean.groupBy("description").agg(F.count("*").alias("n")).select(
-        "description", keyword_category(F.col("description")).alias("keyword_category"), "n")
+    per = s.clean.groupBy("description").agg(F.count("*").alias("n")).withColumn("_lc", F.lower("description"))
+    return per.select("description", first_match(F.col("_lc"), MERCHANT_KEYWORDS).alias("keyword_category"), "n")
 
 
 # -- codes ----------------------------------------------------------------------------------

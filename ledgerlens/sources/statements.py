@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.sources.parallelism import ensure_parallelism
+
 
 def read_statements(spark: SparkSession, path: str | list[str], with_order: bool = True) -> DataFrame:
     """Read statement CSV files (header row) with every column as text and blanks as "".
@@ -34,4 +36,4 @@ def read_statements(spark: SparkSession, path: str | list[str], with_order: bool
                 F.monotonically_increasing_id().alias("row"),
             ),
         ).drop("_metadata")
-    return df
+    return ensure_parallelism(df)

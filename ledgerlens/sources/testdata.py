@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.parallelism import ensure_parallelism
+
 # FIXED VALUES of the test fixture: description templates chosen by l_partkey % 16
 # (each one exercises a cleaning step or a rule; template 15 is a blank description).
 DESCRIPTION_TEMPLATES: list[str] = [
@@ -62,10 +64,10 @@ FIRST_LOAD_BEFORE = "1998-01-01"
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_returnflag", "l_shipdate",
-    )
+    ))
 
 
 def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def fixture_budgets(spark: SparkSession) -> DataFrame:
 def document_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(code, description) rows built from the documents table: a large free-text stand-in for a
     code list, used to run the code-description classifier over whole texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ensure_parallelism(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("code"),
         F.col("text").alias("description"),
