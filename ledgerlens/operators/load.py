@@ -8,7 +8,6 @@ load can simply be run again, because both appends skip what is already there.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -104,7 +103,7 @@ class Warehouse:
         }[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.parquet(self.path(table))
+        df = self.spark.read.schema(schema).parquet(self.path(table))
         return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
     # -- writes ---------------------------------------------------------------------------
