@@ -353,3 +353,59 @@ QUERIES: dict[str, Query] = {
     "uniqueness_check": uniqueness_check,
     "null_check": null_check,
 }
+
+
+# -- streaming --------------------------------------------------------------------------------
+
+def _event_batch_star(spark, sf_dir):
+    """Batch view of the events-derived statement rows (used for the static merchant side)."""
+    from ledgerlens.operators.categorise import categorise_rows
+    from ledgerlens.operators.clean import clean_statements, dedup_first
+    from ledgerlens.operators.dimension import first_writer_dimension
+
+    codes = classify_codes(testdata.fixture_codes(spark))
+    batch = categorise_rows(dedup_first(clean_statements(testdata.event_statements(spark, sf_dir))), codes)
+    return first_writer_dimension(batch)
+
+
+def stream_ingest(spark, sf_dir):
+    """T1: the events file stream loaded into a fresh warehouse by the idempotent batch load."""
+    from ledgerlens.operators.load import Warehouse
+    from ledgerlens.session import staging_path
+    from ledgerlens.streaming.ingest import ingest_stream
+
+    wh = Warehouse(spark, staging_path(spark, "stream-warehouse"))
+    wh.initialise()
+    wh.seed_codes(testdata.fixture_codes(spark))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    raw = testdata.events_to_statements(events).drop("event_time")
+    q = ingest_stream(raw, wh, staging_path(spark, "stream-ingest-ckpt"))
+    q.awaitTermination()
+    return wh.read("transactions").join(wh.read("merchants"), "merchant").select(
+        "transaction_hash", "merchant", "category", _dbl("amount"))
+
+
+def stream_dedup(spark, sf_dir):
+    """T2: fingerprint de-duplication within a watermark over the events stream."""
+    from ledgerlens.streaming.ingest import clean_event_stream, dedup_stream, run_available
+
+    out = run_available(dedup_stream(clean_event_stream(spark, sf_dir)), spark, "stream-dedup")
+    return out.select("transaction_hash", "transaction_date", _dbl("amount"), "description")
+
+
+def stream_monthly(spark, sf_dir):
+    """T3: running spend per month and category over the de-duplicated events stream."""
+    from ledgerlens.streaming.ingest import clean_event_stream, dedup_stream, monthly_spend_stream, run_available
+
+    stream = monthly_spend_stream(dedup_stream(clean_event_stream(spark, sf_dir)), _event_batch_star(spark, sf_dir))
+    out = run_available(stream, spark, "stream-monthly", mode="complete")
+    return out.select("month", "category", _dbl("spent"), "txns")
+
+
+QUERIES.update({
+    "stream_ingest": stream_ingest,
+    "stream_dedup": stream_dedup,
+    "stream_monthly": stream_monthly,
+})

@@ -237,6 +237,21 @@ m2 AS (
 {tail}"""
 
 
+def events_sql(tail: str) -> str:
+    """Events shaped as statement rows, cleaned (prefix e_), then ``tail``."""
+    return f"""WITH ev AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS raw_date, upper(event_type) AS raw_desc,
+         CASE WHEN event_type = 'signup' THEN '' ELSE printf('%.2f', value) END AS raw_wd,
+         CASE WHEN event_type = 'signup' THEN printf('%.2f', value) ELSE '' END AS raw_dep,
+         '' AS raw_code, ts AS s1, event_id AS s2, 0 AS s3, 0 AS s4, 0 AS s5, 0 AS s6
+  FROM events
+),
+{codes_cte()},
+{clean_ctes('ev', 'e_')},
+e_merchants AS (SELECT merchant_name AS merchant, arg_min(row_category, seq) AS category FROM e_cat GROUP BY merchant_name)
+{tail}"""
+
+
 def oracle_queries() -> dict[str, str]:
     S: dict[str, str] = {}
     S["clean_transactions"] = star_sql(
@@ -408,4 +423,12 @@ UNION ALL SELECT 'transaction_code', count(*) FROM transactions t WHERE t.transa
              f"FROM transactions" for c in t_cols]
     parts += [f"SELECT 'merchants', {q(c)}, count(*) FILTER (WHERE {c} IS NULL) FROM merchants" for c in m_cols]
     S["null_check"] = star_sql(" UNION ALL ".join(parts))
+    S["stream_ingest"] = events_sql(
+        "SELECT c.transaction_hash, c.merchant_name AS merchant, m.category, CAST(c.amount AS DOUBLE) AS amount "
+        "FROM e_cat c JOIN e_merchants m ON c.merchant_name = m.merchant")
+    S["stream_dedup"] = events_sql(
+        "SELECT transaction_hash, transaction_date, CAST(amount AS DOUBLE) AS amount, description FROM e_dedup")
+    S["stream_monthly"] = events_sql(
+        "SELECT d.year_month AS month, m.category, CAST(abs(sum(d.amount)) AS DOUBLE) AS spent, count(*) AS txns "
+        "FROM e_dedup d JOIN e_merchants m ON d.merchant_name = m.merchant WHERE d.amount < 0 GROUP BY 1, 2")
     return S

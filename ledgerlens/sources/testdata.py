@@ -138,5 +138,5 @@ def events_to_statements(ev: DataFrame) -> DataFrame:
         F.when(signup, value).otherwise(F.lit("")).alias("Deposit Amount"),
         F.lit("").alias("Transaction Code"),
         F.struct("ts", "event_id").alias("seq"),
-        F.col("ts").alias("event_time"),
+        F.col("ts").cast("timestamp").alias("event_time"),
     )
