@@ -142,3 +142,8 @@ def filter_options(view: DataFrame) -> DataFrame:
     cats = view.filter(F.col("category").isNotNull()).select(
         F.lit("category").alias("kind"), F.col("category").alias("value")).distinct()
     return months.unionByName(cats)
+
+
+def category_names(categories: DataFrame) -> DataFrame:
+    """All category names, sorted."""
+    return categories.select("name").orderBy("name")
