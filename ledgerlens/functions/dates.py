@@ -39,8 +39,10 @@ _TRAILING_TIME = r"(?U)(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
 
 
 def date_text(c: Column) -> Column:
-    """The date part of a raw date cell: stripped, trailing time removed."""
-    return F.regexp_replace(ustrip(c), _TRAILING_TIME, "")
+    """The date part of a raw date cell: stripped, trailing time removed (the regular
+    expression only runs on text that has a colon)."""
+    text = ustrip(c)
+    return F.when(text.contains(":"), F.regexp_replace(text, _TRAILING_TIME, "")).otherwise(text)
 
 
 def parse_date_text(text: Column, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS) -> Column:

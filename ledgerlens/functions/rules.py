@@ -4,11 +4,13 @@ Three statement steps are the same operator: the merchant alias map, the merchan
 and the code-description rules. A rule list is ordered ``(pattern, value)`` pairs; the value
 of the first pattern contained in the text wins (not the longest, not the leftmost).
 
-Two Spark forms:
+Three Spark forms:
 
 * :func:`first_match` / :func:`first_group_match` build one ``CASE WHEN`` expression. Runs of
   neighbouring rules with the same value collapse into one ``OR`` branch, which is exact
   because only the first hit matters. Right for fixed lists of a few hundred patterns.
+* :func:`first_match_array` filters a literal array of rules with a lambda: small generated
+  code, interpreted per element; used on one-row-per-merchant tables.
 * :func:`match_with_rule_table` is the same operator over a rules *DataFrame* (user-supplied,
   possibly large): a containment join against the broadcast rule table, then ``min_by``
   on the rule ordinal. It works on distinct texts first, so repeated texts are matched once.
@@ -50,11 +52,21 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return first_group_match(text, rule_groups(rules))
 
 
+def first_match_array(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Same answer as :func:`first_match`, as one higher-order expression over a literal array
+    of (pattern, value) structs. Its generated code stays small however long the rule list is
+    (the lambda is interpreted), so it suits small tables, e.g. one row per merchant, and
+    filters that the optimizer may push onto the expression."""
+    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("v")) for p, v in rules])
+    return F.get(F.filter(arr, lambda r: text.contains(r["p"])), 0)["v"]
+
+
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Rules as a DataFrame (ordinal, pattern, value)."""
-    return spark.createDataFrame(
-        [(i, p, v) for i, (p, v) in enumerate(rules)], "ordinal int, pattern string, value string"
-    )
+    from ledgerlens.sources.literal import literal_table
+
+    return literal_table(spark, [(i, p, v) for i, (p, v) in enumerate(rules)],
+                         "ordinal int, pattern string, value string")
 
 
 def match_with_rule_table(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# `F.trim` removes only ASCII blanks; `(?U)\s` also covers tabs, NBSP and other Unicode spaces.
-_EDGE_BLANKS = r"(?U)^\s+|\s+$"
+# Every code point that Python's str.isspace() accepts (29 characters): tab, line breaks,
+# file/group/record/unit separators, space, NEL, NBSP and the Unicode space separators.
+# Built from the rule rather than listed. `F.trim` alone removes only ASCII blanks.
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def ustrip(c: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(c, _EDGE_BLANKS, "")
+    """Remove leading and trailing whitespace (character-set trim, no regular expression)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_upper(c: Column) -> Column:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
 from ledgerlens import schemas as S
-from ledgerlens.operators.categorise import categorise_rows, classify_codes
+from ledgerlens.operators.categorise import CODE_CATEGORY, classify_codes, lookup_codes, stored_code
 from ledgerlens.operators.clean import clean_statements, dedup_first
-from ledgerlens.operators.dimension import first_writer_dimension
+from ledgerlens.operators.dimension import first_writer_categories
 from ledgerlens.session import staging_path
+from ledgerlens.sources.literal import literal_table
 
 FACT_COLUMNS = [
     "transaction_hash", "transaction_date", "year_month", "amount",
@@ -28,15 +29,19 @@ FACT_COLUMNS = [
 
 def prepare_batch(raw: DataFrame, codes: DataFrame, observation: Observation | None = None,
                   strip_thousands: bool = False) -> DataFrame:
-    """Cleaned, de-duplicated (first row per fingerprint) and categorised batch rows."""
+    """Cleaned, de-duplicated (first row per fingerprint) batch rows with the code-table
+    category of each row's code (a broadcast lookup done before the dedup shuffle). The
+    keyword cascade runs later, on one row per new merchant."""
     clean = clean_statements(raw, strip_thousands=strip_thousands, observation=observation)
-    return categorise_rows(dedup_first(clean), codes)
+    return dedup_first(lookup_codes(clean, codes))
 
 
 def batch_facts(batch: DataFrame) -> DataFrame:
+    """Fact rows of a prepared batch; the code is kept only when it is in the code table."""
+    code = stored_code() if CODE_CATEGORY in batch.columns else F.col("transaction_code")
     return batch.select(
         "transaction_hash", "transaction_date", "year_month", "amount", "description",
-        F.col("merchant_name").alias("merchant"), "transaction_code",
+        F.col("merchant_name").alias("merchant"), code.alias("transaction_code"),
     )
 
 
@@ -53,12 +58,12 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 
 def new_merchants(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
-    return first_writer_dimension(batch, existing=existing)
+    return first_writer_categories(batch, existing=existing)
 
 
 def seeded_categories(spark: SparkSession) -> DataFrame:
     """The seeded category dimension; ids are a hash of the name (no global counter)."""
-    names = spark.createDataFrame([(n,) for n in D.SEEDED_CATEGORIES], "name string")
+    names = literal_table(spark, [(n,) for n in D.SEEDED_CATEGORIES], "name string")
     return names.select(F.xxhash64("name").alias("category_id"), "name")
 
 

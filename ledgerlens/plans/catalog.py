@@ -91,8 +91,11 @@ def code_listing(spark, sf_dir):
 # -- categories and loading -----------------------------------------------------------------
 
 def row_category(spark, sf_dir):
+    from ledgerlens.operators.categorise import categorise_rows
+    from ledgerlens.operators.clean import dedup_first
+
     s = build_star(spark, sf_dir)
-    return s.batch.select("transaction_hash", "transaction_code", "row_category")
+    return categorise_rows(dedup_first(s.clean), s.codes).select("transaction_hash", "transaction_code", "row_category")
 
 
 def merchant_dimension(spark, sf_dir):
@@ -359,13 +362,13 @@ QUERIES: dict[str, Query] = {
 
 def _event_batch_star(spark, sf_dir):
     """Batch view of the events-derived statement rows (used for the static merchant side)."""
-    from ledgerlens.operators.categorise import categorise_rows
+    from ledgerlens.operators.categorise import lookup_codes
     from ledgerlens.operators.clean import clean_statements, dedup_first
-    from ledgerlens.operators.dimension import first_writer_dimension
+    from ledgerlens.operators.dimension import first_writer_categories
 
     codes = classify_codes(testdata.fixture_codes(spark))
-    batch = categorise_rows(dedup_first(clean_statements(testdata.event_statements(spark, sf_dir))), codes)
-    return first_writer_dimension(batch)
+    batch = dedup_first(lookup_codes(clean_statements(testdata.event_statements(spark, sf_dir)), codes))
+    return first_writer_categories(batch)
 
 
 def stream_ingest(spark, sf_dir):

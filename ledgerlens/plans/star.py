@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.categorise import categorise_rows, classify_codes
+from ledgerlens.operators.categorise import classify_codes, lookup_codes
 from ledgerlens.operators.clean import clean_statements, dedup_first
-from ledgerlens.operators.dimension import first_writer_dimension
-from ledgerlens.operators.load import batch_facts, seeded_categories
+from ledgerlens.operators.dimension import first_writer_categories
+from ledgerlens.operators.load import batch_facts, new_transactions, seeded_categories
 from ledgerlens.operators.views import FilterState, transactions_view
 from ledgerlens.sources import testdata
 
@@ -36,8 +36,8 @@ def build_star(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -
     raw = testdata.raw_statements(spark, sf_dir) if raw is None else raw
     codes = classify_codes(testdata.fixture_codes(spark))
     clean = clean_statements(raw)
-    batch = categorise_rows(dedup_first(clean), codes)
-    merchants = first_writer_dimension(batch)
+    batch = dedup_first(lookup_codes(clean, codes))
+    merchants = first_writer_categories(batch)
     transactions = batch_facts(batch)
     categories = seeded_categories(spark)
     view = transactions_view(transactions, merchants, categories, codes)
@@ -62,12 +62,10 @@ def two_loads(spark: SparkSession, sf_dir: str):
     raw = testdata.raw_statements(spark, sf_dir)
     codes = classify_codes(testdata.fixture_codes(spark))
     first = raw.filter(F.col("seq.l_shipdate") >= F.lit(testdata.FIRST_LOAD_BEFORE).cast("timestamp"))
-    batch1 = categorise_rows(dedup_first(clean_statements(first)), codes)
-    batch2 = categorise_rows(dedup_first(clean_statements(raw)), codes)
+    batch1 = dedup_first(lookup_codes(clean_statements(first), codes))
+    batch2 = dedup_first(lookup_codes(clean_statements(raw), codes))
     tx1 = batch_facts(batch1)
-    m1 = first_writer_dimension(batch1)
-    from ledgerlens.operators.load import new_transactions
-
+    m1 = first_writer_categories(batch1)
     tx2 = new_transactions(batch2, tx1)
-    m2 = first_writer_dimension(batch2, existing=m1)
+    m2 = first_writer_categories(batch2, existing=m1)
     return tx1, m1, tx2, m2, batch1, batch2

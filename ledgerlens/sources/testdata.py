@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.literal import literal_table
 from ledgerlens.sources.parallelism import ensure_parallelism
 
 # FIXED VALUES of the test fixture: description templates chosen by l_partkey % 16
@@ -103,11 +104,11 @@ def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXTURE_CODES, "code string, description string")
+    return literal_table(spark, FIXTURE_CODES, "code string, description string")
 
 
 def fixture_budgets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXTURE_BUDGETS, "category string, monthly_limit double")
+    return literal_table(spark, FIXTURE_BUDGETS, "category string, monthly_limit double")
 
 
 def document_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:

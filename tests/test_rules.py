@@ -31,3 +31,13 @@ def test_exact_rounding(spark):
                     mean_half_up(F.col("s"), F.col("k")).alias("m")).collect()
     assert [r.r for r in out] == [12.2, 0.0, 33.3]  # 12.25 -> 12.2 (half-even)
     assert [r.m for r in out] == [1.01, -1.01, 1.0]  # 1.005 -> 1.01, -1.005 -> -1.01
+
+
+def test_array_form_equals_case_form(spark):
+    from ledgerlens.defaults import MERCHANT_KEYWORDS
+    from ledgerlens.functions.rules import first_match_array
+
+    df = spark.createDataFrame([("grab food x",), ("public",), ("nus bonus",), ("zzz",), ("fp*food panda",)], "t string")
+    out = df.select(first_match(F.col("t"), MERCHANT_KEYWORDS).alias("a"),
+                    first_match_array(F.col("t"), MERCHANT_KEYWORDS).alias("b")).collect()
+    assert all(r.a == r.b for r in out) and out[0].a == "Food & Drink" and out[3].a is None
