@@ -8,6 +8,7 @@ load can simply be run again, because both appends skip what is already there.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,9 +19,14 @@ from ledgerlens import schemas as S
 from ledgerlens.operators.categorise import CODE_CATEGORY, classify_codes, lookup_codes, stored_code
 from ledgerlens.operators.clean import clean_statements, dedup_first
 from ledgerlens.operators.dimension import first_writer_categories
+from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.rollups import default_budgets
 from ledgerlens.session import staging_path
+from ledgerlens.sources.codelist import read_code_list
 from ledgerlens.sources.literal import literal_table
 
+log = logging.getLogger(__name__)
+
 FACT_COLUMNS = [
     "transaction_hash", "transaction_date", "year_month", "amount",
     "description", "merchant", "transaction_code",
@@ -129,12 +135,39 @@ class Warehouse:
                     writer = writer.partitionBy("year_month")
                 writer.parquet(self.path(table))
 
-    def seed_codes(self, codes: DataFrame) -> int:
-        """Classify (code, description) pairs and insert the codes not stored yet."""
-        classified = classify_codes(codes).dropDuplicates(["code"])
-        new = classified.join(self.read("codes").select("code"), "code", "left_anti")
+    def seed_codes(self, codes: DataFrame, rules=D.CODE_RULES) -> int:
+        """Classify (code, description) pairs and insert the codes not stored yet
+        (insert-or-ignore). A rule category that is not a known category becomes
+        Uncategorised; a code given twice keeps one description (the smallest)."""
+        classified = classify_codes(codes, rules)
+        known = self.read("categories").select(F.col("name").alias("_known"))
+        classified = classified.join(broadcast_if_small(known), F.col("category") == F.col("_known"), "left").select(
+            "code", "description",
+            F.when(F.col("_known").isNotNull(), F.col("category")).otherwise(F.lit(D.UNCATEGORISED)).alias("category"),
+        )
+        one = classified.groupBy("code").agg(
+            F.min_by(F.struct("description", "category"), "description").alias("_r")).select("code", "_r.*")
+        new = one.join(self.read("codes").select("code"), "code", "left_anti")
         return self._append_staged(new, "codes")
 
+    def seed_codes_from_file(self, path: str) -> int:
+        """Seed from a code-list text file; a missing file is skipped with a warning."""
+        if not self._path_exists(path):
+            log.warning("code list %s not found; code-based categories are limited", path)
+            return 0
+        return self.seed_codes(read_code_list(self.spark, path))
+
+    def budgets_or_default(self, view: DataFrame) -> DataFrame:
+        """Stored budgets, or every category of ``view`` (minus the excluded ones) with a zero
+        limit when none are stored."""
+        stored = self.read("budgets")
+        return stored if stored.limit(1).count() else default_budgets(view)
+
+    def _path_exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def load_statements(self, raw: DataFrame, strip_thousands: bool = False) -> LoadReport:
         """Idempotent append of one raw statement batch."""
         obs = Observation("clean")

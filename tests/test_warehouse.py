@@ -70,3 +70,36 @@ def test_budgets_and_reset(spark, workdir):
     report = wh.load_statements(read_statements(spark, fixture_path("statement.csv")))
     assert report.inserted == 0 or report.inserted == 13  # codes were reset: rows still load
     assert wh.read("transactions").agg(F.sum("amount")).first()[0] is not None
+
+
+def test_missing_code_file_and_default_budgets(spark, workdir):
+    from ledgerlens.operators.views import transactions_view
+
+    wh = _wh(spark, workdir)
+    assert wh.seed_codes_from_file(os.path.join(workdir, "absent.txt")) == 0
+    wh.load_statements(read_statements(spark, fixture_path("statement.csv")))
+    view = transactions_view(wh.read("transactions"), wh.read("merchants"), wh.read("categories"), wh.read("codes"))
+    default = {r.category: r.monthly_limit for r in wh.budgets_or_default(view).collect()}
+    assert default == {"Food & Drink": 0.0, "Transport": 0.0, "Subscriptions": 0.0, "Uncategorised": 0.0}
+    wh.save_budgets(spark.createDataFrame([("Transport", 9.0)], "category string, monthly_limit double"))
+    assert [tuple(r) for r in wh.budgets_or_default(view).collect()] == [("Transport", 9.0)]
+
+
+def test_unknown_rule_category_falls_back(spark, workdir):
+    wh = Warehouse(spark, os.path.join(workdir, "wh3"))
+    wh.initialise()
+    rules = [(["pet"], "Pets"), (["transfer"], "Transfers")]
+    wh.seed_codes(spark.createDataFrame([("PET", "Pet shop"), ("TRF", "Funds Transfer")], "code string, description string"), rules)
+    assert {r.code: r.category for r in wh.read("codes").collect()} == {"PET": "Uncategorised", "TRF": "Transfers"}
+
+
+def test_hashes_do_not_depend_on_row_order(spark, workdir):
+    from ledgerlens.operators.clean import clean_statements, dedup_first
+
+    lines = open(fixture_path("statement.csv")).read().splitlines()
+    p = os.path.join(workdir, "reversed.csv")
+    with open(p, "w") as f:
+        f.write("\n".join([lines[0]] + lines[:0:-1]) + "\n")
+    a = {r.transaction_hash for r in dedup_first(clean_statements(read_statements(spark, fixture_path("statement.csv")))).collect()}
+    b = {r.transaction_hash for r in dedup_first(clean_statements(read_statements(spark, p))).collect()}
+    assert a == b and len(a) == 13
