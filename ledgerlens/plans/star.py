@@ -7,8 +7,6 @@ Nothing is written; every query over it is one Spark plan from the parquet scan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +15,45 @@ from ledgerlens.operators.clean import clean_statements, dedup_first
 from ledgerlens.operators.dimension import first_writer_categories
 from ledgerlens.operators.load import batch_facts, new_transactions, seeded_categories
 from ledgerlens.operators.views import FilterState, transactions_view
+from ledgerlens.session import materialise
 from ledgerlens.sources import testdata
 
 
-@dataclass
 class Star:
-    raw: DataFrame
-    clean: DataFrame
-    batch: DataFrame
-    codes: DataFrame
-    categories: DataFrame
-    merchants: DataFrame
-    transactions: DataFrame
-    view: DataFrame
+    """Lazily built star schema of one batch. The de-duplicated batch feeds two branches (facts
+    and the merchant dimension); it is written once as parquet into the shared checkpoint
+    folder on first use, so the scan, cleaning and dedup shuffle run once and the lineage is
+    cut there. Queries that only need the cleaned rows never trigger it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, raw: DataFrame | None = None):
+        self.spark = spark
+        self.raw = testdata.raw_statements(spark, sf_dir) if raw is None else raw
+        self.codes = classify_codes(testdata.fixture_codes(spark))
+        self.clean = clean_statements(self.raw)
+        self.categories = seeded_categories(spark)
+        self._batch: DataFrame | None = None
+
+    @property
+    def batch(self) -> DataFrame:
+        if self._batch is None:
+            self._batch = materialise(dedup_first(lookup_codes(self.clean, self.codes)), "star-batch")
+        return self._batch
+
+    @property
+    def merchants(self) -> DataFrame:
+        return first_writer_categories(self.batch)
+
+    @property
+    def transactions(self) -> DataFrame:
+        return batch_facts(self.batch)
+
+    @property
+    def view(self) -> DataFrame:
+        return transactions_view(self.transactions, self.merchants, self.categories, self.codes)
 
 
 def build_star(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> Star:
-    raw = testdata.raw_statements(spark, sf_dir) if raw is None else raw
-    codes = classify_codes(testdata.fixture_codes(spark))
-    clean = clean_statements(raw)
-    batch = dedup_first(lookup_codes(clean, codes))
-    merchants = first_writer_categories(batch)
-    transactions = batch_facts(batch)
-    categories = seeded_categories(spark)
-    view = transactions_view(transactions, merchants, categories, codes)
-    return Star(raw, clean, batch, codes, categories, merchants, transactions, view)
+    return Star(spark, sf_dir, raw)
 
 
 # Dashboard default: every month and category selected (= no filter), transfers and income hidden.
@@ -62,8 +74,8 @@ def two_loads(spark: SparkSession, sf_dir: str):
     raw = testdata.raw_statements(spark, sf_dir)
     codes = classify_codes(testdata.fixture_codes(spark))
     first = raw.filter(F.col("seq.l_shipdate") >= F.lit(testdata.FIRST_LOAD_BEFORE).cast("timestamp"))
-    batch1 = dedup_first(lookup_codes(clean_statements(first), codes))
-    batch2 = dedup_first(lookup_codes(clean_statements(raw), codes))
+    batch1 = materialise(dedup_first(lookup_codes(clean_statements(first), codes)), "load1-batch")
+    batch2 = materialise(dedup_first(lookup_codes(clean_statements(raw), codes)), "load2-batch")
     tx1 = batch_facts(batch1)
     m1 = first_writer_categories(batch1)
     tx2 = new_transactions(batch2, tx1)

@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -52,6 +53,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return root
 
 
+def materialise(df, name: str):
+    """Write ``df`` once as parquet to a fresh folder under the checkpoint root and return the
+    stored copy: a single pass (compute and write together), and the lineage ends there, so a
+    lost executor never recomputes what is stored. Used where one result feeds several
+    branches of a plan."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for staged intermediate tables."""
     root = ensure_checkpoint_dir(spark)
