@@ -97,13 +97,14 @@ def default_budgets(view: DataFrame, excluded: Sequence[str] = D.EXCLUDE_FROM_SP
     )
 
 
-def budget_variance(expenses: DataFrame, budgets: DataFrame) -> DataFrame:
+def budget_variance(expenses: DataFrame, budgets: DataFrame, months: int = 1) -> DataFrame:
     """Spend per category against the monthly limits: full outer join on category, missing
     values 0, rows with neither budget nor spend dropped, remaining = limit - spent and
-    utilisation = spent / (limit, or 1 when the limit is 0) * 100. The limit is compared with
-    the spend over all selected months, as is."""
+    utilisation = spent / (limit, or 1 when the limit is 0) * 100. By default the monthly limit
+    is compared with the spend over all selected months, as is; ``months=n`` scales the limit
+    to an n-month selection."""
     spent = spend_by_category(expenses)
-    b = budgets.select("category", F.col("monthly_limit").cast("double").alias("monthly_limit"))
+    b = budgets.select("category", (F.col("monthly_limit").cast("double") * months).alias("monthly_limit"))
     merged = b.join(spent, b["category"].eqNullSafe(spent["category"]), "full_outer").select(
         F.coalesce(b["category"], spent["category"]).alias("category"),
         F.coalesce(F.col("monthly_limit"), F.lit(0.0)).alias("monthly_limit"),

@@ -43,10 +43,13 @@ def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_code_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_code_list(spark: SparkSession, path: str | list[str], split_alternatives: bool = False) -> DataFrame:
     """(code, description) pairs. Optional header lines are skipped, an unpaired last line is
     ignored, a repeated code keeps its last description, and codes are upper-cased (the first
-    spelling of a code wins when two differ only in case)."""
+    spelling of a code wins when two differ only in case).
+
+    Entries such as ``DCR / DCRT`` are one key by default (so neither ``DCR`` nor ``DCRT``
+    matches a statement code); ``split_alternatives=True`` stores each alternative instead."""
     lines = number_lines(spark, path)
     first = lines.filter(F.col("pos") <= 1).groupBy("file").agg(
         F.max(F.when(F.col("pos") == 0, F.col("line"))).alias("l0"),
@@ -65,6 +68,8 @@ def read_code_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.max(F.when(F.col("i") % 2 == 0, F.col("line"))).alias("code"),
         F.max(F.when(F.col("i") % 2 == 1, F.col("line"))).alias("description"),
     ).filter(F.col("description").isNotNull())
+    if split_alternatives:
+        pairs = pairs.withColumn("code", F.explode(F.split(F.col("code"), r"\s*/\s*"))).filter(F.col("code") != "")
     order = F.struct("file", "pair")
     # Last description per exact code, then first spelling per upper-cased code.
     per_code = pairs.groupBy("code").agg(

@@ -40,3 +40,14 @@ def test_headerless_file(spark, workdir):
 def test_classified_code_list(spark):
     cats = {r.code: r.category for r in classify_codes(read_code_list(spark, fixture_path("codes.txt"))).collect()}
     assert cats == {"POS": "Shopping", "ITR": "Transfers", "INSPREM": "Government & CPF", "AWL": "Transfers"}
+
+
+def test_split_alternatives(spark, workdir):
+    p = f"{workdir}/alt.txt"
+    with open(p, "w") as f:
+        f.write("DCR / DCRT\nInstant Direct Credit\nASC / A-SC\nCash Withdrawal Service Charge\n")
+    one = {r.code for r in read_code_list(spark, p).collect()}
+    split = {r.code: r.description for r in read_code_list(spark, p, split_alternatives=True).collect()}
+    assert one == {"DCR / DCRT", "ASC / A-SC"}
+    assert split == {"DCR": "Instant Direct Credit", "DCRT": "Instant Direct Credit",
+                     "ASC": "Cash Withdrawal Service Charge", "A-SC": "Cash Withdrawal Service Charge"}

@@ -81,3 +81,10 @@ def test_audits_and_quality(spark, view):
     ratios = quality.quality_ratios(view).first()
     assert ratios.rows == 13 and ratios.merchants == 12 and ratios.merchants_ok
     assert audits.transfers_by_code(view).count() >= 1
+
+
+def test_budget_months_scaling(spark, view):
+    exp = views.expense_view(view, views.FilterState())
+    budgets = spark.createDataFrame([("Transport", 10.0)], "category string, monthly_limit double")
+    r = {x.category: x for x in rollups.budget_variance(exp, budgets, months=3).collect()}["Transport"]
+    assert r.monthly_limit == 30.0 and round(r.remaining, 2) == 17.6
