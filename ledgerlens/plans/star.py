@@ -73,7 +73,7 @@ def two_loads(spark: SparkSession, sf_dir: str):
     load2_new_tx, load2_new_merchants, batch1, batch2)."""
     raw = testdata.raw_statements(spark, sf_dir)
     codes = classify_codes(testdata.fixture_codes(spark))
-    first = raw.filter(F.col("seq.l_shipdate") >= F.lit(testdata.FIRST_LOAD_BEFORE).cast("timestamp"))
+    first = raw.filter(F.to_date("seq.l_shipdate") >= F.lit(testdata.FIRST_LOAD_BEFORE).cast("date"))
     batch1 = materialise(dedup_first(lookup_codes(clean_statements(first), codes)), "load1-batch")
     batch2 = materialise(dedup_first(lookup_codes(clean_statements(raw), codes)), "load2-batch")
     tx1 = batch_facts(batch1)
