@@ -43,7 +43,7 @@ def transactions_view(
     k = codes.select(F.col("code").alias("_code"), F.col("description").alias("code_description"))
     df = (
         t.join(m, F.col("t.merchant") == F.col("_m_name"))
-        .join(F.broadcast(c), F.col("_m_cat") == F.col("category"))
+        .join(broadcast_if_small(c), F.col("_m_cat") == F.col("category"))
         .join(broadcast_if_small(k), F.col("t.transaction_code") == F.col("_code"), "left")
     )
     return df.select(
