@@ -32,24 +32,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (None when unset)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    return spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    return sc.getCheckpointDir() if sc is not None else None
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder; only when the cluster names none (local tests) create one."""
     root = checkpoint_root(spark)
+    sc = _context(spark)
     if root:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
         return root
     root = fallback or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    if sc is not None:
+        sc.setCheckpointDir(root)
     return root
 
 
