@@ -150,3 +150,18 @@ def test_missing_code_column_and_required_columns(spark, workdir):
     with pytest.raises(MissingColumnsError) as e:
         clean_statements(read_statements(spark, bad))
     assert e.value.missing == ["Withdrawal Amount", "Deposit Amount"]
+
+
+def test_csv_quotes_and_multiple_files(spark, workdir):
+    import os
+
+    os.makedirs(f"{workdir}/in")
+    with open(f"{workdir}/in/a.csv", "w") as f:
+        f.write('Transaction Date,Description,Withdrawal Amount,Deposit Amount,Transaction Code\n'
+                '2024-02-01,"ACME, ""THE"" SHOP",12.00,,POS\n')
+    with open(f"{workdir}/in/b.csv", "w") as f:
+        f.write('Transaction Date,Description,Withdrawal Amount,Deposit Amount\n'
+                '2024-02-02,SPOTIFY,9.99,\n')
+    rows = {r.description: r for r in clean_statements(read_statements(spark, f"{workdir}/in")).collect()}
+    assert set(rows) == {'ACME, "THE" SHOP', "SPOTIFY"}
+    assert rows["SPOTIFY"].transaction_code is None and rows['ACME, "THE" SHOP'].transaction_code == "POS"
