@@ -12,8 +12,10 @@ from ledgerlens.sources.parallelism import ensure_parallelism
 def read_statements(spark: SparkSession, path: str | list[str], with_order: bool = True) -> DataFrame:
     """Read statement CSV files (header row) with every column as text and blanks as "".
 
-    Columns are taken from each file's header, so a file without a ``Transaction Code`` column
-    is fine. With ``with_order`` a ``seq`` struct (file, block offset, row id) records the
+    Column names come from the header. Spark reads the header of one file and maps the other
+    files' columns by position, so one call should cover files with the same header layout
+    (a missing trailing ``Transaction Code`` column is fine: it reads as blank). Read other
+    layouts separately and combine them with ``unionByName(allowMissingColumns=True)``. With ``with_order`` a ``seq`` struct (file, block offset, row id) records the
     file order of rows, which decides "first row wins" later on. The row id part is only stable
     within one evaluation, so persist or write the cleaned batch before using ``seq`` twice.
     """
