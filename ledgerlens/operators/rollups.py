@@ -103,10 +103,12 @@ def budget_variance(expenses: DataFrame, budgets: DataFrame, months: int = 1) ->
     utilisation = spent / (limit, or 1 when the limit is 0) * 100. By default the monthly limit
     is compared with the spend over all selected months, as is; ``months=n`` scales the limit
     to an n-month selection."""
-    spent = spend_by_category(expenses)
-    b = budgets.select("category", (F.col("monthly_limit").cast("double") * months).alias("monthly_limit"))
-    merged = b.join(spent, b["category"].eqNullSafe(spent["category"]), "full_outer").select(
-        F.coalesce(b["category"], spent["category"]).alias("category"),
+    # Keys are renamed on both sides: budgets may be derived from the same view as the spend.
+    spent = spend_by_category(expenses).withColumnRenamed("category", "_s_cat")
+    b = budgets.select(F.col("category").alias("_b_cat"),
+                       (F.col("monthly_limit").cast("double") * months).alias("monthly_limit"))
+    merged = b.join(spent, F.col("_b_cat").eqNullSafe(F.col("_s_cat")), "full_outer").select(
+        F.coalesce(F.col("_b_cat"), F.col("_s_cat")).alias("category"),
         F.coalesce(F.col("monthly_limit"), F.lit(0.0)).alias("monthly_limit"),
         F.coalesce(F.col("spent"), F.lit(0.0)).alias("spent"),
     )
