@@ -51,16 +51,25 @@ def batch_facts(batch: DataFrame) -> DataFrame:
     )
 
 
-def new_transactions(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Batch facts whose fingerprint is not stored yet. The fingerprint covers the date, so
-    equal fingerprints have equal months: joining on (month, hash) lets a month-partitioned
-    table be pruned to the batch's months."""
+def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months: bool = True) -> DataFrame:
+    """Batch facts whose fingerprint is not stored yet (left anti join on month + fingerprint).
+
+    The fingerprint covers the date, so equal fingerprints have equal months. With
+    ``prune_months`` the stored table is first restricted to the batch's month range (one
+    aggregate row: the min and max month of the batch), which a table partitioned by
+    ``year_month`` answers by listing only those partition folders: a daily batch reads a
+    month or two of a many-year fact table. Call it on a stored (staged) batch; the range is
+    computed with one small job."""
     facts = batch_facts(batch)
     if existing is None:
         return facts
-    return facts.join(
-        existing.select("year_month", "transaction_hash"), ["year_month", "transaction_hash"], "left_anti"
-    ).select(*FACT_COLUMNS)
+    stored = existing.select("year_month", "transaction_hash")
+    if prune_months:
+        lo, hi = facts.agg(F.min("year_month"), F.max("year_month")).first()
+        if lo is None:
+            return facts.limit(0)
+        stored = stored.filter(F.col("year_month").between(lo, hi))
+    return facts.join(stored, ["year_month", "transaction_hash"], "left_anti").select(*FACT_COLUMNS)
 
 
 def new_merchants(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
