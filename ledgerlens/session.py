@@ -78,3 +78,22 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for staged intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/ledgerlens-staging/{name}-{uuid.uuid4().hex}"
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume (apply when building the
+    session). Shuffle partitions start at about one per ``target_partition_bytes`` of input
+    (never fewer than twice the cores) and AQE coalesces them to its advisory size, so each
+    reduce task holds a few hundred MB and sorts or spills within executor memory; scan
+    splits are capped at the same size. Skew splitting is on for the joins whose key can be
+    hot (a merchant holding a third of all transactions)."""
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
