@@ -103,3 +103,25 @@ def test_hashes_do_not_depend_on_row_order(spark, workdir):
     a = {r.transaction_hash for r in dedup_first(clean_statements(read_statements(spark, fixture_path("statement.csv")))).collect()}
     b = {r.transaction_hash for r in dedup_first(clean_statements(read_statements(spark, p))).collect()}
     assert a == b and len(a) == 13
+
+
+def test_empty_batch_and_no_expenses(spark, workdir):
+    from ledgerlens.operators import rollups, views
+
+    wh = _wh(spark, workdir)
+    empty = os.path.join(workdir, "empty.csv")
+    with open(empty, "w") as f:
+        f.write("Transaction Date,Description,Withdrawal Amount,Deposit Amount,Transaction Code\n")
+    r = wh.load_statements(read_statements(spark, empty))
+    assert (r.raw_rows, r.batch_rows, r.inserted, r.skipped) == (0, 0, 0, 0)
+    income = os.path.join(workdir, "income.csv")
+    with open(income, "w") as f:
+        f.write("Transaction Date,Description,Withdrawal Amount,Deposit Amount,Transaction Code\n"
+                "2024-02-01,SALARY CREDIT,,100.00,\n")
+    wh.load_statements(read_statements(spark, income))
+    view = views.transactions_view(wh.read("transactions"), wh.read("merchants"), wh.read("categories"),
+                                   wh.read("codes"))
+    exp = views.expense_view(view, views.FilterState())
+    k = rollups.kpis(views.month_scoped(view, views.FilterState()), exp).first()
+    assert (k.total_income, k.total_spent, k.net_flow, k.unique_merchants) == (100.0, 0.0, 100.0, 0)
+    assert rollups.category_share(exp).count() == 0
