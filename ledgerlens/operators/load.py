@@ -188,6 +188,9 @@ class Warehouse:
         merchants = new_merchants(staged, self.read("merchants"))
         n_merchants = self._append_staged(merchants, "merchants")
         facts = new_transactions(staged, self.read("transactions")).withColumn("created_at", F.current_timestamp())
+        # Every merchant of the batch is stored now; attach its (immutable) category.
+        merchant_cats = self.read("merchants").select("merchant", "category")
+        facts = facts.join(merchant_cats, "merchant").select(*[f.name for f in S.TRANSACTIONS.fields])
         inserted = self._append_staged(facts, "transactions", partition_by="year_month")
         batch_rows = staged.count()
         kept = metrics.get("raw_rows", 0) - metrics.get("bad_dates", 0) - metrics.get("zero_amounts", 0)
@@ -198,6 +201,14 @@ class Warehouse:
             skipped=batch_rows - inserted, new_merchants=n_merchants,
         )
 
+    def view(self) -> DataFrame:
+        """The denormalised transaction view over the stored tables. The category is read from
+        the fact rows (written at load time), so no join of the fact table with the merchant
+        table is needed at query time; only the small code and category dimensions are joined."""
+        from ledgerlens.operators.views import stored_transactions_view
+
+        return stored_transactions_view(self.read("transactions"), self.read("categories"), self.read("codes"))
+
     def save_budgets(self, budgets: DataFrame) -> None:
         """Replace the budget table."""
         stage = staging_path(self.spark, "budgets")

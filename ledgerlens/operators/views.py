@@ -37,7 +37,7 @@ def transactions_view(
     merchant dimension grows with the data, so that join is left to the planner: a broadcast
     when AQE sees it is small at run time, a skew-aware sort-merge join otherwise.
     """
-    t = transactions.alias("t")
+    t = transactions.drop("category").alias("t")  # the category comes through the merchant here
     m = merchants.select(F.col("merchant").alias("_m_name"), F.col("category").alias("_m_cat"))
     c = categories.select(F.col("name").alias("category"))
     k = codes.select(F.col("code").alias("_code"), F.col("description").alias("code_description"))
@@ -55,6 +55,25 @@ def transactions_view(
     )
 
 
+def stored_transactions_view(transactions: DataFrame, categories: DataFrame, codes: DataFrame) -> DataFrame:
+    """Same columns as :func:`transactions_view`, for fact rows that carry their merchant's
+    category (the warehouse writes it at load time): only bounded dimensions are joined."""
+    t = transactions.alias("t")
+    c = categories.select(F.col("name").alias("_cat"))
+    k = codes.select(F.col("code").alias("_code"), F.col("description").alias("code_description"))
+    df = (
+        t.join(broadcast_if_small(c), F.col("t.category") == F.col("_cat"))
+        .join(broadcast_if_small(k), F.col("t.transaction_code") == F.col("_code"), "left")
+    )
+    return df.select(
+        "t.transaction_hash", "t.transaction_date", "t.amount", "t.description", "t.transaction_code",
+        "code_description", "t.merchant", "t.category",
+        F.date_format("t.transaction_date", "yyyy-MM").alias("month"),
+        F.dayofmonth("t.transaction_date").alias("day"),
+        (F.col("t.amount") < 0).alias("is_expense"),
+    )
+
+
 def _months(df: DataFrame, state: FilterState) -> DataFrame:
     return df.filter(F.col("month").isin(*state.selected_months)) if state.selected_months else df
 

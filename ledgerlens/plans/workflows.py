@@ -44,8 +44,7 @@ def load_statement_files(
 
 
 def warehouse_view(wh: Warehouse) -> DataFrame:
-    return views.transactions_view(wh.read("transactions"), wh.read("merchants"), wh.read("categories"),
-                                   wh.read("codes"))
+    return wh.view()
 
 
 @dataclass

@@ -43,6 +43,9 @@ TRANSACTIONS = T.StructType([
     T.StructField("merchant", T.StringType(), False),
     T.StructField("transaction_code", T.StringType(), True),
     T.StructField("created_at", T.TimestampType(), True),
+    # The merchant's category, written at load time. A merchant's category never changes after
+    # the merchant is created, so this equals the join through the merchant table.
+    T.StructField("category", T.StringType(), True),
 ])
 
 BUDGETS = T.StructType([

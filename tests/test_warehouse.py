@@ -125,3 +125,18 @@ def test_empty_batch_and_no_expenses(spark, workdir):
     k = rollups.kpis(views.month_scoped(view, views.FilterState()), exp).first()
     assert (k.total_income, k.total_spent, k.net_flow, k.unique_merchants) == (100.0, 0.0, 100.0, 0)
     assert rollups.category_share(exp).count() == 0
+
+
+def test_stored_view_equals_join_through_merchants(spark, workdir):
+    from ledgerlens.operators.views import transactions_view
+
+    wh = _wh(spark, workdir)
+    wh.load_statements(read_statements(spark, fixture_path("statement.csv")))
+    joined = transactions_view(wh.read("transactions").drop("category"), wh.read("merchants"),
+                               wh.read("categories"), wh.read("codes"))
+    stored = wh.view()
+    assert stored.columns == joined.columns
+    assert stored.exceptAll(joined).count() == 0 and joined.exceptAll(stored).count() == 0
+    # no join with the merchant table at query time
+    assert "merchants" not in " ".join(stored.inputFiles())
+    assert stored.count() == 13
