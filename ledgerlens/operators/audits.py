@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, known_rows
 from ledgerlens.functions.money import cents, idiv, mean_half_up
 
 NO_CODE = "(none)"
@@ -124,13 +124,13 @@ def uncoded_by_category(view: DataFrame) -> DataFrame:
 def codes_per_category(codes: DataFrame, categories: DataFrame) -> DataFrame:
     """Codes per category name (codes joined to the category dimension)."""
     c = categories.select(F.col("name").alias("category"))
-    return codes.join(broadcast_if_small(c), "category").groupBy("category").agg(F.count("*").alias("cnt"))
+    return codes.join(broadcast_if_small(c, rows=known_rows(categories)), "category").groupBy("category").agg(F.count("*").alias("cnt"))
 
 
 def code_listing(codes: DataFrame, categories: DataFrame, limit: int = 20) -> DataFrame:
     c = categories.select(F.col("name").alias("category"))
     return (
-        codes.join(broadcast_if_small(c), "category")
+        codes.join(broadcast_if_small(c, rows=known_rows(categories)), "category")
         .select("code", "description", "category")
         .orderBy("category", "code")
         .limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
 from ledgerlens.functions.rules import first_group_match, first_match
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, known_rows, with_known_rows
 
 CODE_CATEGORY = "_code_category"
 
@@ -21,7 +21,8 @@ def classify_codes(
     rule group with a keyword in the lower-cased description, else Uncategorised."""
     cat = F.coalesce(first_group_match(F.col("_lc"), rules), F.lit(D.UNCATEGORISED))
     staged = codes.withColumn("_lc", F.lower("description"))
-    return staged.select(F.upper("code").alias("code"), "description", cat.alias("category"))
+    out = staged.select(F.upper("code").alias("code"), "description", cat.alias("category"))
+    return with_known_rows(out, known_rows(codes))  # one output row per input row
 
 
 def keyword_category(description, keywords: Sequence[tuple[str, str]] = D.MERCHANT_KEYWORDS):
@@ -33,7 +34,8 @@ def lookup_codes(batch: DataFrame, codes: DataFrame) -> DataFrame:
     """Add the category of each row's code (null when the code is not in the code table).
     The code table is broadcast after a size check."""
     lookup = codes.select(F.col("code").alias("_code"), F.col("category").alias(CODE_CATEGORY))
-    return batch.join(broadcast_if_small(lookup), batch["transaction_code"] == F.col("_code"), "left").drop("_code")
+    small = broadcast_if_small(lookup, rows=known_rows(codes))
+    return batch.join(small, batch["transaction_code"] == F.col("_code"), "left").drop("_code")
 
 
 def stored_code(code: Column | None = None, code_cat: Column | None = None) -> Column:

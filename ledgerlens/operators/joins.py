@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 # A dimension is broadcast only when its row count is at most this many rows.
 MAX_BROADCAST_ROWS = 200_000
 
+_KNOWN_ROWS = "_ledgerlens_known_rows"
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+
+def with_known_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """Record the row count of a table whose size is fixed when it is built (a literal list),
+    or carried over unchanged by a one-row-per-row projection."""
+    if n is not None:
+        setattr(df, _KNOWN_ROWS, n)
+    return df
+
+
+def known_rows(df: DataFrame) -> int | None:
+    return getattr(df, _KNOWN_ROWS, None)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Broadcast hint for ``df`` if it has at most ``max_rows`` rows; otherwise leave the choice
     to the planner (sort-merge join, or a runtime broadcast by AQE when the shuffle turns out
-    small). Checking costs one count of the dimension, which is small by assumption."""
-    n = df.limit(max_rows + 1).count()
+    small). The row count is the recorded one when the table was built from a literal list,
+    else one count of the dimension (small by assumption, capped at ``max_rows + 1``)."""
+    n = rows if rows is not None else known_rows(df)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

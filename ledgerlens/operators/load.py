@@ -19,7 +19,7 @@ from ledgerlens import schemas as S
 from ledgerlens.operators.categorise import CODE_CATEGORY, classify_codes, lookup_codes, stored_code
 from ledgerlens.operators.clean import clean_statements, dedup_first
 from ledgerlens.operators.dimension import first_writer_categories
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, with_known_rows
 from ledgerlens.operators.rollups import default_budgets
 from ledgerlens.session import staging_path
 from ledgerlens.sources.codelist import read_code_list
@@ -79,7 +79,7 @@ def new_merchants(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
 def seeded_categories(spark: SparkSession) -> DataFrame:
     """The seeded category dimension; ids are a hash of the name (no global counter)."""
     names = literal_table(spark, [(n,) for n in D.SEEDED_CATEGORIES], "name string")
-    return names.select(F.xxhash64("name").alias("category_id"), "name")
+    return with_known_rows(names.select(F.xxhash64("name").alias("category_id"), "name"), len(D.SEEDED_CATEGORIES))
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, known_rows
 
 
 def quality_ratios(view: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def referential_check(transactions: DataFrame, merchants: DataFrame, categories:
     cats = categories.select(F.col("name").alias("category"))
     checks = [
         _count(transactions.join(merchants.select("merchant"), "merchant", "left_anti"), "transaction_merchant"),
-        _count(merchants.join(broadcast_if_small(cats), "category", "left_anti"), "merchant_category"),
-        _count(codes.join(broadcast_if_small(cats), "category", "left_anti"), "code_category"),
+        _count(merchants.join(broadcast_if_small(cats, rows=known_rows(categories)), "category", "left_anti"), "merchant_category"),
+        _count(codes.join(broadcast_if_small(cats, rows=known_rows(categories)), "category", "left_anti"), "code_category"),
         _count(
             transactions.filter(F.col("transaction_code").isNotNull())
             .join(codes.select(F.col("code").alias("transaction_code")), "transaction_code", "left_anti"),

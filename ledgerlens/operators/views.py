@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, known_rows
 
 VIEW_COLUMNS = [
     "transaction_hash", "transaction_date", "amount", "description", "transaction_code",
@@ -43,8 +43,8 @@ def transactions_view(
     k = codes.select(F.col("code").alias("_code"), F.col("description").alias("code_description"))
     df = (
         t.join(m, F.col("t.merchant") == F.col("_m_name"))
-        .join(broadcast_if_small(c), F.col("_m_cat") == F.col("category"))
-        .join(broadcast_if_small(k), F.col("t.transaction_code") == F.col("_code"), "left")
+        .join(broadcast_if_small(c, rows=known_rows(categories)), F.col("_m_cat") == F.col("category"))
+        .join(broadcast_if_small(k, rows=known_rows(codes)), F.col("t.transaction_code") == F.col("_code"), "left")
     )
     return df.select(
         "t.transaction_hash", "t.transaction_date", "t.amount", "t.description", "t.transaction_code",
@@ -62,8 +62,8 @@ def stored_transactions_view(transactions: DataFrame, categories: DataFrame, cod
     c = categories.select(F.col("name").alias("_cat"))
     k = codes.select(F.col("code").alias("_code"), F.col("description").alias("code_description"))
     df = (
-        t.join(broadcast_if_small(c), F.col("t.category") == F.col("_cat"))
-        .join(broadcast_if_small(k), F.col("t.transaction_code") == F.col("_code"), "left")
+        t.join(broadcast_if_small(c, rows=known_rows(categories)), F.col("t.category") == F.col("_cat"))
+        .join(broadcast_if_small(k, rows=known_rows(codes)), F.col("t.transaction_code") == F.col("_code"), "left")
     )
     return df.select(
         "t.transaction_hash", "t.transaction_date", "t.amount", "t.description", "t.transaction_code",

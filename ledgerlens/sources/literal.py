@@ -18,4 +18,6 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T
     structs = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)]) for row in rows
     ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    from ledgerlens.operators.joins import with_known_rows
+
+    return with_known_rows(spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs))), len(rows))
