@@ -61,6 +61,17 @@ def first_match_array(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.get(F.filter(arr, lambda r: text.contains(r["p"])), 0)["v"]
 
 
+def first_group_match_array(text: Column, groups: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """Same answer as :func:`first_group_match`, as a higher-order expression over a literal
+    array of (keywords, value) groups: small generated code, and on long texts (where each
+    substring test dominates) as fast as the CASE form."""
+    arr = F.array(*[
+        F.struct(F.array(*[F.lit(k) for k in patterns]).alias("ks"), F.lit(value).alias("v"))
+        for patterns, value in groups
+    ])
+    return F.get(F.filter(arr, lambda g: F.exists(g["ks"], lambda k: text.contains(k))), 0)["v"]
+
+
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Rules as a DataFrame (ordinal, pattern, value)."""
     from ledgerlens.sources.literal import literal_table

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.functions.rules import first_group_match, first_match
+from ledgerlens.functions.rules import first_group_match_array, first_match
 from ledgerlens.operators.joins import broadcast_if_small, known_rows, with_known_rows
 
 CODE_CATEGORY = "_code_category"
@@ -19,7 +19,7 @@ def classify_codes(
 ) -> DataFrame:
     """(code, description) -> (code, description, category); codes upper-cased. Category = first
     rule group with a keyword in the lower-cased description, else Uncategorised."""
-    cat = F.coalesce(first_group_match(F.col("_lc"), rules), F.lit(D.UNCATEGORISED))
+    cat = F.coalesce(first_group_match_array(F.col("_lc"), rules), F.lit(D.UNCATEGORISED))
     staged = codes.withColumn("_lc", F.lower("description"))
     out = staged.select(F.upper("code").alias("code"), "description", cat.alias("category"))
     return with_known_rows(out, known_rows(codes))  # one output row per input row

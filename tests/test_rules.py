@@ -41,3 +41,15 @@ def test_array_form_equals_case_form(spark):
     out = df.select(first_match(F.col("t"), MERCHANT_KEYWORDS).alias("a"),
                     first_match_array(F.col("t"), MERCHANT_KEYWORDS).alias("b")).collect()
     assert all(r.a == r.b for r in out) and out[0].a == "Food & Drink" and out[3].a is None
+
+
+def test_group_array_form_equals_case_form(spark):
+    from ledgerlens.defaults import CODE_RULES
+    from ledgerlens.functions.rules import first_group_match, first_group_match_array
+
+    texts = [("instant direct credit",), ("insurance premium",), ("fixed deposit interest",), ("adjustment",),
+             ("cash withdrawal service charge",)]
+    df = spark.createDataFrame(texts, "t string")
+    out = df.select(first_group_match(F.col("t"), CODE_RULES).alias("a"),
+                    first_group_match_array(F.col("t"), CODE_RULES).alias("b")).collect()
+    assert [r.a for r in out] == [r.b for r in out] == ["Income", "Government & CPF", "Income", None, "Transfers"]
