@@ -21,7 +21,7 @@ from ledgerlens.operators.clean import clean_statements, dedup_first
 from ledgerlens.operators.dimension import first_writer_categories
 from ledgerlens.operators.joins import broadcast_if_small, with_known_rows
 from ledgerlens.operators.rollups import default_budgets
-from ledgerlens.session import staging_path
+from ledgerlens.session import drop_staged, staging_path
 from ledgerlens.sources.codelist import read_code_list
 from ledgerlens.sources.literal import literal_table
 
@@ -193,6 +193,7 @@ class Warehouse:
         facts = facts.join(merchant_cats, "merchant").select(*[f.name for f in S.TRANSACTIONS.fields])
         inserted = self._append_staged(facts, "transactions", partition_by="year_month")
         batch_rows = staged.count()
+        drop_staged(self.spark, stage)  # every row of the batch is stored now
         kept = metrics.get("raw_rows", 0) - metrics.get("bad_dates", 0) - metrics.get("zero_amounts", 0)
         return LoadReport(
             raw_rows=metrics.get("raw_rows", 0), bad_dates=metrics.get("bad_dates", 0),
@@ -215,6 +216,7 @@ class Warehouse:
         budgets.select(F.col("category").cast("string"), F.col("monthly_limit").cast("double")) \
             .write.mode("overwrite").parquet(stage)
         self.spark.read.parquet(stage).write.mode("overwrite").parquet(self.path("budgets"))
+        drop_staged(self.spark, stage)
 
     def reset(self) -> None:
         """Full reload: empty the fact and dimension tables (budgets are kept)."""
@@ -236,4 +238,5 @@ class Warehouse:
             if partition_by:
                 writer = writer.partitionBy(partition_by)
             writer.parquet(self.path(table))
+        drop_staged(self.spark, stage)
         return n

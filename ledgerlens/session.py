@@ -74,10 +74,25 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+STAGING_DIR = "ledgerlens-staging"
+
+
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Delete one staging folder made by :func:`staging_path` once nothing reads it any more
+    (only paths inside the staging area are ever deleted)."""
+    if f"/{STAGING_DIR}/" not in path:
+        raise ValueError(f"not a staging folder: {path}")
+    sc = _context(spark)
+    if sc is None:
+        return
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for staged intermediate tables."""
     root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/ledgerlens-staging/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{STAGING_DIR}/{name}-{uuid.uuid4().hex}"
 
 
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
