@@ -72,8 +72,8 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months:
     return facts.join(stored, ["year_month", "transaction_hash"], "left_anti").select(*FACT_COLUMNS)
 
 
-def new_merchants(batch: DataFrame, existing: DataFrame | None) -> DataFrame:
-    return first_writer_categories(batch, existing=existing)
+def new_merchants(batch: DataFrame, existing: DataFrame | None, keywords=None) -> DataFrame:
+    return first_writer_categories(batch, existing=existing, keywords=keywords)
 
 
 def seeded_categories(spark: SparkSession) -> DataFrame:
@@ -100,9 +100,11 @@ class Warehouse:
 
     TABLES = ("categories", "codes", "merchants", "transactions", "budgets")
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keywords=None):
+        """``keywords``: ordered (keyword, category) merchant rules; the defaults when None."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keywords = keywords
 
     # -- paths and reads ------------------------------------------------------------------
     def path(self, table: str) -> str:
@@ -185,8 +187,12 @@ class Warehouse:
         batch.write.mode("overwrite").parquet(stage)  # cuts lineage; `seq` is fixed from here on
         metrics = obs.get
         staged = self.spark.read.parquet(stage)
-        merchants = new_merchants(staged, self.read("merchants"))
+        merchants = new_merchants(staged, self.read("merchants"), self.keywords)
         n_merchants = self._append_staged(merchants, "merchants")
+        # Get-or-create for categories: a category named by the rules but not stored yet is added.
+        named = self.read("merchants").select(F.col("category").alias("name")).distinct()
+        missing = named.join(self.read("categories").select("name"), "name", "left_anti")
+        self._append_staged(missing.select(F.xxhash64("name").alias("category_id"), "name"), "categories")
         facts = new_transactions(staged, self.read("transactions")).withColumn("created_at", F.current_timestamp())
         # Every merchant of the batch is stored now; attach its (immutable) category.
         merchant_cats = self.read("merchants").select("merchant", "category")

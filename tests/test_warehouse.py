@@ -140,3 +140,18 @@ def test_stored_view_equals_join_through_merchants(spark, workdir):
     # no join with the merchant table at query time
     assert "merchants" not in " ".join(stored.inputFiles())
     assert stored.count() == 13
+
+
+def test_new_category_from_rules_is_created(spark, workdir):
+    from pyspark.sql import functions as F
+
+    import ledgerlens.defaults as D
+
+    wh = Warehouse(spark, os.path.join(workdir, "wh"), keywords=[("pet lovers", "Pets")] + list(D.MERCHANT_KEYWORDS))
+    wh.initialise()
+    p = os.path.join(workdir, "pets.csv")
+    with open(p, "w") as f:
+        f.write("Transaction Date,Description,Withdrawal Amount,Deposit Amount\n2024-04-01,PET LOVERS CENTRE,30.00,\n")
+    wh.load_statements(read_statements(spark, p))
+    assert wh.read("categories").filter(F.col("name") == "Pets").count() == 1
+    assert wh.view().filter(F.col("category") == "Pets").count() == 1
