@@ -49,7 +49,7 @@ def transactions_view(
     return df.select(
         "t.transaction_hash", "t.transaction_date", "t.amount", "t.description", "t.transaction_code",
         "code_description", "t.merchant", "category",
-        F.date_format("t.transaction_date", "yyyy-MM").alias("month"),
+        F.col("t.year_month").alias("month"),  # = yyyy-MM of the date; the fact partition column
         F.dayofmonth("t.transaction_date").alias("day"),
         (F.col("t.amount") < 0).alias("is_expense"),
     )
@@ -68,7 +68,7 @@ def stored_transactions_view(transactions: DataFrame, categories: DataFrame, cod
     return df.select(
         "t.transaction_hash", "t.transaction_date", "t.amount", "t.description", "t.transaction_code",
         "code_description", "t.merchant", "t.category",
-        F.date_format("t.transaction_date", "yyyy-MM").alias("month"),
+        F.col("t.year_month").alias("month"),  # = yyyy-MM of the date; the fact partition column
         F.dayofmonth("t.transaction_date").alias("day"),
         (F.col("t.amount") < 0).alias("is_expense"),
     )

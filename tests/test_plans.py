@@ -60,3 +60,20 @@ def test_hot_fingerprint_and_hot_merchant(spark):
     assert tx.count() == 1 + 2000
     grab = s.merchants.filter("merchant = 'GRAB'").first()
     assert grab.category == "Transport"
+
+
+def test_month_filter_prunes_stored_partitions(spark, workdir):
+    import os
+
+    from conftest import fixture_path
+    from ledgerlens.operators.load import Warehouse
+    from ledgerlens.operators.views import FilterState, month_scoped
+    from ledgerlens.sources import read_statements
+
+    wh = Warehouse(spark, os.path.join(workdir, "wh"))
+    wh.initialise()
+    wh.load_statements(read_statements(spark, fixture_path("statement.csv")))
+    df = month_scoped(wh.view(), FilterState(["2024-01"]))
+    assert df.count() == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year_month" in plan and "2024-01" in plan
