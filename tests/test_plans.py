@@ -77,3 +77,18 @@ def test_month_filter_prunes_stored_partitions(spark, workdir):
     assert df.count() == 1
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year_month" in plan and "2024-01" in plan
+
+
+def test_parse_is_not_copied_into_the_row_filter(spark):
+    s = build_star(spark, SF_SMALL)
+    plan = s.clean._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line and "CollectMetrics" not in line]
+    assert filters and not any("gettimestamp" in f for f in filters)
+
+
+def test_star_view_scans_the_input_once(spark):
+    s = build_star(spark, SF_SMALL)
+    plan = _plan(s.view)
+    # the view reads the staged batch (written once), not lineitem again per branch
+    assert "lineitem" not in plan
+    assert plan.count("FileScan parquet") >= 2 and "star-batch" in plan
