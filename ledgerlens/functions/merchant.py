@@ -16,6 +16,10 @@ def _re(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _when_contains(name: Column, literal: str, rewritten: Column) -> Column:
+    return F.when(name.contains(literal), rewritten).otherwise(name)
+
+
 def strip_noise(name: Column, tokens: Sequence[str] = D.NOISE_TOKENS) -> Column:
     for token in tokens:
         name = F.replace(name, F.lit(token), F.lit(""))
@@ -30,14 +34,18 @@ def merchant_base(
     """Cleaning steps before the alias map: terminal suffix, wallet prefixes, country suffix,
     leading digits, reference tails, noise tokens, blank runs, length cut. Each step sees the
     output of the previous one, so an early step can hide a later alias."""
+    # Each pattern below needs a literal that a cheap substring test finds first ("SGP", a
+    # leading "GRAB*", "SG", "*" or "#"); the regular expression only runs where it can match.
     name = F.upper(description)
-    name = F.regexp_replace(name, _re(D.TERMINAL_SUFFIX_RE), "")
-    name = F.regexp_replace(name, _re(D.GRAB_PREFIX_RE), D.GRAB_PREFIX_REPLACEMENT)
+    name = _when_contains(name, "SGP", F.regexp_replace(name, _re(D.TERMINAL_SUFFIX_RE), ""))
+    name = F.when(name.startswith("GRAB*"),
+                  F.regexp_replace(name, _re(D.GRAB_PREFIX_RE), D.GRAB_PREFIX_REPLACEMENT)).otherwise(name)
     for old, new in D.LITERAL_REWRITES:
         name = F.replace(name, F.lit(old), F.lit(new))
-    name = F.regexp_replace(name, _re(D.COUNTRY_SUFFIX_RE), "")
+    name = _when_contains(name, "SG", F.regexp_replace(name, _re(D.COUNTRY_SUFFIX_RE), ""))
     name = F.regexp_replace(name, _re(D.LEADING_DIGITS_RE), "")
-    name = F.regexp_replace(name, _re(D.REFERENCE_TAIL_RE), "")
+    name = F.when(name.contains("*") | name.contains("#"),
+                  F.regexp_replace(name, _re(D.REFERENCE_TAIL_RE), "")).otherwise(name)
     name = strip_noise(name, noise_tokens)
     return F.substring(ustrip(F.regexp_replace(name, _re(D.WHITESPACE_RUN_RE), " ")), 1, max_chars)
 
