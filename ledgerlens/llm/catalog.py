@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import ngram_join
+from ledgerlens.llm import decontaminate, ngram_join
 from ledgerlens.llm.common import documents
 
 
@@ -15,8 +16,22 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10-word windows of the benchmark in all documents."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.benchmark_overlaps(documents(spark, sf_dir), bench, window=10, k=5).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
