@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, ngram_join
-from ledgerlens.llm.common import documents
+from ledgerlens.llm import decontaminate, ngram_join, toxicity
+from ledgerlens.llm.common import documents, held_out
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    """Learned from the labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.learn(toxicity.training_sample(documents(spark, sf_dir), labels, ~held_out()))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity_scores(documents(spark, sf_dir), toxic_lexicon(spark, sf_dir)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_hits"
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of the benchmark in all documents."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -31,6 +44,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
