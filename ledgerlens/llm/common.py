@@ -154,3 +154,11 @@ def text_bytes(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few thousand driver-made rows as one JSON literal, unpacked in the JVM.
+    ``schema`` is a DDL list of fields; the dicts use its names."""
+    import json
+
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
