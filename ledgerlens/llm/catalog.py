@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, hash_ring, mixing, ngram_join, toxicity
+from ledgerlens.llm import decontaminate, hash_ring, mixing, ngram_join, quality_rules, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the weakly supervised quality verdict."""
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return quality_rules.quality_posteriors(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & (F.col("quality") >= 0.5)).alias("kept"),
+        "quality",
+    )
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard similarity of 0.9 or more, over all documents."""
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
@@ -55,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
