@@ -78,54 +78,63 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes of the rules over the columns of :func:`text_statistics`."""
+    """Votes of the rules over the columns of :func:`text_statistics`. Rules that look for one
+    kind of damage abstain where they do not find it, as its absence proves no quality."""
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     symbols, mean = F.col("n_symbols") / n, F.col("word_chars") / n
     upper, chars = F.col("n_upper") / F.greatest("word_chars", F.lit(1)), F.greatest("word_chars", F.lit(1))
     ended = F.col("n_ended_lines") / lines
     repeats, dups = F.col("n_repeat_words") / n, F.col("n_dup_lines") / lines
+    never = F.lit(False)
     return {
         "length": _vote(F.col("n_words") < 20, F.col("n_words") >= 60),
-        "symbols": _vote(symbols > 0.1, symbols < 0.02),
-        "capitals": _vote(upper > 0.3, upper < 0.1),
-        "exclaims": _vote(F.col("n_exclaims") / n > 0.1, F.col("n_exclaims") / n < 0.02),
+        "symbols": _vote(symbols > 0.3, symbols < 0.05),
         "sentences": _vote(ended < 0.2, ended > 0.6),
-        "repeats": _vote(repeats > 0.2, repeats < 0.05),
-        "same_lines": _vote(dups > 0.3, dups == 0),
-        "word_length": _vote((mean < 2.5) | (mean > 12), (mean > 3) & (mean < 8)),
-        "digits": _vote(F.col("n_digits") / chars > 0.2, F.col("n_digits") / chars < 0.02),
+        "capitals": _vote(upper > 0.3, never),
+        "exclaims": _vote(F.col("n_exclaims") / n > 0.3, never),
+        "repeats": _vote(repeats > 0.2, never),
+        "same_lines": _vote((dups > 0.3) & (F.col("n_dup_lines") >= 3), never),
+        "word_length": _vote((mean < 2.5) | (mean > 12), never),
+        "digits": _vote(F.col("n_digits") / chars > 0.2, never),
     }
 
 
 VOTES = (-1, 0, 1)
 
 
+#: Share of votes on good and on bad documents that a rule is believed to cast before any data,
+#: and the weight of that belief as a share of all documents (for each class).
+BELIEF = {1: {1: 0.5, 0: 0.495, -1: 0.005}, -1: {1: 0.3, 0: 0.3, -1: 0.4}}
+BELIEF_WEIGHT = 0.05
+
+
 def estimate(votes: DataFrame, names: list[str], rounds: int = 25) -> tuple[float, dict[str, dict[int, float]]]:
     """EM over the vote patterns (at most 3 ** rules rows): the prior log odds of a good document
     and the log likelihood ratio good : bad of every vote of every rule. Each round is one
-    aggregation of the pattern table to 6 sums a rule. Starts from accuracies of 0.8 and a
-    prior of 0.8; counts are smoothed by that start with a weight of 10 documents (bad) and 10
-    (good), and no rule's good votes may speak for bad documents or the reverse."""
+    aggregation of the pattern table to a few sums a rule.
+
+    Two classes alone could swap meaning, so the estimates start from BELIEF and keep it with
+    BELIEF_WEIGHT; good documents are taken to be no minority; no rule's good votes may speak for
+    bad documents or the reverse, and an abstention says nothing."""
     patterns = stage(votes.groupBy(*names).agg(F.count("*").alias("n")), "votes")
-    start = {1: {1: 0.6, 0: 0.3, -1: 0.1}, -1: {1: 0.3, 0: 0.3, -1: 0.4}}
     prior = math.log(0.8 / 0.2)
-    ratio = {r: {v: math.log(start[1][v] / start[-1][v]) for v in VOTES} for r in names}
+    ratio = {r: {v: math.log(BELIEF[1][v] / BELIEF[-1][v]) if v else 0.0 for v in VOTES} for r in names}
     for _ in range(rounds):
         good = F.col("n") * posterior(prior, ratio)
         sums = [F.sum(good).alias("good"), F.sum("n").alias("all")]
-        sums += [F.sum(F.when(F.col(r) == v, x)).alias(f"{r}|{v}|{k}") for r in names for v in VOTES for k, x in (("g", good), ("n", F.col("n")))]
+        sums += [F.sum(F.when(F.col(r) == v, x)).alias(f"{r}|{v}|{k}") for r in names for v in (-1, 1) for k, x in (("g", good), ("n", F.col("n")))]
         got = patterns.agg(*sums).first()
         if not got["all"]:
             break
-        g, b = got["good"], got["all"] - got["good"]
+        g, b, w = got["good"], got["all"] - got["good"], BELIEF_WEIGHT * got["all"]
         before = prior
-        prior = math.log((g + 8) / (b + 2))
+        prior = max(0.0, math.log((g + w * 0.8) / (b + w * 0.2)))
         for r in names:
-            for v in VOTES:
+            for v in (-1, 1):
                 gv = got[f"{r}|{v}|g"] or 0.0
                 bv = (got[f"{r}|{v}|n"] or 0) - gv
-                x = math.log((gv + 10 * start[1][v]) / (g + 10)) - math.log((bv + 10 * start[-1][v]) / (b + 10))
-                ratio[r][v] = max(0.0, x) if v == 1 else min(0.0, x) if v == -1 else 0.0
+                x = math.log((gv + w * BELIEF[1][v]) / (g + w)) - math.log((bv + w * BELIEF[-1][v]) / (b + w))
+                ratio[r][v] = v * max(0.0, v * x)
         if abs(prior - before) < 1e-6:
             break
     return prior, ratio
