@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, hash_ring, mixing, ngram_join, quality_rules, toxicity
+from ledgerlens.llm import decontaminate, hash_ring, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -52,6 +52,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by the base rules and more."""
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda x: x["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(_joined(of(*base)), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of the benchmark in all documents."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -75,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
 }

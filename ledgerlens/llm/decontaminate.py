@@ -186,12 +186,11 @@ def benchmark_overlaps(docs: DataFrame, bench: DataFrame, window: int = 10, k: i
         .agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     )
     which = hits.where("item_id is not null").groupBy("th", "n_words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return (
-        scanned.select("doc_id", "th", "n_words")
-        .join(spans, ["th", "n_words"], "left")
-        .join(which, ["th", "n_words"], "left")
-        .select("doc_id", F.col("th").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "items", "spans")
-    )
+    plain = scanned.where(F.size("wins") == 0)
+    met = scanned.where(F.size("wins") > 0).select("doc_id", "th", "n_words").join(spans, ["th", "n_words"], "left").join(which, ["th", "n_words"], "left")
+    met = met.select("doc_id", F.col("th").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "items", "spans")
+    none = [F.lit(0).cast("long").alias("n_hit"), *(F.lit(None).cast(met.schema[c].dataType).alias(c) for c in ("items", "spans"))]
+    return met.unionByName(plain.select("doc_id", F.col("th").alias("text_hash"), "n_words", *none))
 
 
 def _id_type(docs: DataFrame) -> str:
