@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, hash_ring, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from ledgerlens.llm import decontaminate, hash_ring, language_id, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -52,6 +52,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs.where(~held_out()))
+    return language_id.identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def _joined(spans) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
