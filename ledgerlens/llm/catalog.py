@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, hash_ring, language_id, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from ledgerlens.llm import decontaminate, hash_ring, importance_sampling, language_id, licences, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -27,6 +27,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of all documents towards those labelled good (held-out labels are
+    not used); the sample has as large a share of the rows as good labels have of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").where(~held_out())
+    good = labels.where("quality = 1").select("doc_id")
+    n = labels.agg(F.count("*").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("good")).first()
+    share = n["good"] / n["n"] if n["n"] else 1.0
+    return importance_sampling.resample(documents(spark, sf_dir), good, share).select("doc_id", held_out().alias("held_out"), "n_grams", "log_weight", "sample_key", "kept")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard similarity of 0.9 or more, over all documents."""
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=3, num=90, den=100)
@@ -59,6 +69,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    found = licences.scan_licences(documents(spark, sf_dir))
+    return found.select("doc_id", "n_units", "n_matches", F.array_join("licences", ",").alias("licences"), "best", "dice")
+
+
 def _joined(spans) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -96,10 +112,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
+    "op7_licence_scan": op7_licence_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
