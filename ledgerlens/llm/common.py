@@ -162,3 +162,10 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     import json
 
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def pinned(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column computed exactly once per row: a one-element explode is a barrier
+    through which the optimizer neither copies the expression into later lambdas nor pushes a
+    filter on it."""
+    return df.withColumn(name, F.explode(F.array(value)))

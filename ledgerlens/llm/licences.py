@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import small_table, stage, text_key
+from ledgerlens.llm.common import pinned, small_table, stage, text_key
 
 # Well-known public licence notices.
 TEMPLATES = (
@@ -72,13 +72,13 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     base = docs.select("doc_id", text_key().alias("th"), "text", F.split("text", "\n").alias("lines")).withColumn("rk", F.xxhash64("doc_id", "th"))
     units = base.where("text is not null").select("rk", F.posexplode(F.concat(F.array("text"), "lines")).alias("unit", "part"))
-    units = units.select("rk", "unit", normal_words(F.col("part")).alias("words")).where(F.size("words") > least * low)
-    units = units.select("rk", "unit", word_pairs("words").alias("grams"), F.size("words").alias("_w")).withColumn("n", F.size("grams"))
-    units = units.where((F.col("n") >= least * low) & (F.col("n") <= most * high) & (F.col("_w") > 0))
+    units = pinned(units, "words", normal_words(F.col("part"))).where(F.size("words") > least * low).drop("part")
+    units = pinned(units, "grams", word_pairs("words")).drop("words")
+    units = pinned(units, "n", F.size("grams")).where((F.col("n") >= least * low) & (F.col("n") <= most * high))
     fits = F.filter(literal, lambda t: (F.col("n") >= t["n"] * low) & (F.col("n") <= t["n"] * high))
     scored = F.transform(fits, lambda t: F.struct((2.0 * F.size(F.array_intersect("grams", t["grams"])) / (F.col("n") + t["n"])).alias("dice"), t["name"].alias("name")))
     best = F.array_max(F.transform(F.filter(scored, lambda s: s["dice"] >= threshold), lambda s: F.struct(s["dice"], s["name"])))
-    found = units.select("rk", "unit", best.alias("best")).where("best is not null").distinct()
+    found = pinned(units, "best", best).where("best is not null").select("rk", "unit", "best").distinct()
     found = found.groupBy("rk").agg(
         F.sort_array(F.collect_list(F.struct("unit", F.col("best.name").alias("name"), F.col("best.dice").alias("dice")))).alias("matches"),
         F.sort_array(F.collect_set("best.name")).alias("licences"),

@@ -331,19 +331,9 @@ def _forest_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "links"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Components of the graph that links documents with Jaccard similarity >= num/den over
-    distinct k-word shingles (words: runs of characters other than ASCII white space, A-Z
-    lower-cased). Needs columns doc_id (integer) and text; others are ignored.
-
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable
-    by links, itself included), n_links (other documents linked directly).
-
-    Defined cases: a null or blank text has n_shingles 0, is linked with nothing and has its own
-    doc_id as component_id; fewer than k words make one shingle of the whole sequence; repeated
-    rows (even with the same doc_id) are kept and linked with each other; a null doc_id counts
-    as no candidate for the smallest id; an empty table gives an empty result.
-    """
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, th, comp, n_shingles, component_id, n_links) of every row; comp names the
+    component (null for a row without words)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", text_key())
@@ -402,19 +392,48 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = forest.groupBy(F.col("u").alias("sig")).agg(F.sum("links").alias("links"))
     by_sig = nodes.select("sig", "first_id", "mult").join(labels, "sig", "left").join(links, "sig", "left").withColumn("comp", F.coalesce("label", "sig"))
     low = by_sig.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_sig = by_sig.join(low, "comp").select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    by_sig = by_sig.join(low, "comp").select("sig", "comp", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     return sets.join(by_sig, "sig", "left").select(
         "doc_id",
+        "th",
+        "comp",
         F.col("n").alias("n_shingles"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Components of the graph that links documents with Jaccard similarity >= num/den over
+    distinct k-word shingles (words: runs of characters other than ASCII white space, A-Z
+    lower-cased). Needs columns doc_id (integer) and text; others are ignored.
+
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable
+    by links, itself included), n_links (other documents linked directly).
+
+    Defined cases: a null or blank text has n_shingles 0, is linked with nothing and has its own
+    doc_id as component_id; fewer than k words make one shingle of the whole sequence; repeated
+    rows (even with the same doc_id) are kept and linked with each other; a null doc_id counts
+    as no candidate for the smallest id; an empty table gives an empty result.
+    """
+    return _linked(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` with one document of each group left: the one whose doc_id is the
-    group's component_id (of rows that share that doc_id, one per text remains). Rows without
-    a doc_id in a group that has none are kept. Same cases as :func:`jaccard_components`."""
-    out = jaccard_components(docs, k, num, den)
-    drop = out.where("n_shingles > 0 and component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop_id"], "left_anti")
+    """The rows of ``docs`` (all columns unchanged) with one of each group of linked documents
+    left: the smallest doc_id (null last), of one doc_id the smallest text hash, of equal rows
+    one. Rows without words are in no group and stay. Same cases as :func:`jaccard_components`."""
+    rows = stage(_linked(docs, k, num, den).where("comp is not null").select("doc_id", "th", "comp"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = rows.groupBy("comp").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "comp").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    twice = stage(rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "twice")
+
+    def same(df):
+        return df["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_th"))
+
+    left = docs.join(broadcast_if_small(gone), same(docs), "left_anti")
+    if not twice.isEmpty():
+        again = left.join(twice, same(left), "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        left = left.join(twice, same(left), "left_anti").unionByName(again)
+    return left
