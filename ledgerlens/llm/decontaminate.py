@@ -200,5 +200,5 @@ def _id_type(docs: DataFrame) -> str:
 def without_overlaps(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` without any window of a benchmark item (whole documents go, whatever
     the share of hit words). Same cases as :func:`benchmark_overlaps`."""
-    bad = benchmark_overlaps(docs, bench, window, k).where("n_hit > 0").select(F.col("text_hash").alias("_bad")).distinct()
-    return docs.join(broadcast_if_small(bad), text_key() == F.col("_bad"), "left_anti")
+    bad = benchmark_overlaps(docs, bench, window, k).where("n_hit > 0").select(F.col("text_hash").alias("__bad_text")).distinct()
+    return docs.join(broadcast_if_small(bad), text_key() == F.col("__bad_text"), "left_anti")

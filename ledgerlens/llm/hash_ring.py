@@ -30,7 +30,7 @@ def _position(*cols):
 def ring(spark: SparkSession, shards: int, points: int = POINTS) -> DataFrame:
     """The ring's points in order: arc (0, 1, ...), pos, shard."""
     ids = spark.range(0, shards * points, 1, 1)
-    at = ids.select((F.col("id") % shards).cast("int").alias("shard"), _position(F.lit("ring"), F.col("id")).alias("pos"))
+    at = ids.select(F.expr(f"cast(id div {points} as int)").alias("shard"), _position(F.lit("ring"), F.expr(f"id div {points}"), F.col("id") % points).alias("pos"))
     return at.select((F.row_number().over(Window.orderBy("pos", "shard")) - 1).alias("arc"), "pos", "shard")
 
 

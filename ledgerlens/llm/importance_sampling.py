@@ -119,9 +119,9 @@ def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 17) -
     with one seed agree."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    ids = target.select(F.col("doc_id").alias("_target")).where("_target is not null").distinct()
+    ids = target.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     base = docs.select("doc_id", "text").withColumn("th", text_key())
-    marked = base.join(ids, base["doc_id"] == ids["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
+    marked = base.join(ids, base["doc_id"] == ids["__target"], "left").select("text", F.col("__target").isNotNull().alias("target"))
     ratio = spark.sparkContext.broadcast(log_ratio(marked))  # CELLS doubles
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = base.mapInArrow(_weights(ratio), f"doc_id {kind}, th long, n_grams long, log_weight double")

@@ -101,11 +101,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each 0 to 3 times, columns unchanged."""
-    spots = mix_sources(docs, weights, seed).groupBy("doc_id", "source", "text_hash").agg(F.sum("passes").alias("_passes"), F.count("*").alias("_rows")).where("_passes > 0")
-    spots = spots.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_th"), "_passes", "_rows")
+    spots = mix_sources(docs, weights, seed).groupBy("doc_id", "source", "text_hash").agg(F.sum("passes").alias("__mix_passes"), F.count("*").alias("__mix_rows")).where("__mix_passes > 0")
+    spots = spots.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_hash").alias("__mix_th"), "__mix_passes", "__mix_rows")
     names = docs.columns
-    got = docs.join(spots, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (text_key() == F.col("_th")))
-    whole = got.where("_passes % _rows = 0").withColumn("_n", F.expr("_passes div _rows"))
-    odd = got.where("_passes % _rows <> 0").withColumn("_i", F.row_number().over(Window.partitionBy("_id", "_source", "_th").orderBy(F.lit(0))))
-    odd = odd.withColumn("_n", F.expr("_passes div _rows + if(_i <= _passes % _rows, 1, 0)")).drop("_i")
-    return whole.unionByName(odd).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    got = docs.join(spots, docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (text_key() == F.col("__mix_th")))
+    whole = got.where("__mix_passes % __mix_rows = 0").withColumn("__mix_n", F.expr("__mix_passes div __mix_rows"))
+    odd = got.where("__mix_passes % __mix_rows <> 0").withColumn("__mix_i", F.row_number().over(Window.partitionBy("__mix_id", "__mix_source", "__mix_th").orderBy(F.lit(0))))
+    odd = odd.withColumn("__mix_n", F.expr("__mix_passes div __mix_rows + if(__mix_i <= __mix_passes % __mix_rows, 1, 0)")).drop("__mix_i")
+    return whole.unionByName(odd).where("__mix_n > 0").withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int")))).select(*names)

@@ -426,14 +426,14 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     rows = stage(_linked(docs, k, num, den).where("comp is not null").select("doc_id", "th", "comp"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = rows.groupBy("comp").agg(F.min(order).alias("first"))
-    gone = rows.join(first, "comp").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    twice = stage(rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "twice")
+    gone = rows.join(first, "comp").where(order != F.col("first")).select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th")).distinct()
+    twice = stage(rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th")), "twice")
 
     def same(df):
-        return df["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_th"))
+        return df["doc_id"].cast("long").eqNullSafe(F.col("__keep_id")) & (text_key() == F.col("__keep_th"))
 
     left = docs.join(broadcast_if_small(gone), same(docs), "left_anti")
     if not twice.isEmpty():
-        again = left.join(twice, same(left), "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        again = left.join(twice, same(left), "left_semi").withColumn("__keep_key", text_key()).dropDuplicates(["doc_id", "__keep_key"]).drop("__keep_key")
         left = left.join(twice, same(left), "left_anti").unionByName(again)
     return left
