@@ -7,17 +7,33 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import ustrip
 
-MONEY_TYPE = "decimal(18,2)"
+#: Stored money (26 integer digits) and parsed numbers before rounding (28 integer digits).
+MONEY_TYPE = "decimal(28,2)"
+PARSED_TYPE = "decimal(38,10)"
 
-# Plain decimal numbers with an optional sign and exponent. Everything else (blank, "nan",
-# "inf", "5d", "1,234.50", "(5.00)") is rejected and counts as 0.
+# Plain decimal numbers with an optional sign and exponent. Everything else ("nan", "inf",
+# "5d", "1,234.50", "(5.00)") is rejected and counts as 0.
 NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def parse_amount(c: Column, strip_thousands: bool = False) -> Column:
-    """Text -> decimal(18,2); text that is not a plain number becomes 0.00."""
+def parse_number(c: Column, strip_thousands: bool = False) -> Column:
+    """Text -> unrounded decimal; null when the text is blank, no plain number or too large."""
     text = ustrip(c)
     if strip_thousands:
         text = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(\D|$))", "")
-    value = F.when(text.rlike(NUMBER_RE), text.try_cast(MONEY_TYPE))
-    return F.coalesce(value, F.lit(0).cast(MONEY_TYPE))
+    return F.when(text.rlike(NUMBER_RE), text.try_cast(PARSED_TYPE))
+
+
+def parse_amount(c: Column, strip_thousands: bool = False) -> Column:
+    """Text -> unrounded decimal; text that is not a plain number becomes 0."""
+    return F.coalesce(parse_number(c, strip_thousands), F.lit(0).cast(PARSED_TYPE))
+
+
+def to_money(value: Column) -> Column:
+    """Unrounded decimal -> stored money, half-up to cents; null where it does not fit."""
+    return value.try_cast(MONEY_TYPE)
+
+
+def rejected(c: Column, parsed: Column) -> Column:
+    """True for a cell that holds text but no number that can be kept."""
+    return (ustrip(c) != "") & parsed.isNull()

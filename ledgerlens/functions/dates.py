@@ -11,6 +11,7 @@ from ledgerlens.functions.text import ustrip
 
 _D = "[0-9]{1,2}"
 _Y = "[0-9]{4}"
+_YY = "[0-9]{2}"
 _MON = "[A-Za-z]{3}"
 _MONTH = "[A-Za-z]+"
 
@@ -25,17 +26,28 @@ DEFAULT_DATE_FORMATS: tuple[tuple[str, str], ...] = (
     ("d/M/yyyy", f"^{_D}/{_D}/{_Y}$"),
     ("d-M-yyyy", f"^{_D}-{_D}-{_Y}$"),
     ("d.M.yyyy", rf"^{_D}\.{_D}\.{_Y}$"),
-    ("d/M/yy", f"^{_D}/{_D}/[0-9]{{2}}$"),
+    ("d/M/yy", f"^{_D}/{_D}/{_YY}$"),
+    ("d-M-yy", f"^{_D}-{_D}-{_YY}$"),
+    ("d.M.yy", rf"^{_D}\.{_D}\.{_YY}$"),
     ("d MMM yyyy", f"^{_D} {_MON} {_Y}$"),
     ("d-MMM-yyyy", f"^{_D}-{_MON}-{_Y}$"),
+    ("d MMM yy", f"^{_D} {_MON} {_YY}$"),
+    ("d-MMM-yy", f"^{_D}-{_MON}-{_YY}$"),
     ("d MMMM yyyy", f"^{_D} {_MONTH} {_Y}$"),
     ("MMM d, yyyy", f"^{_MON} {_D}, {_Y}$"),
     ("MMMM d, yyyy", f"^{_MONTH} {_D}, {_Y}$"),
+    ("MMM d yyyy", f"^{_MON} {_D} {_Y}$"),
+    ("MMMM d yyyy", f"^{_MONTH} {_D} {_Y}$"),
     ("M/d/yyyy", f"^{_D}/{_D}/{_Y}$"),
+    ("M-d-yyyy", f"^{_D}-{_D}-{_Y}$"),
+    ("M.d.yyyy", rf"^{_D}\.{_D}\.{_Y}$"),
+    ("M/d/yy", f"^{_D}/{_D}/{_YY}$"),
+    ("M-d-yy", f"^{_D}-{_D}-{_YY}$"),
 )
 
-# A trailing clock time ("2025-01-02 10:00", "02/01/2025 9:15:00 PM") is ignored.
-_TRAILING_TIME = r"(?U)(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
+# A trailing clock time ("2025-01-02 10:00", "02/01/2025 9:15:00 PM") is ignored, with or without
+# a zone ("2025-01-02T10:00:00Z"): a statement's date is the date as written.
+_TRAILING_TIME = r"(?U)(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?(\s*(Z|[+-]\d{2}:?\d{2}))?$"
 
 
 def date_text(c: Column) -> Column:
@@ -48,8 +60,16 @@ def date_text(c: Column) -> Column:
 def parse_date_text(text: Column, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS) -> Column:
     """Parse prepared date text (see :func:`date_text`); pass a column reference so the text is
     computed once, not once per attempted pattern."""
-    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(p))) for p, shape in formats]
-    return F.coalesce(*tries).cast("date")
+    tries = [F.when(text.rlike(shape), _attempt(text, p)) for p, shape in formats]
+    return F.coalesce(*tries)
+
+
+def _attempt(text: Column, pattern: str) -> Column:
+    date = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    if pattern.endswith("yyyy") or not pattern.endswith("yy"):
+        return date
+    # Two-digit years: 69 to 99 are 1969 to 1999, the others 2000 to 2068.
+    return F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
 
 
 def parse_mixed_date(c: Column, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
-from ledgerlens.functions import blank_to_null, clean_upper, parse_amount, transaction_hash
+from ledgerlens.functions import blank_to_null, clean_upper, transaction_hash
+from ledgerlens.functions.amounts import PARSED_TYPE, parse_number, rejected, to_money
 from ledgerlens.functions.dates import date_text, parse_date_text
 from ledgerlens.functions.merchant import apply_aliases, merchant_base
 from ledgerlens.schemas import CLEAN_COLUMNS, check_required_columns
@@ -26,28 +27,38 @@ def conform_headers(raw: DataFrame) -> DataFrame:
 
 
 def parse_columns(raw: DataFrame, strip_thousands: bool = False) -> DataFrame:
-    """Typed columns before any row is dropped (bad dates and zero amounts still present)."""
+    """Typed columns before any row is dropped (bad dates and zero amounts still present).
+
+    ``_zero`` tells a zero amount before rounding (0.004 is none, though it shows as 0.00);
+    ``_rejected`` a money cell with text that is no number that can be kept; it counts as 0."""
     df = conform_headers(raw)
-    amount = parse_amount(F.col("deposit"), strip_thousands) - parse_amount(F.col("withdrawal"), strip_thousands)
     # Inputs used by several branches are staged as columns so each is computed once per row.
     df = df.withColumns({
         "_date_text": date_text(F.col("transaction_date")),
         "_description": clean_upper(F.col("description")),
+        "_in": parse_number(F.col("deposit"), strip_thousands),
+        "_out": parse_number(F.col("withdrawal"), strip_thousands),
     })
+    zero = F.lit(0).cast(PARSED_TYPE)
+    net = F.try_subtract(F.coalesce("_in", zero), F.coalesce("_out", zero))
     description = F.col("_description")
+    bad_cell = rejected(F.col("deposit"), F.col("_in")) | rejected(F.col("withdrawal"), F.col("_out")) | net.isNull()
     return df.withColumns({
         "transaction_code": blank_to_null(clean_upper(F.col("transaction_code"))),
         "transaction_date": parse_date_text(F.col("_date_text")),
-        "amount": amount.cast("decimal(18,2)"),
+        "amount": F.coalesce(to_money(net), to_money(F.lit(0))),
+        "_zero": F.coalesce(net == 0, F.lit(True)),
+        "_rejected": F.coalesce(bad_cell, F.lit(False)),
         "description": F.when(description == "", F.lit(D.UNKNOWN_PAYEE)).otherwise(description),
-    }).drop("_date_text", "_description")
+    }).drop("_date_text", "_description", "_in", "_out")
 
 
 def clean_statements(
     raw: DataFrame, strip_thousands: bool = False, observation: Observation | None = None
 ) -> DataFrame:
     """Typed, cleaned statement rows. Rows with an unparseable date or a zero amount are
-    dropped and counted in the same pass; pass an :class:`Observation` to read the counts.
+    dropped and counted in the same pass, as are rows with a rejected money cell (dropped only if
+    nothing else makes their amount non-zero); pass an :class:`Observation` to read the counts.
 
     The counting node also keeps the optimizer from copying the date and amount parsing into
     the row filter below it, so each is evaluated once per row.
@@ -56,10 +67,11 @@ def clean_statements(
     counters = (
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(F.col("transaction_date").isNull()).alias("bad_dates"),
-        F.count_if(F.col("transaction_date").isNotNull() & (F.col("amount") == 0)).alias("zero_amounts"),
+        F.count_if(F.col("transaction_date").isNotNull() & F.col("_zero")).alias("zero_amounts"),
+        F.count_if(F.col("transaction_date").isNotNull() & F.col("_rejected")).alias("rejected_amounts"),
     )
     df = df.observe(observation if observation is not None else f"clean_{uuid.uuid4().hex}", *counters)
-    df = df.filter(F.col("transaction_date").isNotNull() & (F.col("amount") != 0))
+    df = df.filter(F.col("transaction_date").isNotNull() & ~F.col("_zero"))
     df = df.withColumn("_merchant_base", merchant_base(F.col("description")))
     df = df.withColumns({
         "year_month": F.date_format("transaction_date", "yyyy-MM"),

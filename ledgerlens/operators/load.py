@@ -87,6 +87,7 @@ class LoadReport:
     raw_rows: int
     bad_dates: int
     zero_amounts: int
+    rejected_amounts: int
     batch_rows: int
     in_batch_duplicates: int
     inserted: int
@@ -203,7 +204,8 @@ class Warehouse:
         kept = metrics.get("raw_rows", 0) - metrics.get("bad_dates", 0) - metrics.get("zero_amounts", 0)
         return LoadReport(
             raw_rows=metrics.get("raw_rows", 0), bad_dates=metrics.get("bad_dates", 0),
-            zero_amounts=metrics.get("zero_amounts", 0), batch_rows=batch_rows,
+            zero_amounts=metrics.get("zero_amounts", 0), rejected_amounts=metrics.get("rejected_amounts", 0),
+            batch_rows=batch_rows,
             in_batch_duplicates=kept - batch_rows, inserted=inserted,
             skipped=batch_rows - inserted, new_merchants=n_merchants,
         )

@@ -116,7 +116,8 @@ def load_counters(spark, sf_dir):
     first = parsed.agg(
         F.count("*").alias("raw_rows"),
         F.count_if(F.col("transaction_date").isNull()).alias("bad_dates"),
-        F.count_if(F.col("transaction_date").isNotNull() & (F.col("amount") == 0)).alias("zero_amounts"),
+        F.count_if(F.col("transaction_date").isNotNull() & F.col("_zero")).alias("zero_amounts"),
+        F.count_if(F.col("transaction_date").isNotNull() & F.col("_rejected")).alias("rejected_amounts"),
     )
     tx1, _, tx2, _, _, batch2 = two_loads(spark, sf_dir)
     parts = [
@@ -125,7 +126,7 @@ def load_counters(spark, sf_dir):
         tx1.agg(F.count("*").alias("first_load_inserted")),
         tx2.agg(F.count("*").alias("second_load_inserted")),
     ]
-    names = ["raw_rows", "bad_dates", "zero_amounts", "batch_rows", "first_load_inserted", "second_load_inserted"]
+    names = ["raw_rows", "bad_dates", "zero_amounts", "rejected_amounts", "batch_rows", "first_load_inserted", "second_load_inserted"]
     rows = None
     for p in parts:
         p = p.select(*[(F.col(n) if n in p.columns else F.lit(None).cast("long")).alias(n) for n in names])

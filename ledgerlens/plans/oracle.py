@@ -2,7 +2,7 @@
 
 The SQL is written independently of the Spark code: plain CTEs over the registered parquet
 views. Only the rule lists (keywords, aliases, code rules) are shared, rendered as CASE text.
-Oracle hygiene: money as DECIMAL(18,2) summed exactly, then DOUBLE; unique tie-breakers
+Oracle hygiene: money as DECIMAL(28,2) summed exactly, then DOUBLE; unique tie-breakers
 before every LIMIT; NULLS FIRST where Spark's ascending default puts nulls first.
 """
 
@@ -41,24 +41,30 @@ def sql_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
 
 
-DATE_FORMATS = [
-    "%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y",
-    "%d %b %Y", "%d-%b-%Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%m/%d/%Y",
+# Written out here on purpose, not imported from the Spark code.
+LONG_YEAR_FORMATS = [
+    "%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d %b %Y", "%d-%b-%Y", "%d %B %Y",
+    "%b %d, %Y", "%B %d, %Y", "%b %d %Y", "%B %d %Y", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y",
 ]
-TRAILING_TIME = r"(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
+SHORT_YEAR_FORMATS = ["%d/%m/%y", "%d-%m-%y", "%d.%m.%y", "%d %b %y", "%d-%b-%y", "%m/%d/%y", "%m-%d-%y"]
+TRAILING_TIME = r"(\s+|T)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?(\s*(Z|[+-]\d{2}:?\d{2}))?$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def sql_date(expr: str) -> str:
     text = f"regexp_replace({sql_strip(expr)}, '{TRAILING_TIME}', '')"
-    tries = ", ".join(f"try_strptime({text}, {q(f)})" for f in DATE_FORMATS)
-    return f"CAST(COALESCE({tries}) AS DATE)"
 
+    def tries(formats):
+        return ", ".join(f"try_strptime({text}, {q(f)})" for f in formats)
 
-def sql_amount(expr: str) -> str:
+    return (f"CAST(CASE WHEN regexp_matches({text}, '[0-9]{{4}}') THEN COALESCE({tries(LONG_YEAR_FORMATS)}) "
+            f"ELSE COALESCE({tries(SHORT_YEAR_FORMATS)}) END AS DATE)")
+
+
+def sql_number(expr: str) -> str:
+    """Unrounded number of a money cell, null when it holds none."""
     t = sql_strip(expr)
-    return (f"COALESCE(CASE WHEN regexp_full_match({t}, '{NUMBER}') THEN TRY_CAST({t} AS DECIMAL(18,2)) END, "
-            f"CAST(0 AS DECIMAL(18,2)))")
+    return f"CASE WHEN regexp_full_match({t}, '{NUMBER}') THEN TRY_CAST({t} AS DECIMAL(38,10)) END"
 
 
 def sql_merchant(expr: str) -> str:
@@ -84,6 +90,9 @@ def sql_list(values: Sequence[str]) -> str:
 def raw_statements_cte() -> str:
     templates = sql_list(T.DESCRIPTION_TEMPLATES)
     codes = sql_list(T.CODE_CYCLE)
+    aliases, amounts = sql_list([a for a, _ in D.MERCHANT_ALIASES]), sql_list(T.ODD_AMOUNTS)
+    forms = ["%m-%d-%Y", "%m.%d.%Y", "%m/%d/%y", "%m-%d-%y", "%-d-%b-%y", "%-d %b %y", "%b %-d %Y", "%B %-d %Y"]
+    odd_dates = " ".join(f"WHEN l_linenumber = 7 AND l_orderkey % 11 = {i} THEN strftime(sd, {q(f)})" for i, f in enumerate(forms))
     return f"""
 li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_returnflag, l_shipdate,
@@ -92,15 +101,23 @@ li AS (
 ),
 stmt0 AS (
   SELECT l_orderkey % 50 AS account_id,
-    CASE WHEN l_linenumber <= 3 THEN strftime(sd, '%Y-%m-%d')
+    CASE WHEN l_linenumber = 2 AND l_orderkey % 41 = 7 THEN {q(T.BAD_DATE)}
+         WHEN l_linenumber = 2 AND l_orderkey % 41 = 8 THEN {q(T.IMPOSSIBLE_DATE)}
+         {odd_dates}
+         WHEN l_linenumber <= 3 THEN strftime(sd, '%Y-%m-%d')
          WHEN l_linenumber <= 5 THEN strftime(sd, '%d/%m/%Y')
          WHEN l_linenumber = 6 THEN strftime(sd, '%d %b %Y')
          ELSE strftime(sd, '%d-%m-%Y') END AS raw_date,
     CASE WHEN l_partkey % 16 = 15 THEN ''
-         ELSE {templates}[l_partkey % 16 + 1] || {q(T.TERMINAL)} || upper(strftime(sd, '%d%b')) || {q(T.CARD_TAIL)}
+         ELSE CASE WHEN l_linenumber = 3 AND l_orderkey % 61 = 5
+                     THEN 'STALL ' || translate(CAST(l_orderkey AS VARCHAR), '0123456789', {q(T.LETTERS)})
+                   WHEN l_linenumber = 3 AND l_orderkey % 61 = 6 THEN {aliases}[l_partkey % {len(D.MERCHANT_ALIASES)} + 1]
+                   ELSE {templates}[l_partkey % 16 + 1] END || {q(T.TERMINAL)} || upper(strftime(sd, '%d%b')) || {q(T.CARD_TAIL)}
     END AS raw_desc,
-    CASE WHEN l_returnflag = 'R' THEN '' ELSE printf('%.2f', l_extendedprice) END AS raw_wd,
-    CASE WHEN l_returnflag = 'R' THEN printf('%.2f', l_extendedprice) ELSE '' END AS raw_dep,
+    CASE WHEN l_linenumber = 4 AND l_orderkey % 37 < {len(T.ODD_AMOUNTS)} THEN {amounts}[l_orderkey % 37 + 1]
+         ELSE printf('%.2f', l_extendedprice) END AS price,
+    CASE WHEN l_returnflag = 'R' THEN '' ELSE price END AS raw_wd,
+    CASE WHEN l_returnflag = 'R' THEN price ELSE '' END AS raw_dep,
     {codes}[l_suppkey % 8 + 1] AS raw_code,
     l_shipdate AS s1, l_orderkey AS s2, l_linenumber AS s3, l_partkey AS s4, l_suppkey AS s5, l_extendedprice AS s6
   FROM li
@@ -117,7 +134,10 @@ def clean_ctes(src: str = "stmt", prefix: str = "") -> str:
   SELECT *,
     NULLIF(upper({sql_strip('raw_code')}), '') AS transaction_code,
     {sql_date('raw_date')} AS transaction_date,
-    CAST({sql_amount('raw_dep')} - {sql_amount('raw_wd')} AS DECIMAL(18,2)) AS amount,
+    {sql_number('raw_dep')} AS dep, {sql_number('raw_wd')} AS wd,
+    COALESCE(dep, 0) - COALESCE(wd, 0) AS net,
+    (dep IS NULL AND {sql_strip('raw_dep')} <> '') OR (wd IS NULL AND {sql_strip('raw_wd')} <> '') AS bad_amount,
+    CAST(COALESCE(dep, 0) - COALESCE(wd, 0) AS DECIMAL(28,2)) AS amount,
     CASE WHEN upper({sql_strip('raw_desc')}) = '' THEN {q(D.UNKNOWN_PAYEE)} ELSE upper({sql_strip('raw_desc')}) END AS description
   FROM {src}
 ),
@@ -126,7 +146,7 @@ def clean_ctes(src: str = "stmt", prefix: str = "") -> str:
          {sql_merchant('description')} AS merchant_name,
          substr(sha256(strftime(transaction_date, '%Y-%m-%d') || '|' || CAST(amount AS VARCHAR) || '|' || description), 1, 16) AS transaction_hash,
          s1, s2, s3, s4, s5, s6
-  FROM {p}parsed WHERE transaction_date IS NOT NULL AND amount <> 0
+  FROM {p}parsed WHERE transaction_date IS NOT NULL AND net <> 0
 ),
 {p}dedup AS (
   SELECT * FROM {p}clean
@@ -284,8 +304,9 @@ SELECT raw_date AS date_text, {sql_date('raw_date')} AS transaction_date, count(
         "JOIN (SELECT * FROM m1 UNION ALL SELECT * FROM m2) m ON t.merchant = m.merchant")
     S["load_counters"] = _two_loads_sql(
         """, c AS (SELECT count(*) AS raw_rows, count(*) FILTER (WHERE transaction_date IS NULL) AS bad_dates,
-             count(*) FILTER (WHERE transaction_date IS NOT NULL AND amount = 0) AS zero_amounts FROM b2_parsed)
-SELECT raw_rows, bad_dates, zero_amounts, (SELECT count(*) FROM b2_cat) AS batch_rows,
+             count(*) FILTER (WHERE transaction_date IS NOT NULL AND net = 0) AS zero_amounts,
+             count(*) FILTER (WHERE transaction_date IS NOT NULL AND bad_amount) AS rejected_amounts FROM b2_parsed)
+SELECT raw_rows, bad_dates, zero_amounts, rejected_amounts, (SELECT count(*) FROM b2_cat) AS batch_rows,
        (SELECT count(*) FROM tx1) AS first_load_inserted, (SELECT count(*) FROM tx2) AS second_load_inserted,
        raw_rows - bad_dates - zero_amounts - (SELECT count(*) FROM b2_cat) AS in_batch_duplicates,
        (SELECT count(*) FROM b2_cat) - (SELECT count(*) FROM tx2) AS second_load_skipped

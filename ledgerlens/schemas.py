@@ -11,7 +11,7 @@ from ledgerlens import defaults as D
 RAW_STATEMENT = T.StructType([T.StructField(name, T.StringType(), True) for name in D.STATEMENT_COLUMNS])
 REQUIRED_HEADERS = ["Transaction Date", "Description", "Withdrawal Amount", "Deposit Amount"]
 
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DecimalType(28, 2)
 
 CLEAN_COLUMNS = [
     "transaction_date", "year_month", "amount", "description",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.defaults import MERCHANT_ALIASES
 from ledgerlens.sources.literal import literal_table
 from ledgerlens.sources.parallelism import ensure_parallelism
 
@@ -71,22 +72,45 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+#: Where the derived batch is damaged or odd, by l_linenumber and l_orderkey modulo a prime:
+#: bad dates, odd date forms, zero, sub-cent and rejected amounts, rare and alias merchants.
+ODD_DATES = ["MM-dd-yyyy", "MM.dd.yyyy", "MM/dd/yy", "MM-dd-yy", "d-MMM-yy", "d MMM yy", "MMM d yyyy", "MMMM d yyyy"]
+ODD_AMOUNTS = ["0.00", "0.004", "1,234.50", "-0.006"]
+BAD_DATE, IMPOSSIBLE_DATE = "n/a", "31/02/1997"
+LETTERS = "ABCDEFGHIJ"
+
+
 def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw statement rows (all text columns, CSV header names) plus ``account_id`` and ``seq``."""
     li = lineitem(spark, sf_dir)
     d = F.to_date("l_shipdate")
     ln = F.col("l_linenumber")
+    ok = F.col("l_orderkey")
+    odd = F.lit(None).cast("string")
+    for i, form in enumerate(ODD_DATES):
+        odd = F.when(ok % 11 == i, F.date_format(d, form)).otherwise(odd)
     date_text = (
-        F.when(ln <= 3, F.date_format(d, "yyyy-MM-dd"))
+        F.when((ln == 2) & (ok % 41 == 7), F.lit(BAD_DATE))
+        .when((ln == 2) & (ok % 41 == 8), F.lit(IMPOSSIBLE_DATE))
+        .when((ln == 7) & (ok % 11 < len(ODD_DATES)), odd)
+        .when(ln <= 3, F.date_format(d, "yyyy-MM-dd"))
         .when(ln <= 5, F.date_format(d, "dd/MM/yyyy"))
         .when(ln == 6, F.date_format(d, "dd MMM yyyy"))
         .otherwise(F.date_format(d, "dd-MM-yyyy"))
     )
+    aliases = F.array(*[F.lit(a) for a, _ in MERCHANT_ALIASES])
+    rare = F.concat(F.lit("STALL "), F.translate(ok.cast("string"), "0123456789", LETTERS))
     template = F.element_at(F.array(*[F.lit(t) for t in DESCRIPTION_TEMPLATES]), (F.col("l_partkey") % 16 + 1).cast("int"))
+    template = (
+        F.when((ln == 3) & (ok % 61 == 5), rare)
+        .when((ln == 3) & (ok % 61 == 6), F.element_at(aliases, (F.col("l_partkey") % len(MERCHANT_ALIASES) + 1).cast("int")))
+        .otherwise(template)
+    )
     description = F.when(F.col("l_partkey") % 16 == 15, F.lit("")).otherwise(
         F.concat(template, F.lit(TERMINAL), F.upper(F.date_format(d, "ddMMM")), F.lit(CARD_TAIL))
     )
     price = F.format_string("%.2f", F.col("l_extendedprice"))
+    price = F.when((ln == 4) & (ok % 37 < len(ODD_AMOUNTS)), F.element_at(F.array(*[F.lit(a) for a in ODD_AMOUNTS]), (ok % 37 + 1).cast("int"))).otherwise(price)
     returned = F.col("l_returnflag") == "R"
     code = F.element_at(F.array(*[F.lit(c) for c in CODE_CYCLE]), (F.col("l_suppkey") % 8 + 1).cast("int"))
     stmt = li.select(
