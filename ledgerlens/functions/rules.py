@@ -12,8 +12,8 @@ Three Spark forms:
 * :func:`first_match_array` filters a literal array of rules with a lambda: small generated
   code, interpreted per element; used on one-row-per-merchant tables.
 * :func:`match_with_rule_table` is the same operator over a rules *DataFrame* (user-supplied,
-  possibly large): a containment join against the broadcast rule table, then ``min_by``
-  on the rule ordinal. It works on distinct texts first, so repeated texts are matched once.
+  possibly large): an equi-join on each rule's rarest substring, verified, then the minimum
+  rule ordinal. It works on distinct texts first, so repeated texts are matched once.
 """
 
 from __future__ import annotations
@@ -87,22 +87,37 @@ def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
                          "ordinal int, pattern string, value string")
 
 
-def match_with_rule_table(
-    df: DataFrame, text_col: str, rules: DataFrame, out_col: str, max_broadcast_rules: int = 100_000
-) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters."""
+    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: text.substr(i, F.lit(size)))))
+
+
+def match_with_rule_table(df: DataFrame, text_col: str, rules: DataFrame, out_col: str, size: int = 3) -> DataFrame:
     """Add ``out_col`` = value of the lowest-ordinal rule whose pattern occurs in ``text_col``.
 
-    ``rules`` has columns (ordinal, pattern, value). The rule table is broadcast, so its row
-    count is checked first; beyond ``max_broadcast_rules`` the caller should shard the rule
-    table instead.
-    """
-    n_rules = rules.count()
-    if n_rules > max_broadcast_rules:
-        raise ValueError(f"rule table has {n_rules} rows; more than {max_broadcast_rules} cannot be broadcast")
-    texts = df.select(F.col(text_col).alias("_text")).distinct()
-    hits = (
-        texts.join(F.broadcast(rules), F.col("_text").contains(F.col("pattern")), "left")
-        .groupBy("_text")
-        .agg(F.min_by("value", "ordinal").alias(out_col))
-    )
-    return df.join(hits, df[text_col].eqNullSafe(hits["_text"]), "left").drop("_text")
+    ``rules`` has columns (ordinal, pattern, value) and may have any number of rows. Distinct
+    texts are split into their substrings of ``size`` characters; every rule is joined on the
+    one of its own substrings that the fewest texts have (patterns shorter than ``size`` on the
+    whole pattern, against substrings of that length), and the pairs are verified with
+    ``contains``. The empty pattern occurs in every text that is not null."""
+    texts = df.select(F.col(text_col).alias("_text")).where("_text is not null").distinct()
+    pieces = texts.select("_text", F.explode(F.flatten(F.array_compact(F.array(*[_grams(F.col("_text"), n) for n in range(1, size + 1)])))).alias("_gram"))
+    spots = rules.where("length(pattern) > 0").select("ordinal", "pattern", "value", F.explode(
+        F.when(F.length("pattern") >= size, _grams(F.col("pattern"), size)).otherwise(F.array("pattern"))).alias("_gram"))
+    wanted = spots.select("_gram").distinct()
+    pieces = pieces.join(wanted, "_gram", "left_semi")
+    often = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # A substring that no text has rules its pattern out: the left join leaves it the rarest.
+    rarest = spots.join(often, "_gram", "left").groupBy("ordinal", "pattern", "value").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_key"))
+    keyed = rarest.where("_key.n > 0").select("ordinal", "pattern", "value", F.col("_key.g").alias("_gram"))
+    hits = pieces.join(keyed, "_gram").where(F.col("_text").contains(F.col("pattern"))).select("_text", "ordinal", "value")
+    always = rules.where("length(pattern) = 0").orderBy("ordinal", "value").select("ordinal", "value").first()  # at most one row
+    best = hits.groupBy("_text").agg(F.min(F.struct("ordinal", "value")).alias("_best"))
+    joined = df.join(best, df[text_col] == best["_text"], "left").drop("_text")
+    value = F.col("_best.value")
+    if always is not None:
+        first = F.col("_best").isNull() | (F.col("_best.ordinal") > always["ordinal"])
+        value = F.when(F.col(text_col).isNotNull(), F.when(first, F.lit(always["value"])).otherwise(value))
+    return joined.withColumn(out_col, value).drop("_best")

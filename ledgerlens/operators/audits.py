@@ -138,11 +138,11 @@ def code_listing(codes: DataFrame, categories: DataFrame, limit: int = 20) -> Da
 
 
 def filter_options(view: DataFrame) -> DataFrame:
-    """Sorted choices of the filter widgets as (kind, value) rows: months and categories."""
-    months = view.select(F.lit("month").alias("kind"), F.col("month").alias("value")).distinct()
-    cats = view.filter(F.col("category").isNotNull()).select(
-        F.lit("category").alias("kind"), F.col("category").alias("value")).distinct()
-    return months.unionByName(cats)
+    """Choices of the filter widgets as (kind, value) rows: months and categories, from one pass
+    (the distinct pairs first, one row per month and category)."""
+    pairs = view.groupBy("month", "category").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("month", "category")]))
+    return pairs.select(kinds).where("kind = 'month' or value is not null").distinct()
 
 
 def category_names(categories: DataFrame) -> DataFrame:

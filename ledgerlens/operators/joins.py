@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when its row count is at most this many rows.
+# A dimension is broadcast only when it has at most this many rows and its text and binary
+# values, with 16 bytes for every other value, sum up to at most this many bytes.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 _KNOWN_ROWS = "_ledgerlens_known_rows"
 
@@ -29,6 +31,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, rows:
     small). The row count is the recorded one when the table was built from a literal list,
     else one count of the dimension (small by assumption, capped at ``max_rows + 1``)."""
     n = rows if rows is not None else known_rows(df)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n is not None:
+        return F.broadcast(df) if n <= max_rows else df
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(0))
+    got = df.select(size.alias("b")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if got["n"] <= max_rows and (got["b"] or 0) <= MAX_BROADCAST_BYTES else df
+
+
+def _bytes(field) -> F.Column:
+    c = F.col(f"`{field.name}`")
+    kind = field.dataType.typeName()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) + 16 if kind in ("array", "struct", "map") else F.lit(16)

@@ -55,20 +55,20 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months:
     """Batch facts whose fingerprint is not stored yet (left anti join on month + fingerprint).
 
     The fingerprint covers the date, so equal fingerprints have equal months. With
-    ``prune_months`` the stored table is first restricted to the batch's month range (one
-    aggregate row: the min and max month of the batch), which a table partitioned by
-    ``year_month`` answers by listing only those partition folders: a daily batch reads a
-    month or two of a many-year fact table. Call it on a stored (staged) batch; the range is
-    computed with one small job."""
+    ``prune_months`` the stored table is first restricted to the batch's months (one row per
+    calendar month reaches the driver), which a table partitioned by ``year_month`` answers by
+    listing only those partition folders: a daily batch reads a month or two of a many-year
+    fact table, and one stray old date adds one month. Call it on a stored (staged) batch; the
+    months are computed with one small job."""
     facts = batch_facts(batch)
     if existing is None:
         return facts
     stored = existing.select("year_month", "transaction_hash")
     if prune_months:
-        lo, hi = facts.agg(F.min("year_month"), F.max("year_month")).first()
-        if lo is None:
+        months = sorted(r["year_month"] for r in facts.select("year_month").distinct().collect())
+        if not months:
             return facts.limit(0)
-        stored = stored.filter(F.col("year_month").between(lo, hi))
+        stored = stored.filter(F.col("year_month").isin(months))
     return facts.join(stored, ["year_month", "transaction_hash"], "left_anti").select(*FACT_COLUMNS)
 
 
@@ -198,7 +198,7 @@ class Warehouse:
         # Every merchant of the batch is stored now; attach its (immutable) category.
         merchant_cats = self.read("merchants").select("merchant", "category")
         facts = facts.join(merchant_cats, "merchant").select(*[f.name for f in S.TRANSACTIONS.fields])
-        inserted = self._append_staged(facts, "transactions", partition_by="year_month")
+        inserted = self._append_facts(facts)
         batch_rows = staged.count()
         drop_staged(self.spark, stage)  # every row of the batch is stored now
         kept = metrics.get("raw_rows", 0) - metrics.get("bad_dates", 0) - metrics.get("zero_amounts", 0)
@@ -235,16 +235,22 @@ class Warehouse:
                 writer = writer.partitionBy("year_month")
             writer.parquet(self.path(table))
 
-    def _append_staged(self, df: DataFrame, table: str, partition_by: str | None = None) -> int:
+    def _append_facts(self, facts: DataFrame) -> int:
+        """Append fact rows in one pass; the count is observed while they are written. An append
+        only adds files, and the plan reads the files listed before it. The rows are rebalanced
+        by month, so a month gets few files and a large month several tasks."""
+        seen = Observation("facts")
+        rows = facts.hint("rebalance", "year_month").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("append").partitionBy("year_month").parquet(self.path("transactions"))
+        return seen.get.get("n", 0)
+
+    def _append_staged(self, df: DataFrame, table: str) -> int:
         """Write ``df`` to a staging folder first (it may read ``table`` itself), then append."""
         stage = staging_path(self.spark, table)
         df.write.mode("overwrite").parquet(stage)
-        staged = self.spark.read.parquet(stage)
+        staged = self.spark.read.schema(df.schema).parquet(stage)
         n = staged.count()
         if n:
-            writer = staged.write.mode("append")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(self.path(table))
+            staged.write.mode("append").parquet(self.path(table))
         drop_staged(self.spark, stage)
         return n

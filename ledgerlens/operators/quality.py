@@ -51,7 +51,7 @@ def referential_check(transactions: DataFrame, merchants: DataFrame, categories:
         _count(codes.join(broadcast_if_small(cats, rows=known_rows(categories)), "category", "left_anti"), "code_category"),
         _count(
             transactions.filter(F.col("transaction_code").isNotNull())
-            .join(codes.select(F.col("code").alias("transaction_code")), "transaction_code", "left_anti"),
+            .join(broadcast_if_small(codes.select(F.col("code").alias("transaction_code")), rows=known_rows(codes)), "transaction_code", "left_anti"),
             "transaction_code",
         ),
     ]

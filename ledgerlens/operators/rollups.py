@@ -58,33 +58,36 @@ def share_axis_bound(shares: DataFrame) -> DataFrame:
     return shares.agg((F.max("share_pct") * 1.25).alias("axis_max"))
 
 
-def kpis(month_scope: DataFrame, expenses: DataFrame) -> DataFrame:
-    """Income, spend, net flow (month-scoped view) and distinct merchants (expense view).
-    Both inputs are reduced to one row, and the two rows are merged by a union + max."""
-    money = month_scope.agg(
-        F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(0)).alias("_in"),
-        F.coalesce(F.sum(F.when(F.col("amount") < 0, F.col("amount"))), F.lit(0)).alias("_out"),
-    ).select(
+def kpis(month_scope: DataFrame, is_expense: F.Column) -> DataFrame:
+    """Income, spend and net flow of the month-scoped view, and the distinct merchants of its
+    rows that satisfy ``is_expense`` (see ``views.expense_condition``). One pass: sums per
+    merchant first, then one row."""
+    amount = F.col("amount")
+    per = month_scope.groupBy("merchant").agg(
+        F.sum(F.when(amount > 0, amount)).alias("_in"),
+        F.sum(F.when(amount < 0, amount)).alias("_out"),
+        F.max(F.when(is_expense & F.col("merchant").isNotNull(), 1).otherwise(0)).alias("_seen"),
+    )
+    one = per.agg(
+        F.coalesce(F.sum("_in"), F.lit(0)).alias("_in"), F.coalesce(F.sum("_out"), F.lit(0)).alias("_out"),
+        F.coalesce(F.sum("_seen"), F.lit(0)).cast("long").alias("unique_merchants"),
+    )
+    return one.select(
         F.col("_in").cast("double").alias("total_income"),
         F.abs(F.col("_out")).cast("double").alias("total_spent"),
         (F.col("_in") + F.col("_out")).cast("double").alias("net_flow"),
-        F.lit(None).cast("long").alias("unique_merchants"),
+        "unique_merchants",
     )
-    merchants = expenses.agg(F.countDistinct("merchant").alias("unique_merchants")).select(
-        F.lit(None).cast("double").alias("total_income"), F.lit(None).cast("double").alias("total_spent"),
-        F.lit(None).cast("double").alias("net_flow"), "unique_merchants",
-    )
-    both = money.unionByName(merchants)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def income_vs_spend(month_scope: DataFrame) -> DataFrame:
-    """Long form (month, value, type): income per month, then spend per month."""
-    income = month_scope.filter(F.col("amount") > 0).groupBy("month").agg(
-        F.sum("amount").cast("double").alias("value")).withColumn("type", F.lit("Income"))
-    spend = month_scope.filter(F.col("amount") < 0).groupBy("month").agg(
-        _spent().cast("double").alias("value")).withColumn("type", F.lit("Spend"))
-    return income.unionByName(spend)
+    """Long form (month, value, type): income and spend per month, from one pass."""
+    amount = F.col("amount")
+    per = month_scope.groupBy("month").agg(
+        F.sum(F.when(amount > 0, amount)).cast("double").alias("Income"),
+        F.abs(F.sum(F.when(amount < 0, amount))).cast("double").alias("Spend"),
+    )
+    return per.unpivot("month", ["Income", "Spend"], "type", "value").where("value is not null").select("month", "value", "type")
 
 
 def default_budgets(view: DataFrame, excluded: Sequence[str] = D.EXCLUDE_FROM_SPEND) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import defaults as D
@@ -87,13 +87,20 @@ def month_scoped(view: DataFrame, state: FilterState) -> DataFrame:
     return _months(view, state)
 
 
+def expense_condition(state: FilterState, transfer_categories: Sequence[str] = D.TRANSFER_TYPE_CATEGORIES) -> Column:
+    """What the expense view asks of a row, beside its month."""
+    keep = F.col("amount") < 0
+    if state.selected_categories:
+        keep = keep & F.col("category").isin(*state.selected_categories)
+    if not state.show_transfers:
+        keep = keep & ~F.col("category").isin(*transfer_categories)
+    return keep
+
+
 def expense_view(view: DataFrame, state: FilterState,
                  transfer_categories: Sequence[str] = D.TRANSFER_TYPE_CATEGORIES) -> DataFrame:
     """Months -> categories -> expenses only -> transfer-type categories dropped unless shown."""
-    df = _categories(_months(view, state), state).filter(F.col("amount") < 0)
-    if not state.show_transfers:
-        df = df.filter(~F.col("category").isin(*transfer_categories))
-    return df
+    return _months(view, state).filter(expense_condition(state, transfer_categories))
 
 
 def full_view(view: DataFrame, state: FilterState) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from ledgerlens import defaults as D
 from ledgerlens.functions.rules import rule_groups
-from ledgerlens.plans.star import SEARCH_TEXT, SELECTED_CATEGORIES, SELECTED_MONTHS
+from ledgerlens.plans.star import SEARCH_REGEX, SEARCH_TEXT, SELECTED_CATEGORIES, SELECTED_MONTHS
 from ledgerlens.sources import testdata as T
 
 
@@ -260,7 +260,7 @@ m2 AS (
 def events_sql(tail: str) -> str:
     """Events shaped as statement rows, cleaned (prefix e_), then ``tail``."""
     return f"""WITH ev AS (
-  SELECT strftime(ts, '%Y-%m-%d') AS raw_date, upper(event_type) AS raw_desc,
+  SELECT strftime(ts, '%Y-%m-%d') AS raw_date, {sql_list(T.DESCRIPTION_TEMPLATES)}[user_id % 16 + 1] || ' ' || upper(event_type) AS raw_desc,
          CASE WHEN event_type = 'signup' THEN '' ELSE printf('%.2f', value) END AS raw_wd,
          CASE WHEN event_type = 'signup' THEN printf('%.2f', value) ELSE '' END AS raw_dep,
          '' AS raw_code, ts AS s1, event_id AS s2, 0 AS s3, 0 AS s4, 0 AS s5, 0 AS s6
@@ -444,6 +444,30 @@ UNION ALL SELECT 'transaction_code', count(*) FROM transactions t WHERE t.transa
              f"FROM transactions" for c in t_cols]
     parts += [f"SELECT 'merchants', {q(c)}, count(*) FILTER (WHERE {c} IS NULL) FROM merchants" for c in m_cols]
     S["null_check"] = star_sql(" UNION ALL ".join(parts))
+    pattern = q(SEARCH_REGEX)
+    S["search_log_regex"] = star_sql(display(
+        f"(SELECT * FROM v WHERE coalesce(regexp_matches(merchant, {pattern}, 'i'), false) "
+        f"OR coalesce(regexp_matches(description, {pattern}, 'i'), false))"))
+    S["rule_table_match"] = S["keyword_category"]
+    S["statement_files"] = S["clean_transactions"]
+    one_line = "trim(regexp_replace(text, '[^!-~]+', ' ', 'g'))"
+    S["code_list_file"] = (f"SELECT upper('D' || CAST(doc_id AS VARCHAR)) AS code, COALESCE("
+                           f"{sql_first_group_match('lower(line)', D.CODE_RULES)}, {q(D.UNCATEGORISED)}) AS category "
+                           f"FROM (SELECT doc_id, {one_line} AS line FROM documents) WHERE length(line) > 0")
+    S["warehouse_view"] = S["full_view"]
+    S["warehouse_reports"] = star_sql(
+        """, c AS (SELECT count(*) AS raw_rows, count(*) FILTER (WHERE transaction_date IS NULL) AS bad_dates,
+             count(*) FILTER (WHERE transaction_date IS NOT NULL AND net = 0) AS zero_amounts,
+             count(*) FILTER (WHERE transaction_date IS NOT NULL AND bad_amount) AS rejected_amounts FROM parsed),
+d AS (SELECT *, (SELECT count(*) FROM cat) AS batch_rows, (SELECT count(*) FROM merchants) AS m FROM c),
+e AS (SELECT *, raw_rows - bad_dates - zero_amounts - batch_rows AS in_batch_duplicates FROM d)
+SELECT CAST(n AS BIGINT) AS load_no, raw_rows, bad_dates, zero_amounts, rejected_amounts, batch_rows, in_batch_duplicates,
+       CASE WHEN n = 2 THEN 0 ELSE batch_rows END AS inserted, CASE WHEN n = 2 THEN batch_rows ELSE 0 END AS skipped,
+       CASE WHEN n = 2 THEN 0 ELSE m END AS new_merchants, CAST("""
+        + str(len(T.FIXTURE_BUDGETS)) + " AS BIGINT) AS budgets FROM e, (VALUES (1), (2), (3)) t(n)")
+    S["display_labels"] = star_sql(
+        share + " SELECT category, 'SGD ' || format('{:,}', CAST(round_even(spent, 0) AS BIGINT)) AS spent_label, "
+        "printf('%.1f%%', share_pct) AS share_label FROM sh")
     S["stream_ingest"] = events_sql(
         "SELECT c.transaction_hash, c.merchant_name AS merchant, m.category, CAST(c.amount AS DOUBLE) AS amount "
         "FROM e_cat c JOIN e_merchants m ON c.merchant_name = m.merchant")

@@ -90,7 +90,7 @@ def dashboard(wh: Warehouse, state: views.FilterState, search_text: str = "", to
         monthly_trend=rollups.monthly_trend(expenses),
         daily=rollups.daily_spend(expenses),
         top_merchants=rollups.top_merchants(expenses, top_n),
-        kpis=rollups.kpis(month_scope, expenses),
+        kpis=rollups.kpis(month_scope, views.expense_condition(state)),
         income_vs_spend=rollups.income_vs_spend(month_scope),
         budget_variance=variance,
         budget_long=rollups.budget_long(variance),

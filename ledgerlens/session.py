@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,6 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(root)
         return root
+    master = sc.master if sc is not None else ""
+    if fallback is None and not master.startswith("local[") and master != "local":
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster intermediate tables need a folder that all executors share"
+        )
     root = fallback or tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None:
@@ -76,14 +82,34 @@ def materialise(df, name: str):
 
 STAGING_DIR = "ledgerlens-staging"
 
+#: Staging folders of this process that are not deleted yet.
+_STAGED: dict[str, SparkSession] = {}
+
+
+def release_staged(spark: SparkSession | None = None) -> int:
+    """Delete the staged copies that this process has made and not yet dropped; returns their
+    number. A returned query reads its staged inputs until its last action, so call this when
+    its results are no longer read. Whatever is left goes when the process ends."""
+    paths = [p for p, s in _STAGED.items() if spark is None or s is spark]
+    for p in paths:
+        try:
+            drop_staged(_STAGED[p], p)
+        except Exception:  # noqa: BLE001 - the session may be gone already; the next path may still go
+            _STAGED.pop(p, None)
+    return len(paths)
+
+
+atexit.register(release_staged)
+
 
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Delete one staging folder made by :func:`staging_path` once nothing reads it any more
     (only paths inside the staging area are ever deleted)."""
     if f"/{STAGING_DIR}/" not in path:
         raise ValueError(f"not a staging folder: {path}")
+    _STAGED.pop(path, None)
     sc = _context(spark)
-    if sc is None:
+    if sc is None or sc._jsc is None:
         return
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
@@ -92,7 +118,9 @@ def drop_staged(spark: SparkSession, path: str) -> None:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for staged intermediate tables."""
     root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/{STAGING_DIR}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{STAGING_DIR}/{name}-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    return path
 
 
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:

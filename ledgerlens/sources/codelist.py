@@ -62,8 +62,10 @@ def read_code_list(spark: SparkSession, path: str | list[str], split_alternative
         "file",
         (F.when(h1, 1).otherwise(0) + F.when(F.coalesce(h2, F.lit(False)), 1).otherwise(0)).alias("skip"),
     )
-    # One row per input file: bounded by the file count, known when the plan is built.
-    body = lines.join(F.broadcast(skip), "file").filter(F.col("pos") >= F.col("skip"))
+    from ledgerlens.operators.joins import broadcast_if_small
+
+    # One row per input file.
+    body = lines.join(broadcast_if_small(skip), "file").filter(F.col("pos") >= F.col("skip"))
     body = body.withColumn("i", F.col("pos") - F.col("skip"))
     pairs = body.groupBy("file", F.floor(F.col("i") / 2).alias("pair")).agg(
         F.max(F.when(F.col("i") % 2 == 0, F.col("line"))).alias("code"),

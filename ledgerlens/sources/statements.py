@@ -9,33 +9,59 @@ from pyspark.sql import types as T
 from ledgerlens.sources.parallelism import ensure_parallelism
 
 
-def read_statements(spark: SparkSession, path: str | list[str], with_order: bool = True) -> DataFrame:
+def header_lines(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> files that start with it (one row per file reaches the driver)."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in sorted(first.collect(), key=lambda r: r["file"]):
+        found.setdefault((r["header"] or "").lstrip("\ufeff").rstrip("\r"), []).append(r["file"])
+    return found
+
+
+def read_statements(spark: SparkSession, path: str | list[str], with_order: bool = True, multi_line: bool = False) -> DataFrame:
     """Read statement CSV files (header row) with every column as text and blanks as "".
 
-    Column names come from the header. Spark reads the header of one file and maps the other
-    files' columns by position, so one call should cover files with the same header layout
-    (a missing trailing ``Transaction Code`` column is fine: it reads as blank). Read other
-    layouts separately and combine them with ``unionByName(allowMissingColumns=True)``. With ``with_order`` a ``seq`` struct (file, block offset, row id) records the
-    file order of rows, which decides "first row wins" later on. The row id part is only stable
-    within one evaluation, so persist or write the cleaned batch before using ``seq`` twice.
+    Columns are matched by name: files are grouped by their header line, each group is read on
+    its own, and the groups are combined by name (a column that a file lacks reads as blank).
+    With ``with_order`` a ``seq`` struct (file, block offset, row id) records the file order of
+    rows, which decides "first row wins" later on. The row id part is only stable within one
+    evaluation, so persist or write the cleaned batch before using ``seq`` twice.
+
+    ``multi_line``: quoted fields may hold line breaks (each file is then read by one task).
+    Without it files are split at line ends, and a row with an unclosed quote, which such a
+    field would leave, fails the query rather than losing the transaction.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .option("mode", "PERMISSIVE")
-    )
-    df = reader.csv(path)
-    string_cols = [F.col(f"`{c}`").cast(T.StringType()).alias(c) for c in df.columns]
-    df = df.select(*string_cols, "_metadata") if with_order else df.select(*string_cols)
-    df = df.na.fill("")
+    parts = [_read_layout(spark, files, with_order, multi_line) for files in header_lines(spark, path).values()]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return ensure_parallelism(out.na.fill(""))
+
+
+def _read_layout(spark: SparkSession, files: list[str], with_order: bool, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    names = reader.option("inferSchema", False).csv(files[:1]).columns
+    broken = "_broken_line"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, broken]])
+    df = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).csv(files)
+    quotes = F.length(broken) - F.length(F.replace(F.col(broken), F.lit('"'), F.lit("")))
+    unclosed = F.col(broken).isNotNull() & (quotes % 2 == 1)
+    message = F.concat(F.lit("unclosed quote, read this file with multi_line=True: "), F.col("_metadata.file_path"))
+    columns = [F.col(f"`{c}`") for c in names]
+    if not multi_line:
+        columns[0] = F.when(unclosed, F.raise_error(message)).otherwise(columns[0]).alias(names[0])
     if with_order:
-        df = df.withColumn(
-            "seq",
+        columns.append(
             F.struct(
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
-            ),
-        ).drop("_metadata")
-    return ensure_parallelism(df)
+            ).alias("seq")
+        )
+    return df.select(*columns)

@@ -159,7 +159,8 @@ def events_to_statements(ev: DataFrame) -> DataFrame:
     return ev.select(
         F.col("user_id").alias("account_id"),
         F.date_format("ts", "yyyy-MM-dd").alias("Transaction Date"),
-        F.upper("event_type").alias("Description"),
+        # The user decides the merchant, so that the stream has many merchants and categories.
+        F.concat_ws(" ", F.element_at(F.array(*[F.lit(t) for t in DESCRIPTION_TEMPLATES]), (F.col("user_id") % 16 + 1).cast("int")), F.upper("event_type")).alias("Description"),
         F.when(signup, F.lit("")).otherwise(value).alias("Withdrawal Amount"),
         F.when(signup, value).otherwise(F.lit("")).alias("Deposit Amount"),
         F.lit("").alias("Transaction Code"),

@@ -7,7 +7,8 @@
   horizon (``dropDuplicatesWithinWatermark``). Weaker than T1: a repeat that arrives after the
   watermark has passed is emitted again.
 * :func:`monthly_spend_stream` (T3): running spend per (month, category), the category taken
-  from the merchant dimension (stream-static join), in complete mode.
+  from the merchant dimension (stream-static join) or, for a new merchant, from its own row,
+  in complete mode.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerlens.defaults import MERCHANT_KEYWORDS
+from ledgerlens.functions.rules import first_match_array
+from ledgerlens.operators.categorise import CODE_CATEGORY, cascade_with_keyword, lookup_codes
 from ledgerlens.operators.clean import clean_statements
 from ledgerlens.operators.load import Warehouse
 from ledgerlens.session import staging_path
@@ -42,11 +46,19 @@ def dedup_stream(clean_stream: DataFrame, event_time: str = "event_time", horizo
     return clean_stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["transaction_hash"])
 
 
-def monthly_spend_stream(clean_stream: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Running spend per (month, category) of expense rows (T3)."""
-    m = merchants.select(F.col("merchant").alias("merchant_name"), "category")
-    expenses = clean_stream.filter(F.col("amount") < 0).join(m, "merchant_name")
-    return expenses.groupBy(F.col("year_month").alias("month"), "category").agg(
+def monthly_spend_stream(clean_stream: DataFrame, merchants: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Running spend per (month, category) of expense rows (T3). A merchant that is not in the
+    dimension (one first seen in the stream) takes the category of its own row by the rule
+    cascade, with ``codes`` as the code table if given; no row is lost."""
+    known = merchants.select(F.col("merchant").alias("merchant_name"), "category")
+    rows = clean_stream.filter(F.col("amount") < 0).withColumn("_lc", F.lower("description"))
+    if codes is not None:
+        rows = lookup_codes(rows, codes)
+    else:
+        rows = rows.withColumn(CODE_CATEGORY, F.lit(None).cast("string"))
+    own = cascade_with_keyword(F.col("transaction_code"), F.col(CODE_CATEGORY), first_match_array(F.col("_lc"), MERCHANT_KEYWORDS), F.col("amount"))
+    rows = rows.join(known, "merchant_name", "left").withColumn("category", F.coalesce("category", own))
+    return rows.groupBy(F.col("year_month").alias("month"), "category").agg(
         F.abs(F.sum("amount")).alias("spent"), F.count("*").alias("txns"))
 
 

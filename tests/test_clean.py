@@ -36,7 +36,7 @@ def by_desc(rows):
 def test_row_counts_and_counters(cleaned):
     rows, metrics = cleaned
     # 17 rows: bad date, zero amount and the "1,234.50" row (parsed as 0) are dropped.
-    assert metrics == {"raw_rows": 17, "bad_dates": 1, "zero_amounts": 2}
+    assert metrics == {"raw_rows": 17, "bad_dates": 1, "zero_amounts": 2, "rejected_amounts": 1}
     assert len(rows) == 14
 
 
@@ -117,6 +117,12 @@ def test_edge_expressions(spark):
                                   Decimal("1000.00"), Decimal("7.00")]
     assert [r.d for r in out] == [dt.date(2025, 1, 2), dt.date(2025, 1, 25), dt.date(2025, 1, 2), None,
                                   dt.date(2025, 1, 2), None]
+    more = ["01-25-2025", "01.25.2025", "01/25/25", "01-25-25", "25.01.25", "25-Jan-25", "25 Jan 25", "Jan 25 2025", "January 25 2025",
+            "2025-01-25T10:00:00Z", "2025-01-25 10:00:00+08:00"]
+    dates = spark.createDataFrame([(d,) for d in more], "d string").select(parse_mixed_date(F.col("d")).alias("d")).collect()
+    assert [r.d for r in dates] == [dt.date(2025, 1, 25)] * len(more)
+    years = spark.createDataFrame([("1/2/68",), ("1/2/69",), ("29-Feb-92",)], "d string").select(parse_mixed_date(F.col("d")).alias("d")).collect()
+    assert [r.d for r in years] == [dt.date(2068, 2, 1), dt.date(1969, 2, 1), dt.date(1992, 2, 29)]
     thousands = spark.createDataFrame([("1,234.50",)], "a string").select(parse_amount(F.col("a"), True).alias("a"))
     assert thousands.first().a == Decimal("1234.50")
     blanks = spark.createDataFrame([("  GRAB \t",)], "t string").select(ustrip(F.col("t")).alias("t"))
@@ -165,3 +171,14 @@ def test_csv_quotes_and_multiple_files(spark, workdir):
     rows = {r.description: r for r in clean_statements(read_statements(spark, f"{workdir}/in")).collect()}
     assert set(rows) == {'ACME, "THE" SHOP', "SPOTIFY"}
     assert rows["SPOTIFY"].transaction_code is None and rows['ACME, "THE" SHOP'].transaction_code == "POS"
+
+
+def test_wide_sub_cent_and_rejected_amounts(spark):
+    rows = [("2025-01-02", "A", "99999999999999999", "", ""), ("2025-01-02", "B", "", "1e17", ""), ("2025-01-02", "C", "0.004", "", ""),
+            ("2025-01-02", "D", "1,234.50", "", ""), ("2025-01-02", "E", "1,234.50", "7", ""), ("2025-01-02", "F", "5", "5.00", ""),
+            ("2025-01-02", "G", "9" * 40, "", ""), ("2025-01-02", "H", "", "", ""), ("n/a", "I", "x", "", "")]
+    raw = spark.createDataFrame(rows, "`Transaction Date` string, Description string, `Withdrawal Amount` string, `Deposit Amount` string, `Transaction Code` string")
+    seen = Observation("amounts")
+    out = {r.description: r.amount for r in clean_statements(raw, observation=seen).collect()}
+    assert out == {"A": Decimal("-99999999999999999.00"), "B": Decimal("100000000000000000.00"), "C": Decimal("0.00"), "E": Decimal("7.00")}
+    assert seen.get == {"raw_rows": 9, "bad_dates": 1, "zero_amounts": 4, "rejected_amounts": 3}

@@ -53,3 +53,19 @@ def test_group_array_form_equals_case_form(spark):
     out = df.select(first_group_match(F.col("t"), CODE_RULES).alias("a"),
                     first_group_match_array(F.col("t"), CODE_RULES).alias("b")).collect()
     assert [r.a for r in out] == [r.b for r in out] == ["Income", "Government & CPF", "Income", None, "Transfers"]
+
+
+def test_rule_table_of_any_size_and_pattern_length(spark):
+    import random
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 12))) for _ in range(200)] + ["", None, None]
+    rules = [("".join(rnd.choice("abcd ") for _ in range(rnd.choice([1, 2, 3, 4, 5]))), f"v{i}") for i in range(150)]
+    rules = [("zzzz", "never"), *rules[20:], ("", "empty"), *rules[:20]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for some in (rules, rules[:-21], [("", "all")]):
+        out = match_with_rule_table(df, "t", rule_table(spark, some), "c").collect()
+        want = {t: next((v for p, v in some if t is not None and p in t), None) for t in texts}
+        assert len(out) == len(texts) and all(r.c == want[r.t] for r in out)
+    plan = match_with_rule_table(df, "t", rule_table(spark, rules), "c")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -5,6 +5,8 @@ import os
 import pytest
 
 from conftest import fixture_path
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import audits, quality, rollups, views
 from ledgerlens.operators.load import Warehouse
 from ledgerlens.sources import read_statements
@@ -52,7 +54,7 @@ def test_spend_share_and_kpis(view):
     shares = {r.category: r.share_pct for r in rollups.category_share(exp).collect()}
     assert shares == {"Food & Drink": 57.6, "Transport": 12.6, "Subscriptions": 16.3, "Uncategorised": 3.3,
                       "Income": 10.2}
-    k = rollups.kpis(views.month_scoped(view, views.FilterState()), exp).first()
+    k = rollups.kpis(views.month_scoped(view, views.FilterState()), views.expense_condition(views.FilterState())).first()
     assert (k.total_income, k.total_spent, k.unique_merchants) == (5010.0, 348.08, 7)
     assert round(k.net_flow, 2) == round(k.total_income - k.total_spent, 2)
 
@@ -88,3 +90,15 @@ def test_budget_months_scaling(spark, view):
     budgets = spark.createDataFrame([("Transport", 10.0)], "category string, monthly_limit double")
     r = {x.category: x for x in rollups.budget_variance(exp, budgets, months=3).collect()}["Transport"]
     assert r.monthly_limit == 30.0 and round(r.remaining, 2) == 17.6
+
+
+def test_shares_and_means_of_very_large_totals(spark):
+    from decimal import Decimal
+
+    from ledgerlens.functions.money import cents, mean_half_up
+
+    rows = [("a", Decimal("-80000000000000000.01")), ("b", Decimal("-20000000000000000.00")), ("c", Decimal("-50.00"))]
+    df = spark.createDataFrame(rows, "category string, amount decimal(28,2)")
+    assert {r.category: r.share_pct for r in rollups.category_share(df).collect()} == {"a": 80.0, "b": 20.0, "c": 0.0}
+    means = df.agg(mean_half_up(cents(F.sum("amount")), F.count("*")).alias("m")).first()
+    assert means.m == -33333333333333350.0

@@ -1,3 +1,6 @@
+import pytest
+from ledgerlens.operators.clean import clean_statements
+from decimal import Decimal
 import os
 
 from pyspark.sql import functions as F
@@ -122,7 +125,7 @@ def test_empty_batch_and_no_expenses(spark, workdir):
     view = views.transactions_view(wh.read("transactions"), wh.read("merchants"), wh.read("categories"),
                                    wh.read("codes"))
     exp = views.expense_view(view, views.FilterState())
-    k = rollups.kpis(views.month_scoped(view, views.FilterState()), exp).first()
+    k = rollups.kpis(views.month_scoped(view, views.FilterState()), views.expense_condition(views.FilterState())).first()
     assert (k.total_income, k.total_spent, k.net_flow, k.unique_merchants) == (100.0, 0.0, 100.0, 0)
     assert rollups.category_share(exp).count() == 0
 
@@ -155,3 +158,58 @@ def test_new_category_from_rules_is_created(spark, workdir):
     wh.load_statements(read_statements(spark, p))
     assert wh.read("categories").filter(F.col("name") == "Pets").count() == 1
     assert wh.view().filter(F.col("category") == "Pets").count() == 1
+
+
+HEAD = "Transaction Date,Description,Withdrawal Amount,Deposit Amount,Transaction Code\n"
+
+
+def _write(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
+
+
+def test_columns_are_matched_by_name_across_files(spark, workdir):
+    a = _write(workdir, "a.csv", HEAD + "2024-02-01,SHOP,10.00,,POS\n")
+    b = _write(workdir, "b.csv", "Description,Deposit Amount,Withdrawal Amount,Transaction Date\nSALARY CREDIT,100.00,,2024-02-02\n")
+    out = clean_statements(read_statements(spark, [a, b])).collect()
+    assert sorted((r.description, float(r.amount), r.transaction_code) for r in out) == [("SALARY CREDIT", 100.0, None), ("SHOP", -10.0, "POS")]
+
+
+def test_quoted_line_breaks_are_read_or_refused(spark, workdir):
+    path = _write(workdir, "m.csv", HEAD + '2024-02-01,"MULTI\nLINE",10.00,,POS\n2024-02-02,"SAY ""HI""",5.00,,POS\n2024-02-03,SHORT,1.00\n')
+    out = clean_statements(read_statements(spark, path, multi_line=True)).collect()
+    assert sorted(float(r.amount) for r in out) == [-10.0, -5.0, -1.0]
+    with pytest.raises(Exception, match="multi_line=True"):
+        clean_statements(read_statements(spark, path)).collect()
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerlens import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
+
+
+def test_staged_copies_are_released(spark):
+    from ledgerlens import session
+
+    df = session.materialise(spark.range(5).toDF("n"), "released")
+    (path,) = [p for p in session._STAGED if "/released-" in p]
+    assert df.count() == 5
+    session.drop_staged(spark, path)
+    assert path not in session._STAGED and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_stream_spend_keeps_merchants_unknown_to_the_dimension(spark):
+    from ledgerlens.streaming.ingest import monthly_spend_stream
+
+    rows = [("2024-01", "NETFLIX", "NETFLIX.COM", None, Decimal("-5")), ("2024-01", "ODD", "ODD", None, Decimal("-2")), ("2024-01", "KNOWN", "KNOWN", None, Decimal("-1"))]
+    df = spark.createDataFrame(rows, "year_month string, merchant_name string, description string, transaction_code string, amount decimal(28,2)")
+    known = spark.createDataFrame([("KNOWN", "Transport")], "merchant string, category string")
+    out = {r.category: float(r.spent) for r in monthly_spend_stream(df, known).collect()}
+    assert out == {"Subscriptions": 5.0, "Uncategorised": 2.0, "Transport": 1.0}
