@@ -309,7 +309,38 @@ def null_check(spark, sf_dir):
     return quality.null_check(s.transactions, s.merchants)
 
 
+def _damaged(spark, sf_dir):
+    """A star with faults of every kind the checks look for: missing merchants and codes, unknown
+    categories, transactions stored twice, descriptions missing."""
+    s = build_star(spark, sf_dir)
+    unknown = F.lit("No such category")
+    merchants = s.merchants.where("merchant not like 'S%'").withColumn(
+        "category", F.when(F.col("merchant").like("G%"), unknown).otherwise(F.col("category")))
+    codes = s.codes.where("code <> 'MST'").withColumn("category", F.when(F.col("code") == "AWL", unknown).otherwise(F.col("category")))
+    day = F.dayofmonth("transaction_date")
+    t = s.transactions.withColumn("description", F.when(day != 2, F.col("description")))
+    return s, t.unionByName(t.where(day == 1)), merchants, codes
+
+
+def referential_check_damaged(spark, sf_dir):
+    s, transactions, merchants, codes = _damaged(spark, sf_dir)
+    return quality.referential_check(transactions, merchants, s.categories, codes)
+
+
+def uniqueness_check_damaged(spark, sf_dir):
+    s, transactions, merchants, codes = _damaged(spark, sf_dir)
+    return quality.uniqueness_check(transactions, merchants, s.categories, codes)
+
+
+def null_check_damaged(spark, sf_dir):
+    _, transactions, merchants, _ = _damaged(spark, sf_dir)
+    return quality.null_check(transactions, merchants)
+
+
 QUERIES: dict[str, Query] = {
+    "referential_check_damaged": referential_check_damaged,
+    "uniqueness_check_damaged": uniqueness_check_damaged,
+    "null_check_damaged": null_check_damaged,
     "clean_transactions": clean_transactions,
     "parse_mixed_dates": parse_mixed_dates,
     "merchant_normalise": merchant_normalise,

@@ -130,7 +130,7 @@ def clean_ctes(src: str = "stmt", prefix: str = "") -> str:
     kw = sql_first_match("lower(d.description)", D.MERCHANT_KEYWORDS)
     p = prefix
     return f"""
-{p}parsed AS (
+{p}parsed AS MATERIALIZED (
   SELECT *,
     NULLIF(upper({sql_strip('raw_code')}), '') AS transaction_code,
     {sql_date('raw_date')} AS transaction_date,
@@ -156,7 +156,7 @@ def clean_ctes(src: str = "stmt", prefix: str = "") -> str:
   SELECT d.*, k.category AS code_cat, {kw} AS kw
   FROM {p}dedup d LEFT JOIN codes k ON d.transaction_code = k.code
 ),
-{p}cat AS (
+{p}cat AS MATERIALIZED (
   SELECT *,
     CASE WHEN transaction_code IN {in_list(D.CASH_CODES)} THEN {q(D.CASH_CATEGORY)}
          WHEN transaction_code IN {in_list(D.BIDIRECTIONAL_CODES)} THEN
@@ -468,6 +468,17 @@ SELECT CAST(n AS BIGINT) AS load_no, raw_rows, bad_dates, zero_amounts, rejected
     S["display_labels"] = star_sql(
         share + " SELECT category, 'SGD ' || format('{:,}', CAST(round_even(spent, 0) AS BIGINT)) AS spent_label, "
         "printf('%.1f%%', share_pct) AS share_label FROM sh")
+    damaged = """, md AS (SELECT merchant, CASE WHEN merchant LIKE 'G%' THEN 'No such category' ELSE category END AS category
+             FROM merchants WHERE merchant NOT LIKE 'S%'),
+kd AS (SELECT code, description, CASE WHEN code = 'AWL' THEN 'No such category' ELSE category END AS category FROM codes WHERE code <> 'MST'),
+t0 AS (SELECT * REPLACE (CASE WHEN day(transaction_date) <> 2 THEN description END AS description) FROM transactions),
+td AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE day(transaction_date) = 1)
+"""
+    for name in ("referential_check", "uniqueness_check", "null_check"):
+        head, tail = S[name][: len(star_sql(""))], S[name][len(star_sql("")):]
+        for table, other in (("transactions", "td"), ("merchants", "md"), ("codes", "kd")):
+            tail = tail.replace(f"FROM {table}", f"FROM {other}")
+        S[f"{name}_damaged"] = head + damaged + tail
     S["stream_ingest"] = events_sql(
         "SELECT c.transaction_hash, c.merchant_name AS merchant, m.category, CAST(c.amount AS DOUBLE) AS amount "
         "FROM e_cat c JOIN e_merchants m ON c.merchant_name = m.merchant")
