@@ -29,9 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance resampling of all documents towards those labelled good (held-out labels are
-    not used); the sample has as large a share of the rows as good labels have of the labels."""
+    not used, and TARGET_TEXTS of the others at most); the sample has as large a share of the
+    rows as good labels have of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").where(~held_out())
-    good = labels.where("quality = 1").select("doc_id")
+    by_hash = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    good = labels.where("quality = 1").select("doc_id").orderBy(*by_hash).limit(importance_sampling.TARGET_TEXTS)
     n = labels.agg(F.count("*").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("good")).first()
     share = n["good"] / n["n"] if n["n"] else 1.0
     return importance_sampling.resample(documents(spark, sf_dir), good, share).select("doc_id", held_out().alias("held_out"), "n_grams", "log_weight", "sample_key", "kept")

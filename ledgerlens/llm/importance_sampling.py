@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import LOWER, bounded_batches, gram_hashes, stage, text_bytes, text_key, word_hashes, word_table
+from ledgerlens.operators.joins import broadcast_if_small
 
+#: Target texts that the queries learn from, at most.
+TARGET_TEXTS = 20_000
 #: Hash cells of the n-gram models, pseudo count of a cell, ranges of a selection round.
 CELLS, PSEUDO, SPLIT = 1 << 16, 0.1, 4096
 _SHIFT = np.uint64(48)
@@ -121,6 +124,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 17) -
     bounded_batches(spark)
     ids = target.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct()
     base = docs.select("doc_id", "text").withColumn("th", text_key())
+    ids = broadcast_if_small(ids)
     marked = base.join(ids, base["doc_id"] == ids["__target"], "left").select("text", F.col("__target").isNotNull().alias("target"))
     ratio = spark.sparkContext.broadcast(log_ratio(marked))  # CELLS doubles
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -5,14 +5,15 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
 
 1. **Partition similar documents into groups.** The hash space is cut into p slots, p depending
    on the size band of a pair. Two sets above the threshold differ in at most H tokens, so with
-   p = H + 1 + s slots at least 1 + s slots hold the same tokens in both. Sets that share a slot
-   (same band, same slot, same tokens) become neighbours, and the components of that relation
-   are the groups. A set that shares fewer slots than any link needs is left out at once.
-2. **Token-group matrix.** A group is cut into blocks of bounded rows and tokens; a block keeps
-   the union of its members' tokens, as an inverted list token -> members.
-3. **Bound.** A query set meets the blocks of its own group only. The number of its tokens that
-   lie in the block's union bounds its overlap with every member; below the needed overlap the
-   block stays closed.
+   p = H + 1 + s slots at least 1 + s slots hold the same tokens in both. A set that shares
+   fewer slots with others than any link needs is left out at once. The smallest set that holds
+   a shared slot leads it; sets with the same smallest leader are a group, cut into blocks of
+   bounded rows and tokens.
+2. **Token-group matrix.** A block keeps the union of its members' slots (token combinations)
+   and, where it is compared, of their tokens, as an inverted list token -> members.
+3. **Bound.** A query set meets a block only if the block's union holds as many of its slots as
+   a link needs. Then the number of its tokens that lie in the block's union bounds its overlap
+   with every member; below the needed overlap the block stays closed.
 4. **Open.** In a qualifying block the overlaps with all members come from the inverted list and
    are compared with the threshold in whole numbers. Links are merged at once in a union-find,
    so a block emits a forest, never its pairs.
@@ -71,17 +72,14 @@ class Bands:
         self.slots, self.slack = [], []
         for lo, hi in zip(lows, tops, strict=True):
             differ = 2 * hi * (den - num) // (den + num)
-            s = 2
-            while True:
+            n, s = max(1, lo * num // den), 0
+            while True:  # empty slots of the band's smallest set are Poisson: their mean and 5 deviations
                 p = differ + 1 + s
-                lam = p * (1 - 1 / p) ** (lo * num // den)
-                term, below = np.exp(-lam), 0.0
-                for i in range(s + 1):
-                    below += term
-                    term *= lam / (i + 1)
-                if 1 - below < 1e-5 or s >= 40:
+                mean = p * (1 - 1 / p) ** n if p > 1 else 0.0
+                enough = int(np.ceil(mean + 5 * mean**0.5 + 1.5))
+                if s >= enough:
                     break
-                s += 1
+                s = enough
             self.slots.append(p)
             self.slack.append(s)
 
@@ -160,8 +158,8 @@ def _slot_keys(k: int, num: int, den: int):
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, sig) -> (sig, tag, lead) of every key held by two or more sets; lead
-    is the key's smallest sig. Streams: keeps one row of the key it is in."""
+    """Rows sorted by (key, sig) -> (key, sig, tag, lead) of every key held by two or more sets;
+    lead is the key's smallest sig. Streams: keeps one row of the key it is in."""
     key = lead = last = pend = None
     for b in batches:
         k, s, t = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -181,9 +179,9 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs[at[follows & (at >= 0)]] = True
         emit = follows.copy()
         emit[start[runs]] = True
-        out = [s[emit], t[emit], of[emit]]
+        out = [k[emit], s[emit], t[emit], of[emit]]
         if cont and pend is not None and (follows & (at < 0)).any():
-            out = [np.concatenate(([x], y)) for x, y in zip((*pend, pend[0]), out, strict=True)]
+            out = [np.concatenate(([x], y)) for x, y in zip((key, *pend, pend[0]), out, strict=True)]
             pend = None
         if len(start):
             pend = None if runs[-1] else (s[start[-1]], t[start[-1]])
@@ -191,22 +189,29 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = k[-1], s[-1]
         if len(out[0]):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int64))],
-                names=["sig", "tag", "lead"],
+                [pa.array(x.astype(d)) for x, d in zip(out, (np.int64, np.int64, np.int32, np.int64), strict=True)],
+                names=["key", "sig", "tag", "lead"],
             )
 
 
-def _member_sets(k: int):
+_ROLES = pa.list_(pa.struct([("grp", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32())]))
+
+
+def _placed_sets(k: int):
+    """Rows (sig, mult, roles, text) -> the set once for each of its roles."""
     words_of = word_table("blank")
 
     def run(batches):
+        names = ["grp", "block", "salt", "kind"]
         for b in batches:
-            rows, toks = [], []
-            for i, data in enumerate(text_bytes(b.column("text"))):
-                rows.append(i)
-                toks.append(shingle_set(data, k, words_of).tobytes())
-            keep = b.select(["sig", "grp", "blocks", "block", "salts", "mult"]).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(toks, pa.binary())], names=[*keep.schema.names, "tokens"])
+            for sig, mult, roles, data in zip(b.column("sig").to_pylist(), b.column("mult").to_pylist(), b.column("roles").to_pylist(), text_bytes(b.column("text")), strict=True):
+                n = len(roles)
+                tokens = shingle_set(data, k, words_of).tobytes()
+                where = pa.array(roles, _ROLES.value_type)
+                yield pa.RecordBatch.from_arrays(
+                    [*(where.field(x) for x in names), pa.array([sig] * n, pa.int64()), pa.array([mult] * n, pa.int64()), pa.array([tokens] * n, pa.binary())],
+                    names=[*names, "sig", "mult", "tokens"],
+                )
 
     return run
 
@@ -346,42 +351,41 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     )
 
     keys = base.select("text").mapInArrow(_slot_keys(k, num, den), "key long, sig long, tag int")
-    runs = keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared_runs, "sig long, tag int, lead long")
-    shared = stage(runs.groupBy("sig", "tag", "lead").agg(F.count("*").alias("c")), "shared")
-    able = shared.groupBy("sig", "tag").agg(F.sum("c").alias("c")).where(f"c >= tag % {_NEED}").select("sig").distinct()
-    groups = connected_components(shared.join(able, "sig", "left_semi").select(F.col("sig").alias("u"), F.col("lead").alias("v")))
-    members = groups.withColumnRenamed("node", "sig").withColumnRenamed("label", "grp").join(able, "sig", "left_semi").join(nodes, "sig")
-
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
-    plan = members.join(sizes.where("m > 1"), "grp").select(
-        "sig",
-        "grp",
-        "mult",
-        F.col("rep.doc_id").alias("doc_id"),
-        F.col("rep.th").alias("th"),
-        F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"),
-        F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("salts"),
-    )
-    plan = stage(plan.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")), "blocks")
-    chosen = broadcast_if_small(plan.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("th", "rep_th"))
-    with_text = base.join(chosen, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).drop("doc_id", "th", "rep_id", "rep_th")
-    full = stage(
-        with_text.mapInArrow(_member_sets(k), "sig long, grp long, blocks int, block int, salts int, mult long, tokens binary"), "members"
-    )
-    every_salt = F.sequence(F.lit(0), F.col("salts") - 1)
-    earlier = F.sequence(F.lit(0), F.col("block") - 1)
-    held = full.select("grp", "block", F.explode(every_salt).alias("salt"), F.lit(0).alias("kind"), "sig", "mult", "tokens")
-    asked = full.where("block > 0").select(
-        "grp",
-        F.explode(earlier).alias("block"),
-        F.pmod(F.xxhash64("sig", F.lit(1)), "salts").cast("int").alias("salt"),
-        F.lit(1).alias("kind"),
-        "sig",
-        "mult",
-        "tokens",
+    runs = keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared_runs, "key long, sig long, tag int, lead long")
+    shared = stage(runs, "shared")
+    able = shared.groupBy("sig", "tag").agg(F.count("*").alias("c")).where(f"c >= tag % {_NEED}").select("sig", "tag")
+    shared = shared.join(able, ["sig", "tag"], "left_semi")
+
+    # Groups: sets with the same smallest leader; blocks of bounded rows and tokens.
+    grouped = shared.groupBy("sig").agg(F.min("lead").alias("grp")).join(nodes, "sig")
+    sizes = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    own = grouped.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    own = stage(own.select("sig", "grp", "block", "mult", "rep"), "blocks")
+
+    # The matrix of groups and slots: a query opens a block that holds as many of its slots as
+    # any link needs. A pair of blocks is looked at from one side.
+    at = F.struct("grp", "block")
+    held = shared.join(own.select("sig", "grp", "block"), "sig").select("key", "sig", "tag", "grp", "block")
+    matrix = held.select("key", F.col("grp").alias("to_grp"), F.col("block").alias("to_block")).distinct()
+    to = F.struct(F.col("to_grp").alias("grp"), F.col("to_block").alias("block"))
+    meets = held.join(matrix, "key").where(to < at).groupBy("sig", "tag", "to_grp", "to_block").agg(F.count("*").alias("c"))
+    asks = stage(meets.where(f"c >= tag % {_NEED}").select("sig", F.col("to_grp").alias("grp"), F.col("to_block").alias("block")).distinct(), "asks")
+    live = own.groupBy("grp", "block").agg(F.count("*").alias("m")).join(asks.groupBy("grp", "block").agg(F.count("*").alias("q")), ["grp", "block"], "left")
+    live = live.where("m > 1 or q > 0").select("grp", "block", F.ceil(F.coalesce("q", F.lit(1)) / BLOCK_QUERIES).cast("int").alias("salts"))
+
+    def role(salt, kind):
+        return F.struct("grp", "block", salt.cast("int").alias("salt"), F.lit(kind).alias("kind"))
+
+    kept = own.select("sig", "grp", "block").join(live, ["grp", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    roles = kept.select("sig", role(F.col("salt"), 0).alias("role")).unionByName(
+        asks.join(live, ["grp", "block"]).select("sig", role(F.pmod(F.xxhash64("sig", F.lit(1)), "salts"), 1).alias("role"))
     )
+    plan = roles.groupBy("sig").agg(F.collect_list("role").alias("roles")).join(own.select("sig", "mult", "rep"), "sig")
+    plan = stage(plan.select("sig", "mult", "roles", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "roles")
+    same = (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    placed = base.join(broadcast_if_small(plan), same).select("sig", "mult", "roles", "text")
     forest = stage(
-        held.unionByName(asked)
+        placed.mapInArrow(_placed_sets(k), "grp long, block int, salt int, kind int, sig long, mult long, tokens binary")
         .repartition("grp", "block", "salt")
         .sortWithinPartitions("grp", "block", "salt", "kind", "sig")
         .mapInArrow(_match(num, den), "u long, v long, links long"),

@@ -80,7 +80,7 @@ def test_shared_runs_over_any_batch_cut():
     for k in {r[0] for r in rows}:
         sigs = sorted({r[1] for r in rows if r[0] == k})
         if len(sigs) > 1:
-            want += [(s, 5, sigs[0]) for s in sigs]
+            want += [(k, s, 5, sigs[0]) for s in sigs]
     for size in (1, 2, 3, 7, 60):
         cut = [rows[i : i + size] for i in range(0, len(rows), size)]
         batches = (pa.RecordBatch.from_arrays([pa.array([r[c] for r in b], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "sig", "tag"]) for b in cut)
