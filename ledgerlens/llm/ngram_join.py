@@ -5,9 +5,11 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
 
 1. **Partition similar documents into groups.** The hash space is cut into p slots, p depending
    on the size band of a pair. Two sets above the threshold differ in at most H tokens, so with
-   p = H + 1 + s slots at least 1 + s slots hold the same tokens in both. A set that shares
-   fewer slots with others than any link needs is left out at once. The smallest set that holds
-   a shared slot leads it; sets with the same smallest leader are a group, cut into blocks of
+   p = H + 1 + s slots at least 1 + s slots hold the same tokens in both. Sets too
+   small for that use their lowest tokens instead: of n tokens at most
+   h = n - ceil(n * num / den) are missing from a linked set, so the h + s lowest of both have s
+   in common. A set that shares fewer slots with others than any link needs is left out at once.
+   The smallest set that holds a shared slot leads it; sets with the same smallest leader are a group, cut into blocks of
    bounded rows and tokens.
 2. **Token-group matrix.** A block keeps the union of its members' slots (token combinations)
    and, where it is compared, of their tokens, as an inverted list token -> members.
@@ -80,6 +82,9 @@ class Bands:
                 if s >= enough:
                     break
                 s = enough
+                if p >= n:  # no slack is enough for sets this small: lowest tokens instead of slots
+                    p, s = 0, max(1, min(_NEED - 1, hi // 16, n * num // den))
+                    break
             self.slots.append(p)
             self.slack.append(s)
 
@@ -94,11 +99,15 @@ class Bands:
 
     def keys(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """(slot keys, tag) per band; the tag holds the band and the number of keys that any
-        link of this set must share. Empty slots have keys only in the rare set with more of
-        them than the slack allows for."""
+        link of this set must share (at most _NEED - 1 is asked for). Empty slots have keys only
+        in the rare set with more of them than the slack allows for."""
         mixed = None
         for band in self.of(len(tokens)):
             p, s = self.slots[band], self.slack[band]
+            if not p:  # a link holds num/den of either set, so s of the lowest tokens kept here
+                apart = len(tokens) - -(-self.num * len(tokens) // self.den)
+                yield mix(tokens[: apart + s] ^ mix(np.array([band << 44], dtype=np.uint64))), band * _NEED + s
+                continue
             slot = ((tokens >> _U(32)) * _U(p)) >> _U(32)
             starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             if mixed is None:
@@ -109,7 +118,7 @@ class Bands:
             if empty > s:
                 none = np.setdiff1d(np.arange(p, dtype=np.uint64), used)
                 keys = np.concatenate((keys, mix(~(none + _U(band << 44)))))
-            yield keys, band * _NEED + max(1, 1 + s - empty)
+            yield keys, band * _NEED + min(max(1, 1 + s - empty), _NEED - 1)
 
 
 def _sets(k: int):

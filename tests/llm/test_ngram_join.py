@@ -73,6 +73,16 @@ def test_every_linked_pair_shares_the_needed_slots():
             assert any(sum(ka[s] == t for s in shared) >= t % 64 for t in set(ka.values())) and shared
 
 
+def test_every_threshold_has_finite_slots():
+    for num in (30, 50, 80, 90, 95):
+        bands = ngram_join.Bands(num, 100)
+        assert len(bands.slots) == len(bands.slack) == len(bands.tops)
+        for n in (1, 2, 9, 40, 300):
+            tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+            for keys, tag in bands.keys(tokens):
+                assert 1 <= tag % 64 <= len(keys)
+
+
 def test_shared_runs_over_any_batch_cut():
     rnd = random.Random(2)
     rows = sorted((rnd.randrange(12), rnd.randrange(6), 5) for _ in range(60))
