@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 from brute import edge_rows, empty, frame, key
@@ -77,3 +78,60 @@ def test_licences_equal_comparing_all_units_with_all_templates(spark):
     assert got == sorted(want, key=key)
     assert sum(bool(m) for _, m in got) > 20
     assert licences.scan_licences(empty(spark)).count() == 0
+
+
+def spans_by_trying_all(text):
+    """Every word span against every template, then those furthest over the threshold that share no word."""
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    found = []
+    for name, t in licences.TEMPLATES:
+        b = pairs(t)
+        for i in range(len(w)):
+            a = set()
+            for j in range(i + 1, len(w)):
+                a.add((w[j - 1], w[j]))
+                both = len(a & b)
+                if 2.0 * both / (len(a) + len(b)) >= licences.THRESHOLD:
+                    found.append((licences.THRESHOLD * (len(a) + len(b)) - 2.0 * both, j - i, name, i, j + 1, 2.0 * both / (len(a) + len(b))))
+    taken = []
+    for s in sorted(found):
+        if not any(s[3] < x[4] and x[3] < s[4] for x in taken):
+            taken.append(s)
+    return sorted((s[3], s[4], s[2], round(s[5], 9)) for s in taken)
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_notices_wrapped_commented_and_embedded_equal_trying_all_spans(spark):
+    rnd = random.Random(6)
+    prose = "river stone the software bridge and calm the license of light".split()
+    rows = [(i, t, None, None, None) for i, (_, t, *_) in enumerate(edge_rows()) if t is None or len(t) < 2000]
+    for i in range(40):
+        w = rnd.choice(licences.TEMPLATES)[1].split()[:60]
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(["the", "foo", "License", "of the"])
+        body = [rnd.choice(prose) for _ in range(rnd.randint(0, 30))] + w + [rnd.choice(prose) for _ in range(rnd.randint(0, 30))]
+        if i % 4 == 0:
+            body += rnd.choice(licences.TEMPLATES[:15])[1].split() + w[: rnd.randint(1, len(w))]
+        rows.append((100 + i, wrapped(" ".join(body), rnd.choice([30, 75, 5000]), rnd.choice(["", "# ", " * "])), None, None, None))
+    rows += [rows[-1], (None, *rows[-1][1:]), (None, *rows[-1][1:])]
+    got = sorted(((r.doc_id, [(s.start, s.end, s.name, round(s.dice, 9)) for s in r.spans]) for r in licences.scan_licences(frame(spark, rows, clash=True)).collect()), key=key)
+    assert got == sorted(((d, spans_by_trying_all(t or "")) for d, t, *_ in rows), key=key)
+    assert sum(bool(s) for _, s in got) > 25
+
+
+def test_full_texts_and_comment_headers_inside_files_are_found(spark):
+    full = {n: t for n, t in licences.TEMPLATES if n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0") or n.endswith("-or-later")}
+    code = "\n".join(f"int f{i}(int x) {{ return x + {i}; }}" for i in range(300))
+    names = sorted(full)
+    rows = [(i, wrapped(f"Copyright (c) 2020 Some Body. {full[n]}", 72), None, None, None) for i, n in enumerate(names)]
+    rows += [(100 + i, "/*\n" + wrapped(f"Copyright 2020 Some Body. {full[n]}", 72, " * ") + "\n */\n" + code, None, None, None) for i, n in enumerate(names)]
+    gpl = "and this work is licensed under the GNU General Public License, version 3, as you may know"
+    rows += [(200, f"{code}\nA long line of words before it {gpl} {code}", None, None, None), (201, code, None, None, None)]
+    out = {r.doc_id: r for r in licences.scan_licences(frame(spark, rows)).collect()}
+    for i, n in enumerate(names):
+        assert out[i].licences == out[100 + i].licences == [n] and out[i].n_matches and out[100 + i].best == n
+    assert out[200].licences == ["GPL-3.0"] and out[200].dice == 1.0 and out[200].n_matches == 1
+    assert not out[201].licences and out[201].n_matches == 0
