@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import bounded_batches, text_bytes
 
 #: Hash cells of trigrams, languages at most (the most frequent), log penalty of a switch,
-#: share of a script's letters that makes a language a candidate for it.
+#: share of a language's own letters that makes it a candidate for their script.
 CELLS, LANGUAGES, SWITCH, SCRIPT_SHARE = 1 << 15, 200, 12.0, 0.01
 
 # First and last code point of letter ranges by script (0 is no letter, 1 any other).
@@ -100,7 +100,7 @@ class Model:
         self.languages = languages
         grams, scripts = counts[:, :CELLS].astype(float), counts[:, CELLS:].astype(float)
         self.scores = np.log((grams + 0.05) / (grams.sum(axis=1, keepdims=True) + 0.05 * CELLS)).T.astype(np.float32)
-        self.allowed = (scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))).T & (scripts.T > 0)
+        self.allowed = (scripts >= SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True)).T & (scripts.T > 0)
 
 
 def learn(docs: DataFrame) -> Model:

@@ -59,3 +59,13 @@ def test_segments_keep_the_text():
     t = "ab " * 60_000 + "x" * 70_000
     parts = list(language_id.segments(t))
     assert "".join(parts) == t and len(parts) > 1
+
+
+def test_a_rare_language_beside_a_hot_one_of_its_script_is_found(spark):
+    rnd = random.Random(4)
+    train = [(i, text(rnd, "aa" if i % 1000 else "bb"), "aa" if i % 1000 else "bb", None, None) for i in range(2000)]
+    train += [(3000 + i, text(rnd, "cc"), "cc", None, None) for i in range(5)]
+    model = language_id.learn(frame(spark, train))
+    test = [(i, text(rnd, lang), lang, None, None) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    out = {r.doc_id: r for r in language_id.identify_languages(frame(spark, test), model).collect()}
+    assert [(out[r[0]].lang_pred, out[r[0]].score) for r in test] == [(r[2], 1.0) for r in test]
