@@ -9,7 +9,7 @@ of trigrams and of letters per script for each language, is learned from labelle
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import bounded_batches, text_bytes
 
-#: Hash cells of trigrams, languages at most (the most frequent), log penalty of a switch,
+#: Hash cells of trigrams, languages held as full tables, log penalty of a switch,
 #: share of a language's own letters that makes it a candidate for their script.
-CELLS, LANGUAGES, SWITCH, SCRIPT_SHARE = 1 << 15, 200, 12.0, 0.01
+CELLS, DENSE, SWITCH, SCRIPT_SHARE = 1 << 15, 200, 12.0, 0.01
 
 # First and last code point of letter ranges by script (0 is no letter, 1 any other).
 SCRIPTS = (
@@ -30,6 +30,8 @@ SCRIPTS = (
 )
 N_SCRIPTS = 16
 _SEGMENT = 1 << 16
+#: Scores (words x languages) of a text that are kept between passes; those of more are made again.
+_KEPT = 1 << 24
 
 
 def script_table() -> np.ndarray:
@@ -42,11 +44,11 @@ def script_table() -> np.ndarray:
     return t
 
 
-def segments(text: str) -> Iterator[str]:
+def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
     """Pieces of a long text, cut at blanks."""
     at = 0
-    while len(text) - at > _SEGMENT:
-        cut = text.find(" ", at + _SEGMENT)
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
         if cut < 0:
             break
         yield text[at : cut + 1]
@@ -72,100 +74,164 @@ def letters(text: str, table: np.ndarray):
     return at, cell.astype(np.int64), starts, script[at]
 
 
-def _counts(languages: list[str]):
+def _counts(index: dict[str, int]):
+    """Rows (lang, cell, n). A task holds full tables of DENSE languages at a time and hands on
+    partial counts before it takes up more."""
+
+    def rows(total):
+        lang, (cells, n) = list(total), zip(*((c := np.flatnonzero(row), row[c]) for row in total.values()), strict=True)
+        of = np.repeat(np.array(lang, dtype=np.int32), [len(c) for c in cells])
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(n))], names=["lang", "cell", "n"])
+
     def run(batches):
-        table, index = script_table(), {x: i for i, x in enumerate(languages)}
-        total = np.zeros((len(languages), CELLS + N_SCRIPTS), dtype=np.int64)
+        table, total = script_table(), {}
         for b in batches:
             for lang, data in zip(b.column("lang").to_pylist(), text_bytes(b.column("text")), strict=True):
                 if lang not in index or not data:
                     continue
+                if index[lang] not in total:
+                    if len(total) == DENSE:
+                        yield rows(total)
+                        total = {}
+                    total[index[lang]] = np.zeros(CELLS + N_SCRIPTS, dtype=np.int64)
                 row = total[index[lang]]
                 for piece in segments(data.decode("utf-8", "replace")):
                     _, cell, _, script = letters(piece, table)
                     row[:CELLS] += np.bincount(cell, minlength=CELLS)
                     row[CELLS:] += np.bincount(script, minlength=N_SCRIPTS)
-        lang, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[lang, cell])], names=["lang", "cell", "n"]
-        )
+        if total:
+            yield rows(total)
 
     return run
 
 
+class Scores:
+    """Trigram log probabilities. Those of up to DENSE languages are one table (cells x
+    languages); of more languages only the cells that each has seen are held, by cell, as what
+    they add to the language's log probability of an unseen cell."""
+
+    def __init__(self, languages: int, lang: np.ndarray, cell: np.ndarray, n: np.ndarray):
+        below = np.bincount(lang, weights=n, minlength=languages) + 0.05 * CELLS
+        order = np.argsort(cell, kind="stable")
+        self.unseen = np.log(0.05 / below)
+        self.lang, self.more = lang[order].astype(np.int32), np.log((n[order] + 0.05) / 0.05).astype(np.float32)
+        self.first = np.searchsorted(cell[order], np.arange(CELLS + 1))
+        self.table = None
+        if languages <= DENSE:
+            grams = np.zeros((languages, CELLS))
+            grams[lang, cell] = n
+            self.table = np.log((grams + 0.05) / below[:, None]).T.astype(np.float32)
+            self.lang, self.more = self.lang[:0], self.more[:0]
+
+    def of_words(self, cell: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Words x languages; ``word`` are the places of the words' first letters."""
+        if self.table is not None:
+            return np.add.reduceat(self.table[cell], word, axis=0)
+        size, held = np.diff(np.append(word, len(cell))), self.first[cell + 1] - self.first[cell]
+        at = np.repeat(self.first[cell] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        k = len(self.unseen)
+        place = np.repeat(np.repeat(np.arange(len(word)), size), held) * k + self.lang[at]
+        more = np.bincount(place, weights=self.more[at], minlength=len(word) * k).reshape(len(word), k)
+        return (more + size[:, None] * self.unseen).astype(np.float32)
+
+
 class Model:
-    """Languages, trigram log probabilities (cells x languages), candidates (scripts x languages)."""
+    """Languages, trigram scores, candidates (scripts x languages). Counts are given as the
+    cells (trigrams, then scripts) that occur for a language."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], lang: np.ndarray, cell: np.ndarray, n: np.ndarray):
         self.languages = languages
-        grams, scripts = counts[:, :CELLS].astype(float), counts[:, CELLS:].astype(float)
-        self.scores = np.log((grams + 0.05) / (grams.sum(axis=1, keepdims=True) + 0.05 * CELLS)).T.astype(np.float32)
+        gram, scripts = cell < CELLS, np.zeros((len(languages), N_SCRIPTS))
+        scripts[lang[~gram], cell[~gram] - CELLS] = n[~gram]
+        self.scores = Scores(len(languages), lang[gram], cell[gram], n[gram])
         self.allowed = (scripts >= SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True)).T & (scripts.T > 0)
 
 
 def learn(docs: DataFrame) -> Model:
-    """Learn from all rows of (text, lang) with both set. The driver receives one number per
-    language and used cell: at most LANGUAGES x (CELLS + 16)."""
+    """Learn all languages from all rows of (text, lang) with both set. The driver receives one
+    number per language and cell that occurs in its texts: at most CELLS + 16 a language."""
     bounded_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("text", "lang")
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in top)
-    counts = np.zeros((len(languages), CELLS + N_SCRIPTS), dtype=np.int64)
-    if languages:
-        got = known.mapInArrow(_counts(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-        counts[got["lang"].to_numpy(), got["cell"].to_numpy()] = got["n"].to_numpy()
-    return Model(languages, counts)
+    languages = sorted(known.select("lang").distinct().toArrow().column(0).to_pylist())
+    if not languages:
+        return Model([], *(np.zeros(0, dtype=np.int64),) * 3)
+    index = {x: i for i, x in enumerate(languages)}
+    got = known.mapInArrow(_counts(index), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    return Model(languages, *(got.column(c).to_numpy() for c in ("lang", "cell", "n")))
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of each word (words x languages scores). One language throughout is best
-    unless some stretch of words gains more than the penalty elsewhere; only then the full
-    recursion runs."""
-    total = scores.sum(axis=0)
-    main = int(total.argmax())
-    if scores.shape[1] == 1:
-        return np.zeros(len(scores), dtype=np.int64)
-    gain = scores - scores[:, main : main + 1]
-    gain[:, main] = -np.inf
-    run = np.concatenate(([0.0], np.cumsum(gain.max(axis=1), dtype=np.float64)))
-    if (run - np.minimum.accumulate(run)).max() <= penalty:
-        return np.full(len(scores), main, dtype=np.int64)
-    n, k = scores.shape
-    back = np.empty((n, k), dtype=np.int16)
-    stay = np.arange(k)
-    best = scores[0].astype(np.float64)
-    for i in range(1, n):
-        lead = int(best.argmax())
-        switch = best < best[lead] - penalty
-        back[i] = np.where(switch, lead, stay)
-        best = np.where(switch, best[lead] - penalty, best) + scores[i]
+    """Best language of each word (words x languages scores)."""
+    return best_path(lambda: iter([scores]), penalty)
+
+
+def best_path(blocks: Callable[[], Iterator[np.ndarray]], penalty: float) -> np.ndarray:
+    """Best language of each word; ``blocks`` gives the scores (words x languages) in order, and
+    again for each pass. One language throughout is best unless some stretch of words gains more
+    than the penalty elsewhere; only then the full recursion runs."""
+    total, n = 0.0, 0
+    for s in blocks():
+        total, n = total + s.sum(axis=0), n + len(s)
+    k, main = len(total), int(np.argmax(total))
+    if k == 1:
+        return np.zeros(n, dtype=np.int64)
+    run = low = most = 0.0
+    for s in blocks():
+        gain = s - s[:, main : main + 1]
+        gain[:, main] = -np.inf
+        runs = np.cumsum(np.concatenate(([run], gain.max(axis=1))), dtype=np.float64)
+        lows = np.minimum.accumulate(np.minimum(runs, low))
+        run, low, most = runs[-1], lows[-1], max(most, (runs - lows).max())
+    if most <= penalty:
+        return np.full(n, main, dtype=np.int64)
+    back = np.empty((n, (k + 7) // 8), dtype=np.uint8)  # one bit a language: it comes from the lead
+    leads = np.zeros(n, dtype=np.int64)
+    best, i = None, 0
+    for s in blocks():
+        for row in s:
+            if best is None:
+                best = row.astype(np.float64)
+            else:
+                lead = leads[i] = int(best.argmax())
+                switch = best < best[lead] - penalty
+                back[i] = np.packbits(switch)
+                best = np.where(switch, best[lead] - penalty, best) + row
+            i += 1
     out = np.empty(n, dtype=np.int64)
     out[-1] = best.argmax()
     for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+        j = out[i]
+        out[i - 1] = leads[i] if back[i, j >> 3] >> (7 - (j & 7)) & 1 else j
     return out
 
 
-def label_text(text: str, languages: int, scores: np.ndarray, allowed: np.ndarray, table: np.ndarray, penalty: float):
+def label_text(text: str, languages: int, scores: Scores, allowed: np.ndarray, table: np.ndarray, penalty: float):
     """(word starts, word ends, language of each word, letters of each word)."""
-    starts, ends, sums, sizes = [], [], [], []
+    starts, ends, sizes, parts = [], [], [], []
     offset = 0
-    for piece in segments(text):
+    for piece in segments(text, max(1 << 10, _SEGMENT * DENSE // max(DENSE, languages))):
         at, cell, word, script = letters(piece, table)
         if len(at):
             size = np.diff(np.append(word, len(at)))
-            s = np.add.reduceat(scores[cell], word, axis=0)
-            may = allowed[script[word]]
-            may[~may.any(axis=1)] = True
-            s = np.where(may, s, s.min(axis=1, keepdims=True) - 50.0)
             starts.append(at[word] + offset)
             ends.append(at[word + size - 1] + 1 + offset)
-            sums.append(s)
             sizes.append(size)
+            parts.append((cell, word, script[word]))
         offset += len(piece)
-    if not sums:
+    if not parts:
         return (np.zeros(0, dtype=np.int64),) * 4
-    return np.concatenate(starts), np.concatenate(ends), viterbi(np.concatenate(sums), penalty), np.concatenate(sizes)
+
+    def blocks():
+        for cell, word, script in parts:
+            s = scores.of_words(cell, word)
+            may = allowed[script]
+            may[~may.any(axis=1)] = True
+            yield np.where(may, s, s.min(axis=1, keepdims=True) - 50.0)
+
+    sizes = np.concatenate(sizes)
+    kept = list(blocks()) if len(sizes) * languages <= _KEPT else None
+    labels = best_path(blocks if kept is None else lambda: iter(kept), penalty)
+    return np.concatenate(starts), np.concatenate(ends), labels, sizes
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -212,7 +278,7 @@ def identify_languages(docs: DataFrame, model: Model, penalty: float = SWITCH) -
     alike; an empty table gives an empty result."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((model.scores, model.allowed))  # LANGUAGES x CELLS floats at most
+    shared = spark.sparkContext.broadcast((model.scores, model.allowed))  # DENSE x CELLS floats, or 8 bytes per cell that a language has seen
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
     return docs.select("doc_id", "text").mapInArrow(_label(model.languages, shared, penalty), schema)

@@ -69,3 +69,51 @@ def test_a_rare_language_beside_a_hot_one_of_its_script_is_found(spark):
     test = [(i, text(rnd, lang), lang, None, None) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
     out = {r.doc_id: r for r in language_id.identify_languages(frame(spark, test), model).collect()}
     assert [(out[r[0]].lang_pred, out[r[0]].score) for r in test] == [(r[2], 1.0) for r in test]
+
+
+def many(rnd, n=230):
+    names = [f"l{i:03}" for i in range(n)]
+    return {x: ["".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") for _ in range(3)) for _ in range(8)] for x in names}
+
+
+def test_all_of_many_languages_are_learned_and_told_apart(spark):
+    rnd = random.Random(5)
+    words = many(rnd)
+
+    def say(lang, n=60):
+        return " ".join(rnd.choice(words[lang]) for _ in range(n))
+
+    train = [(i, say(x), x, None, None) for i, x in enumerate([*words, *list(words)[:200] * 2])]
+    model = language_id.learn(frame(spark, train))
+    assert model.languages == sorted(words)
+    test = [(i, say(x), x, None, None) for i, x in enumerate(words)]
+    out = {r.doc_id: r for r in language_id.identify_languages(frame(spark, test), model).collect()}
+    assert [(out[r[0]].lang_pred, out[r[0]].score) for r in test] == [(r[2], 1.0) for r in test]
+    mixed = f"{say('l005')} {say('l229')} {say('l100', 90)}"
+    (r,) = language_id.identify_languages(frame(spark, [(1, mixed, None, None, None)]), model).collect()
+    assert [s.lang for s in r.spans] == ["l005", "l229", "l100"] and r.lang_pred == "l100"
+
+
+def test_scores_by_cell_equal_the_full_table(spark, monkeypatch):
+    rnd = random.Random(6)
+    train = frame(spark, rows(1))
+    mixed = " ".join(text(rnd, rnd.choice(list(WORDS)), rnd.randint(1, 40)) for _ in range(60))
+    table = language_id.script_table()
+    dense = language_id.learn(train)
+    monkeypatch.setattr(language_id, "DENSE", 1)
+    few = language_id.learn(train)
+    assert dense.scores.table is not None and few.scores.table is None
+    want = language_id.label_text(mixed, 3, dense.scores, dense.allowed, table, 12.0)
+    for kept in (1 << 24, 0):
+        monkeypatch.setattr(language_id, "_KEPT", kept)
+        got = language_id.label_text(mixed, 3, few.scores, few.allowed, table, 12.0)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(set(got[2])) == 3
+
+
+def test_best_path_over_blocks_equals_one_block():
+    rnd = np.random.default_rng(2)
+    for _ in range(100):
+        n, k = int(rnd.integers(2, 60)), int(rnd.integers(2, 20))
+        s = rnd.normal(0, 4, (n, k))
+        cut = int(rnd.integers(1, n))
+        assert (language_id.best_path(lambda: iter([s[:cut], s[cut:]]), 4.0) == language_id.viterbi(s, 4.0)).all()
