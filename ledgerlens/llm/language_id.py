@@ -1,6 +1,6 @@
 """Language identification of mixed texts.
 
-Words are runs of letters. The script of a word (by character ranges) narrows the languages it
+Words are runs of letters and of marks after a letter. The script of a word (by character ranges) narrows the languages it
 may belong to; each of these scores the word by its hashed letter trigrams. Viterbi with a
 penalty for switching turns the word scores into spans of one language each. The model, counts
 of trigrams and of letters per script for each language, is learned from labelled texts.
@@ -8,6 +8,8 @@ of trigrams and of letters per script for each language, is learned from labelle
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -28,22 +30,32 @@ SCRIPTS = (
     (6, 0x590, 0x5FF), (7, 0x600, 0x77F), (8, 0x900, 0x97F), (9, 0x980, 0x9FF), (10, 0xB80, 0xBFF), (11, 0xE00, 0xE7F),
     (12, 0x10A0, 0x10FF), (13, 0xAC00, 0xD7AF), (13, 0x1100, 0x11FF), (14, 0x3040, 0x30FF), (15, 0x3400, 0x9FFF),
 )
-N_SCRIPTS = 16
+N_SCRIPTS, _MARK = 16, 32
 _SEGMENT = 1 << 16
 #: Scores (words x languages) of a text that are kept between passes; those of more are made again.
 _KEPT = 1 << 24
 
 
+@functools.cache
 def script_table() -> np.ndarray:
-    t = np.zeros(1 << 16, dtype=np.uint8)
-    for i in range(1 << 16):
-        if unicodedata.category(chr(i))[0] in "LM":
-            t[i] = 1
+    """The script of each code point's letter; _MARK is added for a combining mark."""
+    t = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    kind = np.array([unicodedata.category(chr(i))[0] for i in range(len(t))])
+    t[(kind == "L") | (kind == "M")] = 1
     for script, lo, hi in SCRIPTS:
         t[lo : hi + 1][t[lo : hi + 1] > 0] = script
+    t[kind == "M"] += _MARK
     return t
 
 
+def without_loose_marks(script: np.ndarray) -> np.ndarray:
+    """Marks get the script of the letter before them in their word, and 0 without one."""
+    mark, at = script >= _MARK, np.arange(len(script))
+    base = np.maximum.accumulate(np.where((script > 0) & ~mark, at, -1))
+    gap = np.maximum.accumulate(np.where(script == 0, at, -1))
+    return np.where(mark, np.where(base > gap, script[base], 0), script).astype(np.uint8)
+
+
 def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
     """Pieces of a long text, cut at blanks."""
     at = 0
@@ -62,7 +74,9 @@ def letters(text: str, table: np.ndarray):
     if len(low) != len(text):  # keep one code point for one
         low = "".join(c.lower()[0] for c in text)
     c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    script = np.where(c < 1 << 16, table[np.minimum(c, (1 << 16) - 1)], np.uint8(1)) if len(c) and c.max() >= 1 << 16 else table[c]
+    script = table[c]
+    if len(c) and script.max() >= _MARK:
+        script = without_loose_marks(script)
     at = np.flatnonzero(script)
     if not len(at):
         return at, at, at, script[:0]

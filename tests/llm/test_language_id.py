@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 from brute import edge_rows, empty, frame
@@ -117,3 +118,26 @@ def test_best_path_over_blocks_equals_one_block():
         s = rnd.normal(0, 4, (n, k))
         cut = int(rnd.integers(1, n))
         assert (language_id.best_path(lambda: iter([s[:cut], s[cut:]]), 4.0) == language_id.viterbi(s, 4.0)).all()
+
+
+def test_only_letters_and_marks_after_letters_make_words(spark):
+    model = language_id.learn(frame(spark, rows(1)))
+    loose = ["\U0001f600", "\u2764\ufe0f", "\u0301 \u0302\u0303", "1\ufe0f\u20e3", "\U0001f600\u0301\U0001f1e9\U0001f1ea", "\U000e0100", "\U0010fffd\ue000"]
+    words = ["\U00010330\U00010331", "\U00020000\U00020001", "wa\u0301lo", "\u0301walo", "\U0001f600walo\U0001f600"]
+    out = language_id.identify_languages(frame(spark, [(i, t, None, None, None) for i, t in enumerate(loose + words)]), model).collect()
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in out}
+    assert all(r.lang_pred == "und" and r.score == 0.0 and not r.spans for r in out if r.doc_id < len(loose))
+    assert [spans[len(loose) + i] for i in range(len(words))] == [[(0, 2)], [(0, 2)], [(0, 5)], [(1, 5)], [(1, 5)]]
+
+
+def test_table_equals_the_categories():
+    t = language_id.script_table()
+    assert len(t) == 0x110000 and t[0x10330] == 1 and not t[0x1F600] and t[ord("a")] == 2
+    text = "a\u0301\u0302 \u0301b\u0301 \u0301\u0302 c\U0001f600\u0301\u0915\u093f"
+    at, _, starts, script = language_id.letters(text, t)
+    want, word = [], False
+    for i, c in enumerate(text):
+        kind = unicodedata.category(c)[0]
+        word = kind == "L" or (kind == "M" and word)
+        want += [i] if word else []
+    assert at.tolist() == want and script.tolist() == [2, 2, 2, 2, 2, 2, 8, 8] and len(starts) == 4
