@@ -156,6 +156,33 @@ def _contexts(only: set[str]):
     return run
 
 
+def _around(kept: set[str]):
+    """Rows (entry, n): in how many texts of the task's share each longer word of a kept
+    beginning, and each phrase of two or three words with a kept entry, occurs."""
+
+    def run(batches):
+        count: Counter = Counter()
+        for b in batches:
+            for data in text_bytes(b.column("text")):
+                words, seen = words_of(data), set()
+                for i, w in enumerate(words):
+                    listed = [e for e in entries_of(w) if e in kept]
+                    if not listed:
+                        continue
+                    if f" {w} " not in kept:
+                        seen.add(f" {w} ")
+                    for lo, hi in ((i - 1, i + 1), (i, i + 2), (i - 2, i + 1), (i - 1, i + 2), (i, i + 3)):
+                        if lo >= 0 and hi <= len(words):
+                            seen.add(spaced(words[lo:hi]))
+                count.update(seen)
+            if len(count) > 500_000:
+                yield _pairs(count)
+                count = Counter()
+        yield _pairs(count)
+
+    return run
+
+
 def _scores(lexicon: Lexicon, names: list[str]):
     def run(batches):
         automaton = lexicon.automaton()
@@ -203,7 +230,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, use, toxic: int = SAMPLE
 
 
 def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Lexicon, exceptions and curve from a bounded sample of (text, toxic 0/1)."""
+    """Lexicon, exceptions and curve from a bounded sample of (text, toxic 0/1). Besides those
+    given, exceptions are the longer words of a kept beginning and the phrases of two or three
+    words around a kept entry that SUPPORT or more clean texts hold (a tenth of them, if fewer than
+    SUPPORT) and that are likelier in clean texts than in toxic ones."""
     bounded_batches(sample.sparkSession)
     per = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_tox, n_clean = per.get(1, 0), per.get(0, 0)
@@ -231,8 +261,13 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
         inner = e.rstrip()
         if len(kept) < KEPT and spread.get(e, 0) >= min(CONTEXTS, floor) and not any(k.rstrip().startswith(inner) or inner.startswith(k.rstrip()) for k in kept):
             kept[e] = min(MAX_WEIGHT, odds(e))
-    harmless = [e for e in tox if e.endswith(" ") and e not in kept and odds(e) < 0 and any(e.startswith(k) for k in kept if not k.endswith(" "))]
-    lexicon = Lexicon(kept, fixed + harmless)
+    near = sample.select("text", (F.col("toxic") == 1).alias("bad"))
+    seen_in = [near.where(c).select("text").mapInArrow(_around(set(kept)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias(n)) for c, n in (("not bad", "clean"), ("bad", "toxic"))]
+    support = max(2, min(SUPPORT, n_clean // 10))
+    less = (F.coalesce("toxic", F.lit(0)) + 0.5) / (n_tox + 1) < (F.col("clean") + 0.5) / (n_clean + 1)
+    around = seen_in[0].where(F.col("clean") >= support).join(seen_in[1], "entry", "left").where(less)
+    harmless = {e for e in tox if e.endswith(" ") and e not in kept and odds(e) < 0 and any(e.startswith(k) for k in kept if not k.endswith(" "))}
+    lexicon = Lexicon(kept, fixed + sorted(harmless | {r["entry"] for r in around.select("entry").collect()}))
     rows = sample.mapInArrow(_scores(lexicon, ["toxic"]), "toxic long, score double, hit_weight double, n_hits long, n_words long").collect()
     x = np.array([features(r["hit_weight"], r["n_words"]) for r in rows])
     lexicon.curve = _fit(x, np.array([float(r["toxic"] == 1) for r in rows]))

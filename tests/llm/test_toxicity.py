@@ -1,8 +1,9 @@
 import random
+import tempfile
 
 from brute import edge_rows, empty, frame
 
-from ledgerlens.llm import toxicity
+from ledgerlens.llm import catalog, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -57,3 +58,22 @@ def test_edge_rows_missing_labels_and_empty_tables(spark):
 
 def test_fold():
     assert [w for w in toxicity.fold("Cl0wn! É1é  fоо_bar") if w] == ["clown", "élé", "foo", "bar"]
+
+
+def test_harmless_phrases_and_longer_words_are_learned_from_clean_texts(spark, monkeypatch):
+    docs, marks = corpus(6, n=1600)
+    rnd = random.Random(7)
+    for j, (i, t, *_) in enumerate(docs):
+        if marks[j][2] == 0 and i % 80 in (1, 2, 3):
+            w = t.split()
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = {1: ["photo", "vilword"], 2: ["vilword", "of", "honour"], 3: ["zlurpish"]}[i % 80]
+            docs[j] = (i, " ".join(w), None, None, None)
+    monkeypatch.setattr(catalog, "documents", lambda spark, sf_dir: frame(spark, docs))
+    path = tempfile.mkdtemp(prefix="ledgerlens-test-")
+    spark.createDataFrame(marks, LABELS).write.parquet(f"{path}/labels.parquet")
+    lexicon = catalog.toxic_lexicon(spark, path)
+    tests = ["the photo vilword here", "a vilword of honour now", "some zlurpish thing", "vilword here", "zlurpen now", "photo a vilword"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(tests)]
+    got = {r.doc_id: (r.n_hits, r.score >= 0.5) for r in toxicity.toxicity_scores(frame(spark, rows), lexicon).collect()}
+    assert got == {i: ((0, False) if i < 3 else (1, True)) for i in range(len(tests))}
