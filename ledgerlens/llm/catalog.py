@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, hash_ring, importance_sampling, language_id, licences, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from ledgerlens.llm import decontaminate, filter_audit, hash_ring, importance_sampling, language_id, licences, mixing, ngram_join, oracle, quality_rules, secret_scan, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -112,6 +112,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 120 orders of five filters over all documents, by language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.failure_counts(documents(spark, sf_dir), labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -123,6 +129,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op13_filter_audit": oracle.FILTER_AUDIT,
+}
