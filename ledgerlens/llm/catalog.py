@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, filter_audit, hash_ring, importance_sampling, language_id, licences, mixing, ngram_join, oracle, quality_rules, secret_scan, toxicity
+from ledgerlens.llm import decontaminate, filter_audit, hash_ring, importance_sampling, language_id, licences, merkle, mixing, ngram_join, oracle, quality_rules, secret_scan, toxicity
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -112,6 +112,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    return merkle.edit_audit(documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 120 orders of five filters over all documents, by language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -129,10 +134,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op11_document_fingerprints": oracle.MERKLE,
     "op13_filter_audit": oracle.FILTER_AUDIT,
 }

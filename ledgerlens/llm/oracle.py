@@ -50,3 +50,38 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM played
 """
+
+#: The tree with DuckDB's own pattern matching and digests, the next document by a window.
+MERKLE = r"""
+WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), pairs AS (
+    SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM base WINDOW w AS (ORDER BY doc_id DESC)
+), texts AS (
+    SELECT doc_id, t, nt, left(t, (length(t) - length(t) // 2)::INT) || left(nt, (length(t) // 2)::INT) AS e FROM pairs
+), long AS (
+    SELECT doc_id, 't' AS k, t AS x FROM texts UNION ALL SELECT doc_id, 'e', e FROM texts UNION ALL SELECT doc_id, 'n', nt FROM texts
+), pieces AS (
+    SELECT doc_id, k, x, regexp_extract_all(x, '[^.!?\n]{1,64}[.!?]*\n*|[.!?]+\n*|\n+') AS p FROM long
+), leaves AS (
+    SELECT doc_id, k, x, list_transform(p, lambda q: left(md5(q), 13) || lpad(least(length(q), 99)::VARCHAR, 2, '0')
+        || CASE WHEN q NOT LIKE '%' || chr(10) THEN '.' WHEN q LIKE '%' || chr(10) || chr(10) OR md5(q)[1] IN ('0', '1') THEN ';' ELSE ',' END) AS l
+    FROM pieces
+), sections AS (
+    SELECT doc_id, k, x, l, list_transform(list_filter(string_split(array_to_string(l, ''), ';'), lambda s: s <> ''), lambda s:
+        left(sha256(array_to_string(list_transform(list_filter(string_split(s, ','), lambda c: c <> ''), lambda c: sha256(c)), ',')), 16) || '=' || s) AS s
+    FROM leaves
+), marks AS (
+    SELECT doc_id, k, x, l, sha256(array_to_string(list_transform(s, lambda c: left(c, 16)), ';')) || ':' || array_to_string(s, ';') AS f FROM sections
+), sized AS (
+    SELECT doc_id, k, x, l, f, list_sum(list_transform(list_distinct(l), lambda c: c[14:15]::INT)) AS n FROM marks
+), likened AS (
+    SELECT a.doc_id, b.k, CASE WHEN a.l = b.l THEN 1.0::DOUBLE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) = 0 THEN 0.0::DOUBLE
+        ELSE 2 * coalesce(list_sum(list_transform(list_intersect(a.l, b.l), lambda c: c[14:15]::INT)), 0)::DOUBLE / (coalesce(a.n, 0) + coalesce(b.n, 0)) END AS near
+    FROM sized a JOIN sized b ON a.doc_id = b.doc_id AND a.k = 't' AND b.k <> 't'
+)
+SELECT o.doc_id, length(o.x)::BIGINT AS n_chars, sha256(e.x) AS edited_sha256, o.f AS fingerprint, e.f AS edited_fingerprint,
+       ne.near AS near_edited, nn.near AS near_next
+FROM sized o JOIN sized e ON o.doc_id = e.doc_id AND o.k = 't' AND e.k = 'e'
+JOIN likened ne ON ne.doc_id = o.doc_id AND ne.k = 'e' JOIN likened nn ON nn.doc_id = o.doc_id AND nn.k = 'n'
+"""

@@ -29,8 +29,8 @@ def played(rows, labels):
     for r in rows:
         t = r[1] or ""
         first[t] = min((x for x in (first.get(t), r[0]) if x is not None), default=None)
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, x in labels if x == 1}
+    good = {d for d, q, _ in labels if q == 1} - {None}
+    toxic = {d for d, _, x in labels if x == 1} - {None}
     out = {}
     for part in {r[2] or "" for r in rows}:
         docs = [(r[0], failures(r[1], r[0], first)) for r in rows if (r[2] or "") == part]
