@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, filter_audit, hash_ring, importance_sampling, language_id, licences, merkle, mixing, ngram_join, oracle, quality_rules, secret_scan, toxicity
+from ledgerlens.llm import decontaminate, filter_audit, hash_ring, importance_sampling, language_id, licences, merkle, mixing, ngram_join, oracle, quality_rules, secret_scan, toxicity, whitening
 from ledgerlens.llm.common import documents, held_out
 
 
@@ -117,6 +117,11 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_audit(documents(spark, sf_dir))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of all embeddings."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 120 orders of five filters over all documents, by language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_mixing": op10_mixing,
     "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 

@@ -65,15 +65,16 @@ def secular_roots(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if f[-1] < 0:
         lo[-1], hi[-1] = half[-1], 2 * half[-1]
     tau = (lo + hi) / 2
-    at = i
+    at, apart = i, d[None, :] - d[pole][:, None]
+    lower = np.tri(m)
     for _ in range(100):
-        gap = d[None, :] - d[pole[at]][:, None] - tau[at][:, None]
+        gap = apart - tau[at][:, None]
         t = w / gap
         t2 = t / gap
-        below = (t2 * (i[None, :] <= at[:, None])).sum(1)
+        below = np.einsum("ij,ij->i", t2, lower)
         slope = t2.sum(1)
         value = 1 + t.sum(1)
-        noise = 4 * _EPS * (1 + np.abs(t).sum(1))
+        noise = 4 * _EPS * (value - 2 * np.einsum("ij,ij->i", t, lower))  # terms below are negative
         x = tau[at]
         lo[at] = np.where(value < 0, x, lo[at])
         hi[at] = np.where(value < 0, hi[at], x)
@@ -93,7 +94,8 @@ def secular_roots(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             new = x + step
         inside = (new > lo[at]) & (new < hi[at])
         tau[at] = np.where(done, x, np.where(inside, new, (lo[at] + hi[at]) / 2))
-        at = at[~done]
+        if done.sum() * 4 > len(at):
+            at, apart, lower = at[~done], apart[~done], lower[~done]
     return pole, tau
 
 
@@ -143,6 +145,13 @@ class Spectrum:
         self.n, self.sums = 0, [0] * dim
         self.mean, self.values, self.basis = np.zeros(dim), np.zeros(dim), np.eye(dim)
 
+    @classmethod
+    def of(cls, state: dict) -> Spectrum:
+        """From ``vars`` of another one."""
+        out = cls(len(state["sums"]))
+        vars(out).update(state)
+        return out
+
     def add(self, y: np.ndarray) -> None:
         for row in y.astype(float):
             u = row - self.mean
@@ -224,14 +233,16 @@ def _spectrum(vectors: DataFrame, dim: int) -> Spectrum | None:
         s = Spectrum(dim)
         for y in matrices:
             s.add(y)
-        return s if s.n else None
+        return vars(s) if s.n else None
 
     def merge(states):
+        first = Spectrum.of(states[0])
         for other in states[1:]:
-            states[0].merge(other)
-        return states[0]
+            first.merge(Spectrum.of(other))
+        return vars(first)
 
-    return _reduced(vectors, dim, fold, merge, "spectrum")
+    state = _reduced(vectors, dim, fold, merge, "spectrum")
+    return None if state is None else Spectrum.of(state)
 
 
 class Centre:
