@@ -9,8 +9,8 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
    small for that use their lowest tokens instead: of n tokens at most
    h = n - ceil(n * num / den) are missing from a linked set, so the h + s lowest of both have s
    in common. A set that shares fewer slots with others than any link needs is left out at once.
-   The smallest set that holds a shared slot leads it; sets with the same smallest leader are a group, cut into blocks of
-   bounded rows and tokens.
+   The smallest set that holds a shared slot leads it; sets with the same smallest leader are a
+   group. A slot that many sets of one batch hold is dealt to many tasks.
 2. **Token-group matrix.** A block keeps the union of its members' slots (token combinations)
    and, where it is compared, of their tokens, as an inverted list token -> members.
 3. **Bound.** A query set meets a block only if the block's union holds as many of its slots as
@@ -20,6 +20,14 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
    are compared with the threshold in whole numbers. Links are merged at once in a union-find,
    so a block emits a forest, never its pairs.
 
+A family of near-copies does not grow with its square. Three rounds, each exact in what it skips:
+first every set of a group is compared with LEADS members of its group only, which joins a family
+to one component. Then blocks are made of bounded rows and tokens, a component of PURE sets or more in blocks of its own, and a set
+asks only blocks of larger components (sets of small components also each other): two sets of
+one component need no comparison. Of a large component only representatives ask at first; the
+others ask in the last round, if their component and a larger one are still apart. All links
+between components are found; ``every_link`` compares all candidates instead and counts the links.
+
 Equal sets are one node throughout, so copies are never compared or expanded.
 """
 
@@ -38,6 +46,12 @@ from ledgerlens.operators.joins import broadcast_if_small
 
 #: Most members and most tokens of a block, most queries of one task's share of a block.
 BLOCK_ROWS, BLOCK_TOKENS, BLOCK_QUERIES = 512, 1_000_000, 8192
+#: Members of a group that all others are compared with first; sets of a component with blocks of its own.
+LEADS, PURE = 16, 512
+#: A slot held by this many different sets of one Arrow batch is dealt to many tasks; so many slots
+#: at most are (the most frequent ones: this decides balance only).
+HOT_SETS, HOT_KEYS = 32, 1 << 16
+_SENTINEL = -(1 << 63)
 _U = np.uint64
 _NEED = 64
 
@@ -121,29 +135,46 @@ class Bands:
             yield keys, band * _NEED + min(max(1, 1 + s - empty), _NEED - 1)
 
 
-def _sets(k: int):
+def _sets(k: int, num: int, den: int, hot_sets: int):
+    """Rows (doc_id, th, n, sig, hot); the first row of a batch has the batch's hot slots."""
     words_of = word_table("blank")
 
     def run(batches):
+        bands = Bands(num, den)
         for b in batches:
-            n, sig = [], []
+            n, sig, held = [], [], {}
             for data in text_bytes(b.column("text")):
                 t = shingle_set(data, k, words_of)
                 n.append(len(t))
                 sig.append(signature(t) if len(t) else None)
+                if len(t) and sig[-1] not in held:
+                    held[sig[-1]] = [ks for ks, _ in bands.keys(t)]
+            every = [ks for own in held.values() for ks in own]
+            hot = [None] * len(n)
+            if len(held) >= hot_sets and every:
+                keys, count = np.unique(np.concatenate(every), return_counts=True)
+                hot[0] = keys[count >= hot_sets].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())],
-                names=["doc_id", "th", "n", "sig"],
+                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(hot, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "n", "sig", "hot"],
             )
 
     return run
 
 
-def _slot_keys(k: int, num: int, den: int):
+def _salted(keys: np.ndarray, sig: int, salts: int) -> np.ndarray:
+    """The unit of hot slots that a set goes to."""
+    salt = int(mix(np.array([sig], dtype=np.int64).view(np.uint64))[0]) % salts
+    return mix(keys ^ mix(np.array([salt + 1], dtype=np.uint64)))
+
+
+def _slot_keys(k: int, num: int, den: int, hot: np.ndarray, salts: int):
+    """Rows (key, sig, tag); hot slots (sorted, uint64) are cut into ``salts`` units, each with a
+    sentinel as its smallest holder."""
     words_of = word_table("blank")
 
     def run(batches):
-        bands, seen = Bands(num, den), set()
+        bands, seen, marked = Bands(num, den), set(), set()
         for b in batches:
             keys, sigs, tags = [], [], []
             for data in text_bytes(b.column("text")):
@@ -154,6 +185,16 @@ def _slot_keys(k: int, num: int, den: int):
                     seen.clear()
                 seen.add(sig)
                 for ks, tag in bands.keys(t):
+                    if len(hot):
+                        at = hot[np.minimum(np.searchsorted(hot, ks), len(hot) - 1)] == ks
+                        if at.any():
+                            ks = ks.copy()
+                            ks[at] = _salted(ks[at], sig, salts)
+                            new = np.array([x for x in ks[at].tolist() if x not in marked], dtype=np.uint64)
+                            marked.update(new.tolist())
+                            keys.append(new)
+                            sigs.append(np.full(len(new), _SENTINEL, dtype=np.int64))
+                            tags.append(np.zeros(len(new), dtype=np.int32))
                     keys.append(ks)
                     sigs.append(np.full(len(ks), sig, dtype=np.int64))
                     tags.append(np.full(len(ks), tag, dtype=np.int32))
@@ -345,91 +386,184 @@ def _forest_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "links"])
 
 
-def _linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, th, comp, n_shingles, component_id, n_links) of every row; comp names the
-    component (null for a row without words)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", text_key())
-
-    sets = stage(base.mapInArrow(_sets(k), "doc_id long, th long, n long, sig long"), "sets")
-    nodes = (
-        sets.where("sig is not null")
-        .groupBy("sig")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("mult"), F.min("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"))
-    )
-
-    keys = base.select("text").mapInArrow(_slot_keys(k, num, den), "key long, sig long, tag int")
+def _shared_slots(base: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, sig, tag, lead) of every slot that two or more sets hold."""
+    spark = base.sparkSession
+    often = sets.select(F.explode("hot").alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
+    found = [r["key"] for r in often.collect()]
+    hot = np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = base.select("text").mapInArrow(_slot_keys(k, num, den, hot, salts), "key long, sig long, tag int")
     runs = keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared_runs, "key long, sig long, tag int, lead long")
     shared = stage(runs, "shared")
-    able = shared.groupBy("sig", "tag").agg(F.count("*").alias("c")).where(f"c >= tag % {_NEED}").select("sig", "tag")
-    shared = shared.join(able, ["sig", "tag"], "left_semi")
+    if not found:
+        return shared
+    pairs = _unit_table(spark, found, salts)
+    cold = shared.where(F.col("lead") != _SENTINEL)
+    rows = shared.where((F.col("lead") == _SENTINEL) & (F.col("sig") != _SENTINEL)).join(pairs, "key").select(F.col("slot").alias("key"), "sig", "tag")
+    leads = rows.groupBy("key").agg(F.min("sig").alias("lead"), F.max("sig").alias("last")).where("lead < last").select("key", "lead")
+    return stage(cold.unionByName(rows.join(broadcast_if_small(leads), "key")), "shared-all")
 
-    # Groups: sets with the same smallest leader; blocks of bounded rows and tokens.
-    grouped = shared.groupBy("sig").agg(F.min("lead").alias("grp")).join(nodes, "sig")
-    sizes = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    own = grouped.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
-    own = stage(own.select("sig", "grp", "block", "mult", "rep"), "blocks")
 
-    # The matrix of groups and slots: a query opens a block that holds as many of its slots as
-    # any link needs. A pair of blocks is looked at from one side.
-    at = F.struct("grp", "block")
-    held = shared.join(own.select("sig", "grp", "block"), "sig").select("key", "sig", "tag", "grp", "block")
-    matrix = held.select("key", F.col("grp").alias("to_grp"), F.col("block").alias("to_block")).distinct()
-    to = F.struct(F.col("to_grp").alias("grp"), F.col("to_block").alias("block"))
-    meets = held.join(matrix, "key").where(to < at).groupBy("sig", "tag", "to_grp", "to_block").agg(F.count("*").alias("c"))
-    asks = stage(meets.where(f"c >= tag % {_NEED}").select("sig", F.col("to_grp").alias("grp"), F.col("to_block").alias("block")).distinct(), "asks")
-    live = own.groupBy("grp", "block").agg(F.count("*").alias("m")).join(asks.groupBy("grp", "block").agg(F.count("*").alias("q")), ["grp", "block"], "left")
-    live = live.where("m > 1 or q > 0").select("grp", "block", F.ceil(F.coalesce("q", F.lit(1)) / BLOCK_QUERIES).cast("int").alias("salts"))
+def _unit_table(spark, found: list[int], salts: int) -> DataFrame:
+    """(slot, unit key) of all units of the hot slots, made by tasks."""
+
+    def run(batches):
+        for b in batches:
+            keys = b.column("slot").to_numpy(zero_copy_only=False).view(np.uint64)
+            salt = b.column("salt").to_numpy(zero_copy_only=False).astype(np.uint64)
+            unit = mix(keys ^ mix(salt + _U(1)))
+            yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array(unit.view(np.int64))], names=["slot", "key"])
+
+    slots = spark.createDataFrame([(x,) for x in found], "slot long")
+    return slots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).mapInArrow(run, "slot long, key long")
+
+
+def _compared(base: DataFrame, nodes: DataFrame, members: DataFrame, asks: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
+    """Links (u, v, links) found by opening blocks: ``members`` (sig, grp, block, inner: whether
+    the block's members are compared with each other), ``asks`` (sig, grp, block)."""
+    blocks = members.groupBy("grp", "block").agg(F.count("*").alias("m"), F.max(F.col("inner").cast("int")).alias("inner"))
+    live = blocks.join(asks.groupBy("grp", "block").agg(F.count("*").alias("q")), ["grp", "block"], "left").where("(inner = 1 and m > 1) or q > 0")
+    first = F.when(F.col("inner") == 1, 0).otherwise(1)  # the share numbered 0 compares the members
+    live = live.select("grp", "block", first.alias("first"), F.ceil(F.coalesce("q", F.lit(1)) / BLOCK_QUERIES).cast("int").alias("salts"))
 
     def role(salt, kind):
         return F.struct("grp", "block", salt.cast("int").alias("salt"), F.lit(kind).alias("kind"))
 
-    kept = own.select("sig", "grp", "block").join(live, ["grp", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    roles = kept.select("sig", role(F.col("salt"), 0).alias("role")).unionByName(
-        asks.join(live, ["grp", "block"]).select("sig", role(F.pmod(F.xxhash64("sig", F.lit(1)), "salts"), 1).alias("role"))
-    )
-    plan = roles.groupBy("sig").agg(F.collect_list("role").alias("roles")).join(own.select("sig", "mult", "rep"), "sig")
-    plan = stage(plan.select("sig", "mult", "roles", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "roles")
+    kept = members.select("sig", "grp", "block").join(live, ["grp", "block"]).withColumn("salt", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)))
+    asked = F.col("first") + F.pmod(F.xxhash64("sig", F.lit(1)), "salts")
+    roles = kept.select("sig", role(F.col("salt"), 0).alias("role")).unionByName(asks.join(live, ["grp", "block"]).select("sig", role(asked, 1).alias("role")))
+    plan = roles.groupBy("sig").agg(F.collect_list("role").alias("roles")).join(nodes, "sig")
+    plan = stage(plan.select("sig", "mult", "roles", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), f"{name}-roles")
     same = (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
     placed = base.join(broadcast_if_small(plan), same).select("sig", "mult", "roles", "text")
-    forest = stage(
+    return stage(
         placed.mapInArrow(_placed_sets(k), "grp long, block int, salt int, kind int, sig long, mult long, tokens binary")
         .repartition("grp", "block", "salt")
         .sortWithinPartitions("grp", "block", "salt", "kind", "sig")
         .mapInArrow(_match(num, den), "u long, v long, links long"),
-        "forest",
+        f"{name}-links",
     )
 
+
+def _asked(asking: DataFrame, matrix: DataFrame, which) -> DataFrame:
+    """The matrix of blocks and slots: a set asks a block that holds as many of its slots as any
+    link needs. (sig, grp, block)."""
+    meets = asking.join(matrix, "key").where(which).groupBy("sig", "tag", "to_grp", "to_block").agg(F.count("*").alias("c"))
+    return meets.where(f"c >= tag % {_NEED}").select("sig", F.col("to_grp").alias("grp"), F.col("to_block").alias("block")).distinct()
+
+
+def _forest(base: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, num: int, den: int, every_link: bool) -> DataFrame:
+    """Links (u, v, links) between sets that hold their components together; with ``every_link``
+    the links of each set are counted."""
+    shared = _shared_slots(base, sets, k, num, den)
+    able = shared.groupBy("sig", "tag").agg(F.count("*").alias("c")).where(f"c >= tag % {_NEED}").select("sig", "tag")
+    shared = stage(shared.join(able, ["sig", "tag"], "left_semi"), "able")
+    grouped = stage(shared.groupBy("sig").agg(F.min("lead").alias("grp")).join(nodes, "sig"), "groups")
+    facts = grouped.select("sig", "mult", "rep")
+
+    # First round: each set against LEADS members of its group.
+    links = None
+    comp, size = F.col("sig"), F.lit(1).cast("long")
+    own = grouped
+    if not every_link:
+        leads = grouped.groupBy("grp", F.pmod(F.xxhash64("sig"), F.lit(LEADS)).alias("i")).agg(F.min("sig").alias("sig")).select("sig", "grp")
+        leads = stage(leads.withColumns({"block": F.lit(0), "inner": F.lit(True)}), "leads")
+        others = grouped.select("sig", "grp", F.lit(0).alias("block")).join(leads.select("sig"), "sig", "left_anti")
+        links = _compared(base, facts, leads, others, k, num, den, "leads")
+        labels = stage(connected_components(links.select("u", "v")).select(F.col("node").alias("sig"), F.col("label").alias("comp")), "comps")
+        sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= PURE)
+        own = grouped.join(labels, "sig", "left").join(sizes, "comp", "left")
+        comp, size = F.coalesce("comp", "sig"), F.coalesce("size", F.lit(1).cast("long"))
+
+    # Blocks; rank orders the large components by size, all others have 0.
+    wide = "decimal(38,0)"
+    rank = F.when(size >= PURE, (size * F.lit(str(1 << 64)).cast(wide) + comp + F.lit(str(1 << 63)).cast(wide)).cast(wide)).otherwise(F.lit(0).cast(wide))
+    if every_link:
+        rank = F.lit(0).cast(wide)
+    own = own.select("sig", "n", comp.alias("comp"), rank.alias("rank"), F.when(rank > 0, F.xxhash64("grp", comp)).otherwise(F.col("grp")).alias("grp"))
+    rows = own.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    own = own.join(rows, "grp").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    own = stage(own.select("sig", "grp", "block", "comp", "rank"), "blocks")
+    members = own.select("sig", "grp", "block", (F.col("rank") == 0).alias("inner"))
+    held = shared.select("key", "sig", "tag").join(own, "sig")
+    matrix = held.select("key", F.col("grp").alias("to_grp"), F.col("block").alias("to_block"), F.col("comp").alias("to_comp"), F.col("rank").alias("to_rank"))
+    matrix = matrix.withColumn("to_comp", F.when(F.col("to_rank") > 0, F.col("to_comp"))).distinct()
+
+    # Second round: sets of small components, and LEADS representatives of the large ones.
+    at = F.struct("grp", "block")
+    to = F.struct(F.col("to_grp").alias("grp"), F.col("to_block").alias("block"))
+    one_side = (F.col("to_rank") > F.col("rank")) | ((F.col("to_rank") == 0) & (F.col("rank") == 0) & (to < at))
+    large = own.where("rank > 0")
+    chosen = large.groupBy("comp", F.pmod(F.xxhash64("sig"), F.lit(LEADS)).alias("i")).agg(F.min("sig").alias("sig")).select("sig", F.lit(True).alias("chosen"))
+    top = held.groupBy("key").agg(F.max("rank").alias("top"))
+    rising = held.join(top, "key").where("rank = 0 or rank < top").drop("top")
+    asks = _asked(rising.join(chosen, "sig", "left").where("rank = 0 or chosen"), matrix, one_side)
+    found = _compared(base, facts, members, stage(asks, "asks"), k, num, den, "blocks")
+    links = found if links is None else links.unionByName(found)
+    if every_link or large.isEmpty():
+        return links
+
+    # Last round: the other sets of large components that are still apart from a larger one.
+    labels = connected_components(links.select("u", "v")).select(F.col("node").alias("comp"), "label")
+    labels = stage(large.select("comp").distinct().join(labels, "comp"), "large")
+    slots = held.where("rank > 0").join(labels, "comp")
+    apart = slots.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    asking = slots.join(apart, "key", "left_semi").join(top, "key").where("rank < top").join(chosen, "sig", "left_anti")
+    targets = matrix.where("to_rank > 0").join(labels.select(F.col("comp").alias("to_comp"), F.col("label").alias("to_label")), "to_comp")
+    rest = stage(_asked(asking, targets, (F.col("to_rank") > F.col("rank")) & (F.col("to_label") != F.col("label"))), "rest")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(_compared(base, facts, members.where("not inner"), rest, k, num, den, "rest"))
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, every_link: bool = False) -> DataFrame:
+    """(doc_id, th, comp, n_shingles, component_id, component_rows, n_links) of every row; comp
+    names the component (null for a row without words)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", text_key())
+
+    sets = stage(base.mapInArrow(_sets(k, num, den, HOT_SETS), "doc_id long, th long, n long, sig long, hot array<long>"), "sets")
+    nodes = (
+        sets.where("sig is not null")
+        .groupBy("sig")
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("mult"), F.min("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"))
+    )
+    forest = _forest(base, sets, nodes, k, num, den, every_link)
     labels = connected_components(forest.select("u", "v")).withColumnRenamed("node", "sig")
     links = forest.groupBy(F.col("u").alias("sig")).agg(F.sum("links").alias("links"))
     by_sig = nodes.select("sig", "first_id", "mult").join(labels, "sig", "left").join(links, "sig", "left").withColumn("comp", F.coalesce("label", "sig"))
-    low = by_sig.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_sig = by_sig.join(low, "comp").select("sig", "comp", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    low = by_sig.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.sum("mult").alias("component_rows"))
+    by_sig = by_sig.join(low, "comp").select("sig", "comp", "component_id", "component_rows", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     return sets.join(by_sig, "sig", "left").select(
         "doc_id",
         "th",
         "comp",
         F.col("n").alias("n_shingles"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("component_rows", F.lit(1)).cast("long").alias("component_rows"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> DataFrame:
     """Components of the graph that links documents with Jaccard similarity >= num/den over
     distinct k-word shingles (words: runs of characters other than ASCII white space, A-Z
     lower-cased). Needs columns doc_id (integer) and text; others are ignored.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable
-    by links, itself included), n_links (other documents linked directly).
+    by links, itself included), component_rows (rows of the component); with ``every_link`` also
+    n_links, the number of other rows linked directly (all candidate pairs are compared then, so
+    the work grows with the number of links).
 
     Defined cases: a null or blank text has n_shingles 0, is linked with nothing and has its own
     doc_id as component_id; fewer than k words make one shingle of the whole sequence; repeated
     rows (even with the same doc_id) are kept and linked with each other; a null doc_id counts
     as no candidate for the smallest id; an empty table gives an empty result.
     """
-    return _linked(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "n_links")
+    counted = ["n_links"] if every_link else []
+    return _linked(docs, k, num, den, every_link).select("doc_id", "n_shingles", "component_id", "component_rows", *counted)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -23,23 +23,50 @@ def family(n_base, copies, words, seed, edits):
     return [(i, t, "en", "s", 1) for i, t in enumerate(rows)]
 
 
-def same(out, rows, k, num):
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=key)
+def same(df, rows, k, num):
+    """Components, and components with the number of every row's links."""
     want = sorted(((r[0], *c) for r, c in zip(rows, components([r[:2] for r in rows], k, num), strict=True)), key=key)
-    assert got == want
+    out = ngram_join.jaccard_components(df, k, num, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=key) == [w[:3] for w in want]
+    counted = ngram_join.jaccard_components(df, k, num, 100, every_link=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in counted), key=key) == want
+    assert sorted(r.component_rows for r in out) == sorted(r.component_rows for r in counted)
 
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_equals_all_pairs_with_many_small_blocks(spark, monkeypatch, k, num):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
     monkeypatch.setattr(ngram_join, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(ngram_join, "LEADS", 2)
+    monkeypatch.setattr(ngram_join, "PURE", 9)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 8)
     rows = family(3, 60, (60, 120), 3, (0, 5)) + [(1000 + i, r[1], None, None, None) for i, r in enumerate(family(40, 3, (1, 30), 4, (0, 1)))]
-    same(ngram_join.jaccard_components(frame(spark, rows), k, num, 100), rows, k, num)
+    same(frame(spark, rows), rows, k, num)
+
+
+def test_a_family_of_a_third_of_all_rows(spark, monkeypatch):
+    """Near copies join in the first round: later rounds compare few of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "PURE", 16)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 8)
+    asked = []
+    compared = ngram_join._compared
+
+    def counted(base, nodes, members, asks, *a):
+        asked.append(asks.count())
+        return compared(base, nodes, members, asks, *a)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    rows = family(1, 300, (150, 150), 5, (0, 2)) + [(1000 + i, r[1], "en", "s", 1) for i, r in enumerate(family(600, 1, (20, 60), 6, (0, 0)))]
+    out = ngram_join.jaccard_components(frame(spark, rows), 5, 80, 100).collect()
+    want = components([r[:2] for r in rows], 5, 80)
+    assert {r.doc_id: r.component_id for r in out} == {r[0]: c[1] for r, c in zip(rows, want, strict=True)}
+    assert asked[0] <= len(rows) and sum(asked[1:]) <= 100  # 300 sets in 19 blocks would ask some 2,800 times
 
 
 def test_edge_rows_and_empty_table(spark):
     rows = edge_rows()
-    same(ngram_join.jaccard_components(frame(spark, rows, clash=True), 3, 90, 100), rows, 3, 90)
+    same(frame(spark, rows, clash=True), rows, 3, 90)
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     assert ngram_join.keep_one(empty(spark)).count() == 0
 
