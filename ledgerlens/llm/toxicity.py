@@ -27,9 +27,8 @@ from ledgerlens.llm.common import bounded_batches, stage, text_bytes
 
 #: Labelled texts used for learning, at most (toxic, clean).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: Entries counted, tried and kept, at most.
-COUNTED, TRIED, KEPT = 50_000, 5_000, 1_000
-#: A kept entry occurs in this many toxic texts and after this many different words.
+#: A kept entry occurs in this many toxic texts and after this many different words. Every entry
+#: that does, and has the odds below, is kept; the size of the sample bounds their number.
 SUPPORT, CONTEXTS = 5, 5
 MIN_LOG_ODDS, MAX_WEIGHT = 2.0, 8.0
 
@@ -118,15 +117,14 @@ def features(weight: float, n_words: int) -> tuple[float, float]:
     return math.log1p(weight), math.log1p(1000 * weight / (n_words + 50))
 
 
-def _doc_counts(only: set[str] | None):
+def _doc_counts():
     """Rows (entry, n): in how many texts of the task's share each entry occurs."""
 
     def run(batches):
         count: Counter = Counter()
         for b in batches:
             for data in text_bytes(b.column("text")):
-                seen = {e for w in set(words_of(data)) for e in entries_of(w)}
-                count.update(seen if only is None else seen & only)
+                count.update({e for w in set(words_of(data)) for e in entries_of(w)})
             if len(count) > 500_000:
                 yield _pairs(count)
                 count = Counter()
@@ -219,6 +217,34 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def _strongest(entries: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Weights of the entries (odds, texts): of nested ones (one begins with the other) the
+    strongest stays."""
+    kept: dict[str, float] = {}
+    whole, begun = set(), set()  # kept entries without blanks behind them, and their beginnings
+    for e in sorted(entries, key=lambda e: (-entries[e][0] * math.sqrt(entries[e][1]), -len(e), e)):
+        inner = e.rstrip()
+        if inner in begun or any(inner[:n] in whole for n in range(1, len(inner) + 1)):
+            continue
+        kept[e] = min(MAX_WEIGHT, entries[e][0])
+        whole.add(inner)
+        begun.update(inner[:n] for n in range(1, len(inner) + 1))
+    return kept
+
+
+def _beginning_with(kept: set[str]):
+    """Keeps the words that begin with a kept beginning."""
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            found = [any(e[:n] in kept for n in range(2, len(e))) for e in b.column("entry").to_pylist()]
+            yield b.filter(pc.fill_null(pa.array(found, pa.bool_()), False))
+
+    return run
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, use, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
     """(text, toxic) of at most ``toxic`` and ``clean`` distinct labelled texts, chosen by the
     hash of their id; ``use`` says which ids may be learned from."""
@@ -243,30 +269,25 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
         return Lexicon({}, fixed, (math.log(prior / (1 - prior)), 0.0, 0.0))
     tox_text, clean_text = sample.where("toxic = 1").select("text"), sample.where("toxic <> 1").select("text")
 
-    def counts(part, only):
-        return part.mapInArrow(_doc_counts(only), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    def counts(part):
+        return part.mapInArrow(_doc_counts(), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
     floor = max(2, min(SUPPORT, n_tox // 10))
-    tox = {r["entry"]: r["n"] for r in counts(tox_text, None).where(F.col("n") >= floor).orderBy(F.desc("n"), "entry").limit(COUNTED).collect()}
-    clean = {r["entry"]: r["n"] for r in counts(clean_text, set(tox)).collect()}
-
-    def odds(e):
-        return math.log((tox[e] + 0.5) / (n_tox + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1))
-
-    tried = sorted((e for e in tox if odds(e) >= MIN_LOG_ODDS), key=lambda e: (-odds(e) * math.sqrt(tox[e]), -len(e), e))[:TRIED]
+    clean = counts(clean_text).withColumnRenamed("n", "clean")
+    odds = F.log((F.col("n") + 0.5) / (n_tox + 1)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / (n_clean + 1))
+    scored = counts(tox_text).where(F.col("n") >= floor).join(clean, "entry", "left").select("entry", "n", odds.alias("odds"))
+    scored = stage(scored, "toxic-entries")
+    tried = {r["entry"]: (r["odds"], r["n"]) for r in scored.where(F.col("odds") >= MIN_LOG_ODDS).collect()}
     after = tox_text.mapInArrow(_contexts(set(tried)), "entry string, context string").groupBy("entry").agg(F.countDistinct("context").alias("n"))
-    spread = {r["entry"]: r["n"] for r in after.collect()}
-    kept: dict[str, float] = {}
-    for e in tried:  # of nested entries the strongest stays
-        inner = e.rstrip()
-        if len(kept) < KEPT and spread.get(e, 0) >= min(CONTEXTS, floor) and not any(k.rstrip().startswith(inner) or inner.startswith(k.rstrip()) for k in kept):
-            kept[e] = min(MAX_WEIGHT, odds(e))
+    spread = {r["entry"] for r in after.where(F.col("n") >= min(CONTEXTS, floor)).collect()}
+    kept = _strongest({e: tried[e] for e in spread})
     near = sample.select("text", (F.col("toxic") == 1).alias("bad"))
     seen_in = [near.where(c).select("text").mapInArrow(_around(set(kept)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias(n)) for c, n in (("not bad", "clean"), ("bad", "toxic"))]
     support = max(2, min(SUPPORT, n_clean // 10))
     less = (F.coalesce("toxic", F.lit(0)) + 0.5) / (n_tox + 1) < (F.col("clean") + 0.5) / (n_clean + 1)
     around = seen_in[0].where(F.col("clean") >= support).join(seen_in[1], "entry", "left").where(less)
-    harmless = {e for e in tox if e.endswith(" ") and e not in kept and odds(e) < 0 and any(e.startswith(k) for k in kept if not k.endswith(" "))}
+    longer = scored.where((F.col("odds") < 0) & F.col("entry").endswith(" ")).select("entry").mapInArrow(_beginning_with(set(kept)), "entry string")
+    harmless = {r["entry"] for r in longer.collect()}
     lexicon = Lexicon(kept, fixed + sorted(harmless | {r["entry"] for r in around.select("entry").collect()}))
     rows = sample.mapInArrow(_scores(lexicon, ["toxic"]), "toxic long, score double, hit_weight double, n_hits long, n_words long").collect()
     x = np.array([features(r["hit_weight"], r["n_words"]) for r in rows])

@@ -1,3 +1,4 @@
+import math
 import random
 import tempfile
 
@@ -77,3 +78,54 @@ def test_harmless_phrases_and_longer_words_are_learned_from_clean_texts(spark, m
     rows = [(i, t, None, None, None) for i, t in enumerate(tests)]
     got = {r.doc_id: (r.n_hits, r.score >= 0.5) for r in toxicity.toxicity_scores(frame(spark, rows), lexicon).collect()}
     assert got == {i: ((0, False) if i < 3 else (1, True)) for i in range(len(tests))}
+
+
+def test_a_rare_toxic_word_behind_many_ordinary_ones(spark):
+    """No entry is cut for being rarer than others: 60,000 words are more frequent in toxic texts."""
+    words = [f"q{a}{b}{c}{d}" for a in "abcdefghjk" for b in "abcdefghjkmnprtuvwxyz" for c in "abcdefghjkmnprtu" for d in "abcdefghjkmnprtuvwx"][:60_000]
+    docs, marks = [], []
+    for i in range(24):
+        part = words[:30_000] if i % 2 else words[30_000:]
+        bad = i < 14
+        text = list(part)
+        if bad and i < 6:
+            text[100 * (i + 1) : 100 * (i + 1)] = ["zuvvile"]
+        docs.append((i, " ".join([f"text{i}", *text]), None, None, None))
+        marks.append((i, 1, int(bad)))
+    lexicon = toxicity.learn(toxicity.training_sample(frame(spark, docs), spark.createDataFrame(marks, LABELS), "true"))
+    # the prefix "zuv" is as frequent, so either stands for the word
+    assert any(" zuvvlle ".startswith(e.rstrip()) for e in lexicon.weights)
+    got = toxicity.toxicity_scores(frame(spark, [(1, "a zuvvile b", None, None, None)]), lexicon).first()
+    assert got.n_hits == 1
+
+
+def plain_hits(lexicon, text):
+    """Longest entry at each place, from left to right, by trying all entries."""
+    table = {**lexicon.weights, **dict.fromkeys(lexicon.exceptions, 0.0)}
+    text, at, found = toxicity.spaced(text), 0, []
+    while at < len(text):
+        here = [e for e in table if text.startswith(e, at)]
+        if here:
+            e = max(here, key=len)
+            found += [table[e]] if table[e] else []
+            at += len(e)
+        else:
+            at += 1
+    return sum(found), len(found)
+
+
+def test_hits_and_scores_equal_a_plain_longest_match(spark):
+    docs, marks = corpus(8)
+    lexicon = toxicity.learn(toxicity.training_sample(frame(spark, docs), spark.createDataFrame(marks, LABELS), "true"), exceptions=("vilword society", "zlurpen days"))
+    test, _ = corpus(9)
+    rnd = random.Random(1)
+    rows = [(i, t.replace("vilword", rnd.choice(["vilword", "vilword society", "VILWORD"])).replace("zlurpen", rnd.choice(["zlurpen", "zlurpen days"])), None, None, None) for i, t, *_ in test]
+    rows += [(9000 + j, r[1], None, None, None) for j, r in enumerate(edge_rows())]
+    a, b, c = lexicon.curve
+    for r in toxicity.toxicity_scores(frame(spark, rows), lexicon).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        words = toxicity.words_of(text.encode()) if text else []
+        weight, n = plain_hits(lexicon, words) if words else (0.0, 0)
+        assert (r.n_hits, r.n_words) == (n, len(words)) and abs(r.hit_weight - weight) < 1e-9
+        x, y = toxicity.features(weight, len(words))
+        assert abs(r.score - 1 / (1 + math.exp(-min(50.0, max(-50.0, a + b * x + c * y))))) < 1e-12
