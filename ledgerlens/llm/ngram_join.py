@@ -50,7 +50,7 @@ BLOCK_ROWS, BLOCK_TOKENS, BLOCK_QUERIES = 512, 1_000_000, 8192
 LEADS, PURE = 16, 512
 #: A slot held by this many different sets of one Arrow batch is dealt to many tasks; so many slots
 #: at most are (the most frequent ones: this decides balance only).
-HOT_SETS, HOT_KEYS = 32, 1 << 16
+HOT_SETS, HOT_KEYS = 24, 1 << 14
 _SENTINEL = -(1 << 63)
 _U = np.uint64
 _NEED = 64
@@ -181,7 +181,7 @@ def _slot_keys(k: int, num: int, den: int, hot: np.ndarray, salts: int):
                 t = shingle_set(data, k, words_of)
                 if not bands.of(len(t)) or (sig := signature(t)) in seen:
                     continue  # copies within a task are one node
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sig)
                 for ks, tag in bands.keys(t):
