@@ -550,3 +550,89 @@ QUERIES.update({
     "stream_dedup": stream_dedup,
     "stream_monthly": stream_monthly,
 })
+
+
+# -- beyond the dashboard: running totals, series, outliers, merchant groups, comparison --------------
+
+def _expenses(spark, sf_dir):
+    return views.expense_view(build_star(spark, sf_dir).view, DEFAULT_STATE)
+
+
+def running_month_spend(spark, sf_dir):
+    from ledgerlens.operators.running import running_month_spend
+
+    out = running_month_spend(_expenses(spark, sf_dir))
+    return out.select("month", "transaction_date", "transaction_hash", _dbl("spent"), _dbl("spent_so_far"))
+
+
+def running_day_spend(spark, sf_dir):
+    from ledgerlens.operators.running import running_day_spend
+
+    out = running_day_spend(_expenses(spark, sf_dir))
+    return out.select("month", "transaction_date", _dbl("spent"), _dbl("spent_so_far"))
+
+
+def unusual_amounts(spark, sf_dir):
+    from ledgerlens.operators.running import unusual_amounts
+
+    out = unusual_amounts(build_star(spark, sf_dir).view, min_history=5, deviations=2.0)
+    return out.select("transaction_hash", "merchant", "transaction_date", _dbl("amount"), "prior_count", "prior_mean", "prior_std", "unusual")
+
+
+def recurring_payments(spark, sf_dir):
+    from ledgerlens.operators.recurring import payment_series
+
+    out = payment_series(_expenses(spark, sf_dir))
+    return out.withColumn("spent", F.col("spent").cast("double"))
+
+
+def merchant_groups(spark, sf_dir):
+    """Every merchant of the batch and the group of near-identical names it belongs to."""
+    from ledgerlens.operators.merchant_groups import merchant_groups
+
+    return merchant_groups(build_star(spark, sf_dir).merchants)
+
+
+def spend_by_merchant_group(spark, sf_dir):
+    from ledgerlens.operators.merchant_groups import merchant_groups, spend_by_group
+
+    star = build_star(spark, sf_dir)
+    out = spend_by_group(views.expense_view(star.view, DEFAULT_STATE), merchant_groups(star.merchants))
+    return out.withColumn("spent", F.col("spent").cast("double"))
+
+
+def _two_statements(spark, sf_dir):
+    """Two overlapping statements of the batch: the second lacks the year 1992 and has the
+    amounts of some descriptions' rows raised by one."""
+    clean = build_star(spark, sf_dir).clean.select("transaction_date", "description", "amount")
+    raised = F.when(F.length("description") % 3 == 0, (F.col("amount") + 1).cast("decimal(28,2)")).otherwise(F.col("amount"))
+    before = clean.where("year(transaction_date) < 1998")
+    return before, clean.where("year(transaction_date) > 1992").withColumn("amount", raised)
+
+
+def compare_statements(spark, sf_dir):
+    from ledgerlens.operators.compare import compare_statements
+
+    out = compare_statements(*_two_statements(spark, sf_dir))
+    return out.select("transaction_date", "description", "change", _dbl("amount_before"), _dbl("amount_after"), "n")
+
+
+def compare_categories(spark, sf_dir):
+    """Spend per category of 1996 beside 1997."""
+    from ledgerlens.operators.compare import compare_categories
+
+    view = build_star(spark, sf_dir).view
+    out = compare_categories(view.where("month like '1996-%'"), view.where("month like '1997-%'"))
+    return out.select("category", _dbl("spent_before"), _dbl("spent_after"), _dbl("change"))
+
+
+QUERIES.update({
+    "running_month_spend": running_month_spend,
+    "running_day_spend": running_day_spend,
+    "unusual_amounts": unusual_amounts,
+    "recurring_payments": recurring_payments,
+    "merchant_groups": merchant_groups,
+    "spend_by_merchant_group": spend_by_merchant_group,
+    "compare_statements": compare_statements,
+    "compare_categories": compare_categories,
+})

@@ -487,4 +487,75 @@ td AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE day(transaction_date) =
     S["stream_monthly"] = events_sql(
         "SELECT d.year_month AS month, m.category, CAST(abs(sum(d.amount)) AS DOUBLE) AS spent, count(*) AS txns "
         "FROM e_dedup d JOIN e_merchants m ON d.merchant_name = m.merchant WHERE d.amount < 0 GROUP BY 1, 2")
+    S.update(_beyond())
+    return S
+
+
+def _beyond() -> dict[str, str]:
+    """Running totals, series, outliers, merchant groups and comparisons: plain windows, all pairs."""
+    S: dict[str, str] = {}
+    S["running_month_spend"] = star_sql(
+        "SELECT month, transaction_date, transaction_hash, CAST(-amount AS DOUBLE) AS spent, CAST(sum(-amount) OVER "
+        "(PARTITION BY month ORDER BY transaction_date, transaction_hash ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS spent_so_far FROM expenses")
+    S["running_day_spend"] = star_sql(
+        ", d AS (SELECT month, transaction_date, -sum(amount) AS spent FROM expenses GROUP BY 1, 2) "
+        "SELECT month, transaction_date, CAST(spent AS DOUBLE) AS spent, CAST(sum(spent) OVER "
+        "(PARTITION BY month ORDER BY transaction_date) AS DOUBLE) AS spent_so_far FROM d")
+    S["unusual_amounts"] = star_sql(
+        """, r AS (SELECT transaction_hash, merchant, transaction_date, amount, CAST(amount * 100 AS HUGEINT) AS c FROM v),
+p AS (SELECT *, count(*) OVER w AS prior_count, sum(c) OVER w AS s, sum(c * c) OVER w AS q FROM r
+      WINDOW w AS (PARTITION BY merchant ORDER BY transaction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+m AS (SELECT *, CAST(s AS DOUBLE) / nullif(prior_count, 0) AS mean,
+             sqrt(greatest(CAST(q AS DOUBLE) / nullif(prior_count, 0) - (CAST(s AS DOUBLE) / nullif(prior_count, 0)) * (CAST(s AS DOUBLE) / nullif(prior_count, 0)), 0.0)) AS std FROM p)
+SELECT transaction_hash, merchant, transaction_date, CAST(amount AS DOUBLE) AS amount, prior_count, mean / 100.0 AS prior_mean,
+       CASE WHEN prior_count > 0 THEN std / 100.0 END AS prior_std,
+       coalesce(prior_count >= 5 AND abs(CAST(c AS DOUBLE) - mean) > 2.0 * std, false) AS unusual FROM m""")
+    S["recurring_payments"] = star_sql(
+        """, r AS (SELECT merchant, transaction_date, amount, CAST(CAST(abs(amount) * 100 AS BIGINT) AS VARCHAR) AS t FROM expenses),
+b AS (SELECT *, substr(t, 1, 2) || repeat('0', greatest(length(t) - 2, 0)) AS band FROM r),
+d AS (SELECT merchant, band, transaction_date, count(*) AS n, sum(amount) AS s FROM b GROUP BY 1, 2, 3),
+g AS (SELECT *, date_diff('day', lag(transaction_date) OVER (PARTITION BY merchant, band ORDER BY transaction_date), transaction_date) AS gap FROM d),
+a AS (SELECT merchant, band, count(*) AS days, CAST(sum(n) AS BIGINT) AS payments, abs(sum(s)) AS spent, min(transaction_date) AS first_date,
+             max(transaction_date) AS last_date, quantile_cont(gap, 0.5) AS median_gap FROM g GROUP BY 1, 2 HAVING count(*) >= 3),
+cad(cadence, len, tol, months) AS (VALUES ('weekly', 7, 1, 0), ('fortnightly', 14, 2, 0), ('monthly', 30, 4, 1), ('quarterly', 91, 8, 3), ('yearly', 365, 15, 12)),
+c AS (SELECT a.*, cadence, len, tol, months FROM a LEFT JOIN cad ON abs(median_gap - len) <= tol),
+k AS (SELECT c.merchant, c.band, count(*) FILTER (WHERE gap IS NOT NULL AND abs(gap - len) <= tol) AS kept FROM c JOIN g USING (merchant, band) GROUP BY 1, 2),
+x AS (SELECT c.*, CASE WHEN cadence IS NULL THEN 0.0 ELSE CAST(kept AS DOUBLE) / (days - 1) END AS regular_share FROM c JOIN k USING (merchant, band))
+SELECT merchant, CAST(band AS DOUBLE) / 100.0 AS band_from, days, payments, CAST(spent AS DOUBLE) AS spent, first_date, last_date,
+       CAST(median_gap AS DOUBLE) AS median_gap, cadence, CAST(regular_share AS DOUBLE) AS regular_share,
+       cadence IS NOT NULL AND regular_share >= 0.8 AS recurring,
+       CASE WHEN cadence IS NOT NULL AND regular_share >= 0.8 THEN
+            CAST(CASE WHEN months > 0 THEN last_date + to_months(months) ELSE last_date + to_days(len) END AS DATE) END AS next_due FROM x""")
+    # Every pair of skeletons by its edit distance, components by following links to the end.
+    groups = """, sk AS (SELECT merchant, regexp_replace(upper(merchant), '[^\\p{L}]', '', 'g') AS letters FROM merchants),
+cl AS (SELECT merchant, letters, CASE WHEN letters = '' THEN merchant ELSE letters END AS cls FROM sk),
+one AS (SELECT DISTINCT cls, length(letters) AS n FROM cl),
+ed AS (SELECT a.cls AS x, b.cls AS y FROM one a JOIN one b ON a.cls <> b.cls AND abs(a.n - b.n) <= 2 AND least(a.n, b.n) >= 5
+       AND levenshtein(a.cls, b.cls) <= CASE WHEN least(a.n, b.n) >= 16 THEN 2 ELSE 1 END),
+reach AS (SELECT cls AS x, cls AS y FROM one UNION SELECT reach.x, ed.y FROM reach JOIN ed ON reach.y = ed.x),
+low AS (SELECT x, min(y) AS label FROM reach GROUP BY 1),
+gr AS (SELECT label, min(merchant) AS merchant_group, count(*) AS group_size FROM cl JOIN low ON cls = x GROUP BY 1),
+mg AS (SELECT merchant, merchant_group, group_size FROM cl JOIN low ON cls = x JOIN gr USING (label))
+"""
+    recursive = star_sql("").replace("WITH", "WITH RECURSIVE", 1)
+    S["merchant_groups"] = recursive + groups + "SELECT merchant, merchant_group, group_size FROM mg"
+    S["spend_by_merchant_group"] = recursive + groups + (
+        "SELECT merchant_group, CAST(abs(sum(s)) AS DOUBLE) AS spent, CAST(sum(n) AS BIGINT) AS txns, count(*) AS names FROM "
+        "(SELECT merchant, sum(amount) AS s, count(*) AS n FROM expenses GROUP BY 1) JOIN mg USING (merchant) GROUP BY 1")
+    raised = "CAST(CASE WHEN length(description) % 3 = 0 THEN amount + 1 ELSE amount END AS DECIMAL(28,2))"
+    S["compare_statements"] = star_sql(
+        f""", f AS (SELECT transaction_date, description, amount FROM clean WHERE year(transaction_date) < 1998),
+t AS (SELECT transaction_date, description, {raised} AS amount FROM clean WHERE year(transaction_date) > 1992),
+gone AS (SELECT transaction_date, description, amount, count(*) AS n FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM t) GROUP BY 1, 2, 3),
+new AS (SELECT transaction_date, description, amount, count(*) AS n FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM f) GROUP BY 1, 2, 3),
+g1 AS (SELECT transaction_date, description, min(amount) AS a, sum(n) AS n FROM gone GROUP BY 1, 2 HAVING count(*) = 1),
+n1 AS (SELECT transaction_date, description, min(amount) AS b, sum(n) AS n FROM new GROUP BY 1, 2 HAVING count(*) = 1),
+ch AS (SELECT transaction_date, description, a, b, least(g1.n, n1.n) AS k FROM g1 JOIN n1 USING (transaction_date, description))
+SELECT transaction_date, description, 'changed' AS change, CAST(a AS DOUBLE) AS amount_before, CAST(b AS DOUBLE) AS amount_after, CAST(k AS BIGINT) AS n FROM ch
+UNION ALL SELECT transaction_date, description, 'removed', CAST(amount AS DOUBLE), NULL, CAST(n - coalesce(k, 0) AS BIGINT) FROM gone LEFT JOIN ch USING (transaction_date, description) WHERE n > coalesce(k, 0)
+UNION ALL SELECT transaction_date, description, 'added', NULL, CAST(amount AS DOUBLE), CAST(n - coalesce(k, 0) AS BIGINT) FROM new LEFT JOIN ch USING (transaction_date, description) WHERE n > coalesce(k, 0)""")
+    year = "(SELECT category, abs(sum(amount)) AS s FROM v WHERE amount < 0 AND month LIKE '{}-%' GROUP BY 1)"
+    S["compare_categories"] = star_sql(
+        f"SELECT category, CAST(coalesce(a.s, 0) AS DOUBLE) AS spent_before, CAST(coalesce(b.s, 0) AS DOUBLE) AS spent_after, "
+        f"CAST(coalesce(b.s, 0) - coalesce(a.s, 0) AS DOUBLE) AS change FROM {year.format(1996)} a FULL JOIN {year.format(1997)} b USING (category)")
     return S
