@@ -61,7 +61,7 @@ def unusual_amounts(view: DataFrame, min_history: int = 5, deviations: float = 3
     )
     n = F.when(F.col("prior_count") > 0, F.col("prior_count").cast("double"))
     mean = F.col("_s") / n
-    spread = F.sqrt(F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0)))
+    spread = F.when(n.isNotNull(), F.sqrt(F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))))
     joined = rows.join(prior, ["merchant", "transaction_date"]).withColumns({"_mean": mean, "_std": spread})
     far = F.abs(F.col("_c").cast("double") - F.col("_mean")) > F.lit(float(deviations)) * F.col("_std")
     return joined.select(
