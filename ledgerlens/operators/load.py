@@ -97,9 +97,15 @@ class LoadReport:
 
 class Warehouse:
     """Parquet star schema under one root folder: categories, codes, merchants, transactions
-    (partitioned by month), budgets. One writer per warehouse at a time."""
+    (partitioned by month), budgets, overrides. One writer per warehouse at a time.
 
-    TABLES = ("categories", "codes", "merchants", "transactions", "budgets")
+    Overrides: a category that a user sets for a merchant wins over the rules and over the first
+    writer, for stored and later rows, and survives a reset. The override table is the truth: it
+    only grows, one append makes a change visible as a whole, and every view lays it over the
+    category stored on the fact rows. :meth:`fold_overrides` then writes it into the months it
+    touches, which changes no view; it may stop at any point and be run again."""
+
+    TABLES = ("categories", "codes", "merchants", "transactions", "budgets", "overrides")
 
     def __init__(self, spark: SparkSession, root: str, keywords=None):
         """``keywords``: ordered (keyword, category) merchant rules; the defaults when None."""
@@ -122,7 +128,7 @@ class Warehouse:
     def read(self, table: str) -> DataFrame:
         schema = {
             "categories": S.CATEGORIES, "codes": S.CODES, "merchants": S.MERCHANTS,
-            "transactions": S.TRANSACTIONS, "budgets": S.BUDGETS,
+            "transactions": S.TRANSACTIONS, "budgets": S.BUDGETS, "overrides": S.OVERRIDES,
         }[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], schema)
@@ -182,6 +188,7 @@ class Warehouse:
 
     def load_statements(self, raw: DataFrame, strip_thousands: bool = False) -> LoadReport:
         """Idempotent append of one raw statement batch."""
+        self._finish_fold()
         obs = Observation("clean")
         batch = prepare_batch(raw, self.read("codes"), observation=obs, strip_thousands=strip_thousands)
         stage = staging_path(self.spark, "batch")
@@ -216,7 +223,71 @@ class Warehouse:
         table is needed at query time; only the small code and category dimensions are joined."""
         from ledgerlens.operators.views import stored_transactions_view
 
-        return stored_transactions_view(self.read("transactions"), self.read("categories"), self.read("codes"))
+        return stored_transactions_view(self._overlaid(), self.read("categories"), self.read("codes"))
+
+    # -- overrides --------------------------------------------------------------------------
+    def overrides(self) -> DataFrame:
+        """(merchant, category): the override that holds for each merchant that has one."""
+        table = self.read("overrides")
+        return table.groupBy("merchant").agg(F.max_by("category", "version").alias("category"))
+
+    def merchant_categories(self) -> DataFrame:
+        """The merchant dimension with the overrides laid over it."""
+        o = self.overrides().select("merchant", F.col("category").alias("_set"))
+        joined = self.read("merchants").join(o, "merchant", "left")
+        return joined.select("merchant", F.coalesce("_set", "category").alias("category"), F.col("_set").isNotNull().alias("overridden"))
+
+    def set_overrides(self, chosen: DataFrame) -> int:
+        """Set the category of merchants (columns merchant, category; the smallest category of a
+        merchant given twice; rows with a null are left out); returns how many. A category not
+        stored yet is added first, so a stop in between leaves a category without rows."""
+        one = chosen.where("merchant is not null and category is not null").groupBy("merchant").agg(F.min("category").alias("category"))
+        names = one.select(F.col("category").alias("name")).distinct()
+        missing = names.join(self.read("categories").select("name"), "name", "left_anti")
+        self._append_staged(missing.select(F.xxhash64("name").alias("category_id"), "name"), "categories")
+        last = self.read("overrides").agg(F.max("version").alias("v")).first()["v"] or 0
+        return self._append_staged(one.withColumn("version", F.lit(last + 1).cast("long")), "overrides")
+
+    def clear_overrides(self, merchants: DataFrame) -> int:
+        """Give merchants (column merchant) the category of the merchant table again."""
+        held = self.overrides().select("merchant").join(merchants.select("merchant").distinct(), "merchant", "left_semi")
+        return self.set_overrides(self.read("merchants").join(held, "merchant", "left_semi"))
+
+    def _overlaid(self) -> DataFrame:
+        """Fact rows with the overrides laid over their category."""
+        facts = self.read("transactions")
+        if not self.exists("overrides"):
+            return facts
+        o = self.overrides().select(F.col("merchant").alias("_om"), F.col("category").alias("_set"))
+        joined = facts.join(broadcast_if_small(o), F.col("merchant") == F.col("_om"), "left")
+        return joined.withColumn("category", F.coalesce("_set", "category")).select(*facts.columns)
+
+    def fold_overrides(self) -> list[str]:
+        """Write the overrides into the fact rows of the months that hold a row they change;
+        returns these months. The new months are first written beside the table; once that copy is
+        complete it replaces them, and a stop in between is finished by the next load or fold."""
+        self._finish_fold()
+        o = self.overrides().select(F.col("merchant").alias("_om"), F.col("category").alias("_set"))
+        stale = self.read("transactions").join(broadcast_if_small(o), F.col("merchant") == F.col("_om"))
+        stale = stale.where(~F.col("category").eqNullSafe(F.col("_set"))).select("year_month").distinct()
+        months = sorted(r["year_month"] for r in stale.collect())  # one row per calendar month
+        if months:
+            rows = self._overlaid().where(F.col("year_month").isin(months))
+            rows.hint("rebalance", "year_month").write.mode("overwrite").partitionBy("year_month").parquet(self.path(self.FOLD))
+            self._finish_fold()
+        return months
+
+    FOLD = "fold-staging"
+
+    def _finish_fold(self) -> None:
+        """Let a complete copy of rewritten months replace them; drop an incomplete one."""
+        if not self._path_exists(self.path(self.FOLD)):
+            return
+        if self._path_exists(self.path(self.FOLD) + "/_SUCCESS"):
+            copy = self.spark.read.schema(S.TRANSACTIONS).parquet(self.path(self.FOLD))
+            copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(self.path("transactions"))
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(self.FOLD))
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def save_budgets(self, budgets: DataFrame) -> None:
         """Replace the budget table."""
@@ -227,7 +298,8 @@ class Warehouse:
         drop_staged(self.spark, stage)
 
     def reset(self) -> None:
-        """Full reload: empty the fact and dimension tables (budgets are kept)."""
+        """Full reload: empty the fact and dimension tables (budgets and overrides are kept)."""
+        self._finish_fold()
         for table in ("codes", "merchants", "transactions"):
             empty = self.spark.createDataFrame([], getattr(S, table.upper()))
             writer = empty.write.mode("overwrite")

@@ -134,3 +134,19 @@ def display_log(df: DataFrame, columns: Sequence[tuple[str, str]] = D.LOG_COLUMN
             c = c.cast("double")
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def export_csv(view: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write the transaction log of a (filtered) view as CSV files with the display columns,
+    newest first across the files and within each; ``path`` is replaced only by a complete write.
+    Quotes are doubled, and line breaks stay inside quotes."""
+    order = [F.col("transaction_date").desc(), "transaction_hash"]
+    shown = display_log(view.sort(*order))
+    shown.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("maxRecordsPerFile", rows_per_file).csv(path)
+
+
+def read_exported(spark, path: str) -> DataFrame:
+    """The rows of an export, amounts as double."""
+    names = [name for _, name in D.LOG_COLUMNS]
+    text = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return text.select(*[F.col(n).cast("double").alias(n) if n.startswith("Amount") else F.col(n) for n in names])

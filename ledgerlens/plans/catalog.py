@@ -636,3 +636,33 @@ QUERIES.update({
     "compare_statements": compare_statements,
     "compare_categories": compare_categories,
 })
+
+
+def manual_override(spark, sf_dir):
+    """The stored view after a load, overrides, a full reset, a reload and a fold."""
+    from ledgerlens.operators.load import Warehouse
+    from ledgerlens.session import staging_path
+
+    wh = Warehouse(spark, staging_path(spark, "override-warehouse"))
+    wh.initialise()
+    wh.seed_codes(testdata.fixture_codes(spark))
+    wh.load_statements(testdata.raw_statements(spark, sf_dir))
+    chosen = wh.read("merchants").where("merchant like 'N%'").select("merchant", F.lit("Side Business").alias("category"))
+    wh.set_overrides(chosen)
+    wh.reset()
+    wh.seed_codes(testdata.fixture_codes(spark))
+    wh.load_statements(testdata.raw_statements(spark, sf_dir))
+    wh.fold_overrides()
+    return wh.view().select("transaction_hash", "merchant", "category", "month", _dbl("amount"))
+
+
+def export_log(spark, sf_dir):
+    """The filtered transaction log written as CSV files and read back."""
+    from ledgerlens.session import staging_path
+
+    path = staging_path(spark, "export")
+    views.export_csv(views.full_view(build_star(spark, sf_dir).view, SELECTED_STATE), path)
+    return views.read_exported(spark, path)
+
+
+QUERIES.update({"manual_override": manual_override, "export_log": export_log})

@@ -554,6 +554,11 @@ ch AS (SELECT transaction_date, description, a, b, least(g1.n, n1.n) AS k FROM g
 SELECT transaction_date, description, 'changed' AS change, CAST(a AS DOUBLE) AS amount_before, CAST(b AS DOUBLE) AS amount_after, CAST(k AS BIGINT) AS n FROM ch
 UNION ALL SELECT transaction_date, description, 'removed', CAST(amount AS DOUBLE), NULL, CAST(n - coalesce(k, 0) AS BIGINT) FROM gone LEFT JOIN ch USING (transaction_date, description) WHERE n > coalesce(k, 0)
 UNION ALL SELECT transaction_date, description, 'added', NULL, CAST(amount AS DOUBLE), CAST(n - coalesce(k, 0) AS BIGINT) FROM new LEFT JOIN ch USING (transaction_date, description) WHERE n > coalesce(k, 0)""")
+    S["manual_override"] = star_sql(
+        "SELECT transaction_hash, merchant, CASE WHEN merchant LIKE 'N%' THEN 'Side Business' ELSE category END AS category, month, "
+        "CAST(amount AS DOUBLE) AS amount FROM v")
+    chosen = f"month IN {in_list(SELECTED_MONTHS)} AND category IN {in_list(SELECTED_CATEGORIES)} AND amount < 0"
+    S["export_log"] = star_sql(display(f"(SELECT * FROM v WHERE {chosen})"))
     year = "(SELECT category, abs(sum(amount)) AS s FROM v WHERE amount < 0 AND month LIKE '{}-%' GROUP BY 1)"
     S["compare_categories"] = star_sql(
         f"SELECT category, CAST(coalesce(a.s, 0) AS DOUBLE) AS spent_before, CAST(coalesce(b.s, 0) AS DOUBLE) AS spent_after, "

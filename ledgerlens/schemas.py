@@ -48,6 +48,13 @@ TRANSACTIONS = T.StructType([
     T.StructField("category", T.StringType(), True),
 ])
 
+# Categories that a user has set for a merchant; the highest version of a merchant holds.
+OVERRIDES = T.StructType([
+    T.StructField("merchant", T.StringType(), False),
+    T.StructField("category", T.StringType(), False),
+    T.StructField("version", T.LongType(), False),
+])
+
 BUDGETS = T.StructType([
     T.StructField("category", T.StringType(), False),
     T.StructField("monthly_limit", T.DoubleType(), False),

@@ -62,20 +62,28 @@ def monthly_spend_stream(clean_stream: DataFrame, merchants: DataFrame, codes: D
         F.abs(F.sum("amount")).alias("spent"), F.count("*").alias("txns"))
 
 
+def epoch_writer(out: str, mode: str = "append"):
+    """A ``foreachBatch`` function that stores micro-batches under ``out``; repeats are harmless."""
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch_id}")
+
+    return write
+
+
 def run_available(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` over all currently available input, store the result under the
     checkpoint folder and return it as a batch DataFrame. Complete-mode results are rewritten
-    by every micro-batch (``foreachBatch``); append-mode results are appended."""
+    by every micro-batch (``foreachBatch``); in append mode each micro-batch overwrites a folder of
+    its own, so a micro-batch that is replayed after a failure is not stored twice."""
     out = staging_path(spark, f"{name}-out")
     ckpt = staging_path(spark, f"{name}-ckpt")
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    write = epoch_writer(out, mode)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")
 
 
 def clean_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
