@@ -162,10 +162,10 @@ def _sets(k: int, num: int, den: int, hot_sets: int):
     return run
 
 
-def _salted(keys: np.ndarray, sig: int, salts: int) -> np.ndarray:
-    """The unit of hot slots that a set goes to."""
-    salt = int(mix(np.array([sig], dtype=np.int64).view(np.uint64))[0]) % salts
-    return mix(keys ^ mix(np.array([salt + 1], dtype=np.uint64)))
+def _salted(at: np.ndarray, sig: int, salts: int) -> np.ndarray:
+    """The unit that a set's hot slots (by number) go to: slot number and share of the sets."""
+    salt = mix(np.array([sig], dtype=np.int64).view(np.uint64))[0] % _U(salts)
+    return (at.astype(np.uint64) << _U(32)) | salt
 
 
 def _slot_keys(k: int, num: int, den: int, hot: np.ndarray, salts: int):
@@ -186,10 +186,11 @@ def _slot_keys(k: int, num: int, den: int, hot: np.ndarray, salts: int):
                 seen.add(sig)
                 for ks, tag in bands.keys(t):
                     if len(hot):
-                        at = hot[np.minimum(np.searchsorted(hot, ks), len(hot) - 1)] == ks
+                        place = np.minimum(np.searchsorted(hot, ks), len(hot) - 1)
+                        at = hot[place] == ks
                         if at.any():
                             ks = ks.copy()
-                            ks[at] = _salted(ks[at], sig, salts)
+                            ks[at] = _salted(place[at], sig, salts)
                             new = np.array([x for x in ks[at].tolist() if x not in marked], dtype=np.uint64)
                             marked.update(new.tolist())
                             keys.append(new)
@@ -398,25 +399,29 @@ def _shared_slots(base: DataFrame, sets: DataFrame, k: int, num: int, den: int)
     shared = stage(runs, "shared")
     if not found:
         return shared
-    pairs = _unit_table(spark, found, salts)
     cold = shared.where(F.col("lead") != _SENTINEL)
-    rows = shared.where((F.col("lead") == _SENTINEL) & (F.col("sig") != _SENTINEL)).join(pairs, "key").select(F.col("slot").alias("key"), "sig", "tag")
-    leads = rows.groupBy("key").agg(F.min("sig").alias("lead"), F.max("sig").alias("last")).where("lead < last").select("key", "lead")
-    return stage(cold.unionByName(rows.join(broadcast_if_small(leads), "key")), "shared-all")
+    units = shared.where((F.col("lead") == _SENTINEL) & (F.col("sig") != _SENTINEL)).select("key", "sig", "tag")
+    # The leads of the hot slots, HOT_KEYS rows at most, pass the driver.
+    ends = units.groupBy(F.shiftrightunsigned("key", 32).alias("slot")).agg(F.min("sig").alias("lead"), F.max("sig").alias("last")).collect()
+    leads = {r["slot"]: r["lead"] for r in ends if r["lead"] < r["last"]}
+    rows = units.mapInArrow(_with_leads(hot, leads), "key long, sig long, tag int, lead long")
+    return stage(cold.unionByName(rows), "shared-all")
 
 
-def _unit_table(spark, found: list[int], salts: int) -> DataFrame:
-    """(slot, unit key) of all units of the hot slots, made by tasks."""
+def _with_leads(hot: np.ndarray, leads: dict[int, int]):
+    """Rows of hot units -> rows of their slots with the slot's lead; slots of one set are dropped."""
+    lead = np.array([leads.get(i, 0) for i in range(len(hot))], dtype=np.int64)
+    held = np.array([i in leads for i in range(len(hot))], dtype=bool)
 
     def run(batches):
         for b in batches:
-            keys = b.column("slot").to_numpy(zero_copy_only=False).view(np.uint64)
-            salt = b.column("salt").to_numpy(zero_copy_only=False).astype(np.uint64)
-            unit = mix(keys ^ mix(salt + _U(1)))
-            yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array(unit.view(np.int64))], names=["slot", "key"])
+            slot = (b.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> _U(32)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(hot[slot].view(np.int64)), b.column("sig"), b.column("tag"), pa.array(lead[slot])], names=["key", "sig", "tag", "lead"]
+            )
+            yield out.filter(pa.array(held[slot]))
 
-    slots = spark.createDataFrame([(x,) for x in found], "slot long")
-    return slots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).mapInArrow(run, "slot long, key long")
+    return run
 
 
 def _compared(base: DataFrame, nodes: DataFrame, members: DataFrame, asks: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
