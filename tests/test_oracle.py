@@ -16,7 +16,8 @@ from check_oracle import TABLES, digest  # noqa: E402
 
 SUBSET = ["clean_transactions", "merchant_dimension", "incremental_load", "full_view", "category_share",
           "kpis", "budget_variance", "transfers_by_code", "code_classification", "quality_ratios",
-          "singleton_merchant_count", "null_check"]
+          "singleton_merchant_count", "null_check", "running_month_spend", "unusual_amounts", "recurring_payments",
+          "merchant_groups", "compare_statements", "manual_override"]
 
 
 @pytest.fixture(scope="module")
