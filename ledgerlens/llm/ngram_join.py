@@ -500,10 +500,11 @@ def _forest(base: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, num: int
     to = F.struct(F.col("to_grp").alias("grp"), F.col("to_block").alias("block"))
     one_side = (F.col("to_rank") > F.col("rank")) | ((F.col("to_rank") == 0) & (F.col("rank") == 0) & (to < at))
     large = own.where("rank > 0")
-    chosen = large.groupBy("comp", F.pmod(F.xxhash64("sig"), F.lit(LEADS)).alias("i")).agg(F.min("sig").alias("sig")).select("sig", F.lit(True).alias("chosen"))
+    chosen = large.groupBy("comp", F.pmod(F.xxhash64("sig"), F.lit(LEADS)).alias("i")).agg(F.min("sig").alias("sig")).select("sig")
     top = held.groupBy("key").agg(F.max("rank").alias("top"))
     rising = held.join(top, "key").where("rank = 0 or rank < top").drop("top")
-    asks = _asked(rising.join(chosen, "sig", "left").where("rank = 0 or chosen"), matrix, one_side)
+    asking = rising.where("rank = 0").unionByName(rising.where("rank > 0").join(chosen, "sig", "left_semi"))
+    asks = _asked(asking, matrix, one_side)
     found = _compared(base, facts, members, stage(asks, "asks"), k, num, den, "blocks")
     links = found if links is None else links.unionByName(found)
     if every_link or large.isEmpty():
