@@ -8,7 +8,7 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
    p = H + 1 + s slots at least 1 + s slots hold the same tokens in both. Sets too
    small for that use their lowest tokens instead: of n tokens at most
    h = n - ceil(n * num / den) are missing from a linked set, so the h + s lowest of both have s
-   in common. A set that shares fewer slots with others than any link needs is left out at once.
+   in common. s is a fifth of the size, so that a passage of less than half a text makes no candidate. A set that shares fewer slots with others than any link needs is left out at once.
    The smallest set that holds a shared slot leads it; sets with the same smallest leader are a
    group. A slot that many sets of one batch hold is dealt to many tasks.
 2. **Token-group matrix.** A block keeps the union of its members' slots (token combinations)
@@ -97,7 +97,7 @@ class Bands:
                     break
                 s = enough
                 if p >= n:  # no slack is enough for sets this small: lowest tokens instead of slots
-                    p, s = 0, max(1, min(_NEED - 1, hi // 16, n * num // den))
+                    p, s = 0, max(1, min(_NEED - 1, hi // 5, n * num // den))
                     break
             self.slots.append(p)
             self.slack.append(s)
