@@ -244,15 +244,15 @@ def _two_loads_sql(tail: str) -> str:
 {clean_ctes('stmt', 'b2_')},
 stmt1 AS (SELECT * FROM stmt WHERE s1 >= TIMESTAMP {q(T.FIRST_LOAD_BEFORE + ' 00:00:00')}),
 {clean_ctes('stmt1', 'b1_')},
-tx1 AS (SELECT transaction_hash, year_month, amount, merchant_name AS merchant FROM b1_cat),
-m1 AS (SELECT merchant_name AS merchant, arg_min(row_category, seq) AS category FROM b1_cat GROUP BY merchant_name),
-tx2 AS (
+tx1 AS MATERIALIZED (SELECT transaction_hash, year_month, amount, merchant_name AS merchant FROM b1_cat),
+m1 AS MATERIALIZED (SELECT merchant_name AS merchant, arg_min(row_category, seq) AS category FROM b1_cat GROUP BY merchant_name),
+tx2 AS MATERIALIZED (
   SELECT transaction_hash, year_month, amount, merchant_name AS merchant FROM b2_cat b
   WHERE NOT EXISTS (SELECT 1 FROM tx1 WHERE tx1.transaction_hash = b.transaction_hash AND tx1.year_month = b.year_month)
 ),
-m2 AS (
+m2 AS MATERIALIZED (
   SELECT merchant_name AS merchant, arg_min(row_category, seq) AS category FROM b2_cat b
-  WHERE merchant_name NOT IN (SELECT merchant FROM m1) GROUP BY merchant_name
+  WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.merchant = b.merchant_name) GROUP BY merchant_name
 )
 {tail}"""
 
