@@ -444,6 +444,27 @@ def stream_monthly(spark, sf_dir):
     return out.select("month", "category", _dbl("spent"), "txns")
 
 
+def stream_spend_ledger(spark, sf_dir):
+    """T3 by the loader's rule: running spend whose categories are fixed by first rows of the stream."""
+    from ledgerlens.session import staging_path
+    from ledgerlens.streaming.ingest import clean_event_stream
+    from ledgerlens.streaming.spend import SpendLedger
+
+    codes = classify_codes(testdata.fixture_codes(spark))
+    ledger = SpendLedger(spark, staging_path(spark, "spend-ledger"), codes)
+    ledger.start(clean_event_stream(spark, sf_dir)).awaitTermination()
+    return ledger.spend().select("month", "category", _dbl("spent"), "txns")
+
+
+def stream_daily(spark, sf_dir):
+    """T3 in append form: spend of the days that the watermark has closed."""
+    from ledgerlens.streaming.ingest import clean_event_stream, run_available
+    from ledgerlens.streaming.spend import by_category, daily_spend_stream
+
+    days = run_available(daily_spend_stream(clean_event_stream(spark, sf_dir)), spark, "stream-daily")
+    return by_category(days, _event_batch_star(spark, sf_dir)).select("day", "category", _dbl("spent"), "txns")
+
+
 # -- sources and warehouse ----------------------------------------------------------------------
 
 def search_log_regex(spark, sf_dir):
@@ -549,6 +570,8 @@ QUERIES.update({
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,
     "stream_monthly": stream_monthly,
+    "stream_spend_ledger": stream_spend_ledger,
+    "stream_daily": stream_daily,
 })
 
 

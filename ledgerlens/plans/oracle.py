@@ -487,6 +487,11 @@ td AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE day(transaction_date) =
     S["stream_monthly"] = events_sql(
         "SELECT d.year_month AS month, m.category, CAST(abs(sum(d.amount)) AS DOUBLE) AS spent, count(*) AS txns "
         "FROM e_dedup d JOIN e_merchants m ON d.merchant_name = m.merchant WHERE d.amount < 0 GROUP BY 1, 2")
+    S["stream_spend_ledger"] = S["stream_monthly"]
+    S["stream_daily"] = events_sql(
+        "SELECT CAST(d.s1 AS DATE) AS day, m.category, CAST(-sum(d.amount) AS DOUBLE) AS spent, count(*) AS txns "
+        "FROM e_dedup d JOIN e_merchants m ON d.merchant_name = m.merchant WHERE d.amount < 0 "
+        "AND date_trunc('day', d.s1) + INTERVAL 3 DAY <= (SELECT max(s1) FROM e_clean) GROUP BY 1, 2")
     S.update(_beyond())
     return S
 
