@@ -505,6 +505,37 @@ def statement_files(spark, sf_dir):
     return clean.select("transaction_date", "year_month", _dbl("amount"), "description", "transaction_code", "merchant_name", "transaction_hash")
 
 
+def bank_layouts(spark, sf_dir):
+    """Statement files of three banks in one folder, read into the default columns and cleaned."""
+    from ledgerlens.functions.dates import parse_mixed_date
+    from ledgerlens.operators.clean import clean_statements
+    from ledgerlens.session import staging_path
+    from ledgerlens.sources.layouts import MARKER_LAYOUT, SIGNED_LAYOUT
+    from ledgerlens.sources.statements import read_layouts
+
+    raw = testdata.raw_statements(spark, sf_dir).drop("seq")
+    root = staging_path(spark, "bank-layouts")
+    out, into, code = F.col("Withdrawal Amount"), F.col("Deposit Amount"), F.col("Transaction Code")
+    own = F.when(code == "", "marker").when(F.col("account_id") % 2 == 0, "signed").otherwise("columns")
+    date = F.col("Transaction Date")
+    turned = F.when(out.startswith("-"), F.substring(out, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), out))
+    signed, marked = SIGNED_LAYOUT.columns, MARKER_LAYOUT.columns
+    tables = {
+        "columns": [F.col(c) for c in raw.columns if c != "account_id"],
+        "signed": [code.alias(signed["code"]), date.alias(signed["date"]), F.col("Description").alias(signed["description"]),
+                   F.when(out == "", into).otherwise(turned).alias(signed["amount"])],
+        # This bank writes the month first; dates that cannot be read stay as they are.
+        "marker": [F.coalesce(F.date_format(parse_mixed_date(date), "MM/dd/yyyy"), date).alias(marked["date"]),
+                   F.col("Description").alias(marked["description"]),
+                   F.when(out == "", "CR").otherwise("DR").alias(marked["marker"]),
+                   F.when(out == "", into).otherwise(out).alias(marked["amount"])],
+    }
+    for name, columns in tables.items():
+        raw.where(own == name).select(*columns).write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
+    clean = clean_statements(read_layouts(spark, [f"{root}/{name}" for name in tables], with_order=False))
+    return clean.select("transaction_date", "year_month", _dbl("amount"), "description", "transaction_code", "merchant_name", "transaction_hash")
+
+
 def code_list_file(spark, sf_dir):
     """A code list written as text from the documents, read back and seeded into a warehouse."""
     from ledgerlens.operators.load import Warehouse
@@ -563,6 +594,7 @@ QUERIES.update({
     "search_log_regex": search_log_regex,
     "rule_table_match": rule_table_match,
     "statement_files": statement_files,
+    "bank_layouts": bank_layouts,
     "code_list_file": code_list_file,
     "warehouse_view": warehouse_view,
     "warehouse_reports": warehouse_reports,

@@ -450,6 +450,7 @@ UNION ALL SELECT 'transaction_code', count(*) FROM transactions t WHERE t.transa
         f"OR coalesce(regexp_matches(description, {pattern}, 'i'), false))"))
     S["rule_table_match"] = S["keyword_category"]
     S["statement_files"] = S["clean_transactions"]
+    S["bank_layouts"] = S["clean_transactions"]
     one_line = "trim(regexp_replace(text, '[^!-~]+', ' ', 'g'))"
     S["code_list_file"] = (f"SELECT upper('D' || CAST(doc_id AS VARCHAR)) AS code, COALESCE("
                            f"{sql_first_group_match('lower(line)', D.CODE_RULES)}, {q(D.UNCATEGORISED)}) AS category "

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.sources.layouts import LAYOUTS, Layout, detect, to_default_columns
 from ledgerlens.sources.parallelism import ensure_parallelism
 
 
@@ -44,9 +47,36 @@ def read_statements(spark: SparkSession, path: str | list[str], with_order: bool
     return ensure_parallelism(out.na.fill(""))
 
 
-def _read_layout(spark: SparkSession, files: list[str], with_order: bool, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    names = reader.option("inferSchema", False).csv(files[:1]).columns
+def read_layouts(spark: SparkSession, path: str | list[str], layouts: Sequence[Layout] = LAYOUTS,
+                 with_order: bool = True, multi_line: bool = False) -> DataFrame:
+    """Read statement CSV files of several banks into the default columns, all as text.
+
+    Each file's layout is found from its first line (see ``layouts.detect``; the order of columns
+    and further columns do not matter where there is a header), files of one header line are read
+    together, and so are files without a header of one layout. A file of no known layout raises
+    ``UnknownLayoutError`` before any row is read."""
+    groups: dict[tuple, tuple[Layout, list[str]]] = {}
+    for line, files in header_lines(spark, path).items():
+        layout, has_header = detect(line, files[0], layouts)
+        groups.setdefault((layout.name, line if has_header else None), (layout, []))[1].extend(files)
+    parts = []
+    for (_, line), (layout, files) in groups.items():
+        names = None if line is not None else [layout.columns[p] for p in layout.order]
+        parts.append(to_default_columns(_read_layout(spark, files, with_order, multi_line, names), layout))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return ensure_parallelism(out.na.fill(""))
+
+
+def _read_layout(spark: SparkSession, files: list[str], with_order: bool, multi_line: bool,
+                 names: list[str] | None = None) -> DataFrame:
+    """Files of one header line, or files without one whose columns are ``names``."""
+    reader = spark.read.option("header", names is None).option("escape", '"').option("multiLine", multi_line)
+    if names is None:
+        names = reader.option("inferSchema", False).csv(files[:1]).columns
     broken = "_broken_line"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, broken]])
     df = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).csv(files)
