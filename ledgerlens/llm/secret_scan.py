@@ -137,10 +137,46 @@ def candidates(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
     return reduce(np.intersect1d if query[0] == "and" else np.union1d, each)
 
 
-def index_segment(texts: list[bytes], grams: set[str]) -> dict[str, np.ndarray]:
-    """Inverted index of lower-cased texts, restricted to the trigrams that queries use."""
-    low = [t.translate(LOWER) for t in texts]
-    return {g: np.flatnonzero([g.encode() in t for t in low]) for g in sorted(grams)}
+_CHUNK = 1 << 20
+
+
+def _code(gram: str) -> int:
+    """Number of a trigram's first three bytes (all of it but for letters beyond ASCII)."""
+    return int.from_bytes(gram.encode()[:3], "big")
+
+
+def wanted_trigrams(grams: set[str]) -> np.ndarray:
+    """A table over all three-byte numbers (16 MB a worker): which of them queries use."""
+    table = np.zeros(1 << 24, dtype=bool)
+    table[[_code(g) for g in grams]] = True
+    return table
+
+
+def index_segment(texts: list[bytes], grams: set[str], wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Inverted index of lower-cased texts, restricted to the trigrams that queries use: every
+    text's trigrams are taken once and looked up in ``wanted``, so the work follows the bytes of
+    the texts and not the number of rules. Long runs of texts go through in chunks."""
+    wanted = wanted_trigrams(grams) if wanted is None else wanted
+    # Two zero bytes end each text, so no trigram of letters spans two texts.
+    ends = np.cumsum([len(t) + 2 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
+    whole = np.frombuffer(b"".join(t.translate(LOWER) + b"\0\0" for t in texts), dtype=np.uint8)
+    codes, owners = [], []
+    for lo in range(0, max(len(whole) - 2, 0), _CHUNK):
+        part = whole[lo : lo + _CHUNK + 2].astype(np.uint32)
+        code = (part[:-2] << 16) | (part[1:-1] << 8) | part[2:]
+        at = np.flatnonzero(wanted[code])
+        pairs = np.unique(np.stack([code[at].astype(np.int64), np.searchsorted(ends, at + lo, side="right")], axis=1), axis=0)
+        codes.append(pairs[:, 0])
+        owners.append(pairs[:, 1])
+    code, owner = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (codes, owners))
+    order = np.lexsort((owner, code))
+    code, owner = code[order], owner[order]
+
+    def posting(gram):
+        lo, hi = np.searchsorted(code, [_code(gram), _code(gram) + 1])
+        return np.unique(owner[lo:hi])
+
+    return {g: posting(g) for g in sorted(grams)}
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -150,10 +186,11 @@ def _scan(rules: tuple[Rule, ...]):
     def run(batches):
         queries = [trigram_query(r.pattern) for r in rules]
         grams = set().union(*(trigrams(q) for q in queries))
+        wanted = wanted_trigrams(grams)
         patterns = [re.compile(r.pattern, re.ASCII) for r in rules]
         for b in batches:
             texts = [t or b"" for t in text_bytes(b.column("text"))]
-            postings = index_segment(texts, grams)
+            postings = index_segment(texts, grams, wanted)
             found: list[list] = [[] for _ in texts]
             decoded: dict[int, str] = {}
             for order, (rule, query, pattern) in enumerate(zip(rules, queries, patterns, strict=True)):

@@ -64,3 +64,27 @@ def test_every_match_satisfies_its_query(case):
     query = secret_scan.trigram_query(pattern)
     postings = secret_scan.index_segment([text.encode("utf-8", "surrogatepass")], secret_scan.trigrams(query))
     assert len(secret_scan.candidates(query, postings, 1)) == 1
+
+
+def test_index_equals_substring_search(monkeypatch):
+    monkeypatch.setattr(secret_scan, "_CHUNK", 7)  # trigrams across chunk borders, texts over several chunks
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcABC é\0") for _ in range(rnd.choice([0, 1, 2, 3, 5, 40]))).encode() for _ in range(80)]
+    grams = {a + b + c for a in "abc" for b in "abc" for c in "abc"} | {"é a", "zzz"}
+    got = secret_scan.index_segment(texts, grams)
+    lower = [t.translate(secret_scan.LOWER) for t in texts]
+    assert set(got) == grams
+    for g in grams:
+        # Beyond ASCII the first three bytes are looked up, which every text with the letters holds.
+        assert got[g].tolist() == [i for i, t in enumerate(lower) if g.encode()[:3] in t]
+    assert all(len(v) == 0 for v in secret_scan.index_segment([], grams).values())
+    assert secret_scan.index_segment([b"abc"], set()) == {}
+
+
+def test_one_very_long_text_among_many(spark):
+    long = "x " * 700_000 + TEXTS[0] + " y" * 700_000 + TEXTS[2]
+    rows = [(i, "plain words", None, None, None) for i in range(300)] + [(300, long, None, None, None), (301, TEXTS[0], None, None, None)]
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert out[300] == plain(long, rules) and out[301] == plain(TEXTS[0], rules) and len(out[300]) == 4
+    assert all(out[i] == [] for i in range(300))
