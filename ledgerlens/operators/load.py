@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens import defaults as D
 from ledgerlens import schemas as S
 from ledgerlens.operators.categorise import CODE_CATEGORY, classify_codes, lookup_codes, stored_code
-from ledgerlens.operators.clean import clean_statements, dedup_first
+from ledgerlens.operators.clean import clean_first
 from ledgerlens.operators.dimension import first_writer_categories
 from ledgerlens.operators.joins import broadcast_if_small, with_known_rows
 from ledgerlens.operators.rollups import default_budgets
@@ -36,10 +36,9 @@ FACT_COLUMNS = [
 def prepare_batch(raw: DataFrame, codes: DataFrame, observation: Observation | None = None,
                   strip_thousands: bool = False) -> DataFrame:
     """Cleaned, de-duplicated (first row per fingerprint) batch rows with the code-table
-    category of each row's code (a broadcast lookup done before the dedup shuffle). The
-    keyword cascade runs later, on one row per new merchant."""
-    clean = clean_statements(raw, strip_thousands=strip_thousands, observation=observation)
-    return dedup_first(lookup_codes(clean, codes))
+    category of each row's code (a broadcast lookup). The keyword cascade runs later, on one
+    row per new merchant."""
+    return lookup_codes(clean_first(raw, strip_thousands=strip_thousands, observation=observation), codes)
 
 
 def batch_facts(batch: DataFrame) -> DataFrame:
@@ -52,14 +51,18 @@ def batch_facts(batch: DataFrame) -> DataFrame:
 
 
 def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months: bool = True) -> DataFrame:
-    """Batch facts whose fingerprint is not stored yet (left anti join on month + fingerprint).
+    """Batch facts whose fingerprint is not stored yet.
 
     The fingerprint covers the date, so equal fingerprints have equal months. With
     ``prune_months`` the stored table is first restricted to the batch's months (one row per
     calendar month reaches the driver), which a table partitioned by ``year_month`` answers by
     listing only those partition folders: a daily batch reads a month or two of a many-year
     fact table, and one stray old date adds one month. Call it on a stored (staged) batch; the
-    months are computed with one small job."""
+    months are computed with one small job.
+
+    Only fingerprints are shuffled to count the stored rows: a first load (none of its rows stored)
+    and a repeat (all of them) need no more. A mixed batch takes a left anti join on month and
+    fingerprint."""
     facts = batch_facts(batch)
     if existing is None:
         return facts
@@ -69,7 +72,15 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months:
         if not months:
             return facts.limit(0)
         stored = stored.filter(F.col("year_month").isin(months))
-    return facts.join(stored, ["year_month", "transaction_hash"], "left_anti").select(*FACT_COLUMNS)
+    if stored.isEmpty():
+        return facts
+    key = ["year_month", "transaction_hash"]
+    known = facts.select(*key).join(stored, key, "left_semi").count()
+    if known == 0:
+        return facts
+    if known == facts.count():
+        return facts.limit(0)
+    return facts.join(stored, key, "left_anti").select(*FACT_COLUMNS)
 
 
 def new_merchants(batch: DataFrame, existing: DataFrame | None, keywords=None) -> DataFrame:
@@ -192,7 +203,7 @@ class Warehouse:
         obs = Observation("clean")
         batch = prepare_batch(raw, self.read("codes"), observation=obs, strip_thousands=strip_thousands)
         stage = staging_path(self.spark, "batch")
-        batch.write.mode("overwrite").parquet(stage)  # cuts lineage; `seq` is fixed from here on
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(stage)  # cuts lineage; `seq` is fixed from here on
         metrics = obs.get
         staged = self.spark.read.parquet(stage)
         merchants = new_merchants(staged, self.read("merchants"), self.keywords)
@@ -313,7 +324,7 @@ class Warehouse:
         by month, so a month gets few files and a large month several tasks."""
         seen = Observation("facts")
         rows = facts.hint("rebalance", "year_month").observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("append").partitionBy("year_month").parquet(self.path("transactions"))
+        rows.write.mode("append").option("compression", "zstd").partitionBy("year_month").parquet(self.path("transactions"))
         return seen.get.get("n", 0)
 
     def _append_staged(self, df: DataFrame, table: str) -> int:
