@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens import defaults as D
 from ledgerlens import schemas as S
 from ledgerlens.operators.categorise import CODE_CATEGORY, classify_codes, lookup_codes, stored_code
-from ledgerlens.operators.clean import clean_first
+from ledgerlens.operators.clean import clean_first, with_fingerprint
 from ledgerlens.operators.dimension import first_writer_categories
 from ledgerlens.operators.joins import broadcast_if_small, with_known_rows
 from ledgerlens.operators.rollups import default_budgets
@@ -75,7 +75,7 @@ def new_transactions(batch: DataFrame, existing: DataFrame | None, prune_months:
     if stored.isEmpty():
         return facts
     key = ["year_month", "transaction_hash"]
-    known = facts.select(*key).join(stored, key, "left_semi").count()
+    known = facts.select("transaction_hash").join(stored.select("transaction_hash"), "transaction_hash", "left_semi").count()
     if known == 0:
         return facts
     if known == facts.count():
@@ -203,20 +203,19 @@ class Warehouse:
         obs = Observation("clean")
         batch = prepare_batch(raw, self.read("codes"), observation=obs, strip_thousands=strip_thousands)
         stage = staging_path(self.spark, "batch")
-        batch.write.mode("overwrite").option("compression", "zstd").parquet(stage)  # cuts lineage; `seq` is fixed from here on
+        batch.drop("transaction_hash", "account_id").write.mode("overwrite").option("compression", "zstd").parquet(stage)  # cuts lineage; `seq` is fixed from here on
         metrics = obs.get
-        staged = self.spark.read.parquet(stage)
+        staged = with_fingerprint(self.spark.read.parquet(stage))
         merchants = new_merchants(staged, self.read("merchants"), self.keywords)
         n_merchants = self._append_staged(merchants, "merchants")
         # Get-or-create for categories: a category named by the rules but not stored yet is added.
         named = self.read("merchants").select(F.col("category").alias("name")).distinct()
         missing = named.join(self.read("categories").select("name"), "name", "left_anti")
         self._append_staged(missing.select(F.xxhash64("name").alias("category_id"), "name"), "categories")
-        facts = new_transactions(staged, self.read("transactions")).withColumn("created_at", F.current_timestamp())
+        facts = new_transactions(staged, self.read("transactions"))
         # Every merchant of the batch is stored now; attach its (immutable) category.
         merchant_cats = self.read("merchants").select("merchant", "category")
-        facts = facts.join(merchant_cats, "merchant").select(*[f.name for f in S.TRANSACTIONS.fields])
-        inserted = self._append_facts(facts)
+        inserted = self._append_facts(facts.join(merchant_cats, "merchant"))
         batch_rows = staged.count()
         drop_staged(self.spark, stage)  # every row of the batch is stored now
         kept = metrics.get("raw_rows", 0) - metrics.get("bad_dates", 0) - metrics.get("zero_amounts", 0)
@@ -321,10 +320,12 @@ class Warehouse:
     def _append_facts(self, facts: DataFrame) -> int:
         """Append fact rows in one pass; the count is observed while they are written. An append
         only adds files, and the plan reads the files listed before it. The rows are rebalanced
-        by month, so a month gets few files and a large month several tasks."""
+        by month, so a month gets few files and a large month several tasks; their fingerprint, the
+        column that compresses least, is taken again behind that shuffle."""
         seen = Observation("facts")
-        rows = facts.hint("rebalance", "year_month").observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("append").option("compression", "zstd").partitionBy("year_month").parquet(self.path("transactions"))
+        rows = facts.drop("transaction_hash").hint("rebalance", "year_month").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = with_fingerprint(rows).withColumn("created_at", F.current_timestamp())
+        rows.select(*[f.name for f in S.TRANSACTIONS.fields]).write.mode("append").option("compression", "zstd").partitionBy("year_month").parquet(self.path("transactions"))
         return seen.get.get("n", 0)
 
     def _append_staged(self, df: DataFrame, table: str) -> int:

@@ -92,3 +92,32 @@ def test_star_view_scans_the_input_once(spark):
     # the view reads the staged batch (written once), not lineitem again per branch
     assert "lineitem" not in plan
     assert plan.count("FileScan parquet") >= 2 and "star-batch" in plan
+
+
+def test_first_rows_carry_the_order_once_and_nothing_derived(spark):
+    """The dedup shuffle holds no merchant, month or fingerprint; the first row of each fingerprint wins."""
+    from ledgerlens.operators.clean import clean_first, first_rows, typed_rows
+
+    rows = [("01/02/2025", "GRAB* FOOD", "5.00", "", "POS", (2, 1)), ("2025-02-01", " grab* food ", "5", "", "MST", (1, 9)),
+            ("2025-02-01", "GRAB* FOOD", "6.00", "", "", (0, 0))]
+    names = ["Transaction Date", "Description", "Withdrawal Amount", "Deposit Amount", "Transaction Code"]
+    raw = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names) + ", seq struct<a int, b int> not null")
+    kept = first_rows(typed_rows(raw))
+    assert not {"merchant_name", "year_month", "transaction_hash"} & set(kept.columns)
+    assert sorted((str(r.amount), r.transaction_code, tuple(r.seq)) for r in kept.collect()) == [("-5.00", "MST", (1, 9)), ("-6.00", None, (0, 0))]
+    old = dedup_first(clean_first(raw))
+    assert sorted(map(str, old.collect())) == sorted(map(str, clean_first(raw).collect()))
+
+
+def test_repeat_and_first_loads_join_no_whole_rows(spark):
+    """A batch that is stored as a whole, or not at all, is answered without a join of its rows."""
+    from ledgerlens.operators.load import new_transactions
+
+    facts = spark.sql("""select sha2(string(id), 256) transaction_hash, date'2025-01-01' transaction_date, '2025-01' year_month,
+        cast(id as decimal(28,2)) amount, 'D' description, 'M' merchant_name, 'POS' transaction_code from range(9)""")
+    plans = {}
+    for name, old in (("all", facts), ("none", facts.where("false")), ("other", facts.select("year_month", facts.amount.cast("string").alias("transaction_hash"))),
+                      ("some", facts.where("amount < 4"))):
+        new = new_transactions(facts, old)
+        plans[name] = (new.count(), "Join" in new._jdf.queryExecution().optimizedPlan().toString())
+    assert plans == {"all": (0, False), "none": (9, False), "other": (9, False), "some": (5, True)}
