@@ -13,8 +13,8 @@ reaches a threshold. The join is exact (up to 64-bit hash equality):
    group. A slot that many sets of one batch hold is dealt to many tasks.
 2. **Token-group matrix.** A block keeps the union of its members' slots (token combinations)
    and, where it is compared, of their tokens, as an inverted list token -> members.
-3. **Bound.** A query set meets a block only if the block's union holds as many of its slots as
-   a link needs. Then the number of its tokens that lie in the block's union bounds its overlap
+3. **Bound.** A query set meets a block only if the block's union holds one of its rarest slots (all
+   but as many of the most frequent ones as a link can do without, so a link always shares one). Then the number of its tokens that lie in the block's union bounds its overlap
    with every member; below the needed overlap the block stays closed.
 4. **Open.** In a qualifying block the overlaps with all members come from the inverted list and
    are compared with the threshold in whole numbers. Links are merged at once in a union-find,
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import LOWER, bounded_batches, gram_hashes, mix, stage, text_bytes, text_key, word_hashes, word_table
@@ -451,11 +451,26 @@ def _compared(base: DataFrame, nodes: DataFrame, members: DataFrame, asks: DataF
     )
 
 
+def _rarest(asking: DataFrame, matrix: DataFrame) -> DataFrame:
+    """The slots that a set looks for blocks by. A link shares ``need`` of them (see the tag), so all
+    but the need - 1 that most blocks hold do: one of those it shares is among the others. A
+    passage that many sets hold is matched only where it fills a text; slots that no other block
+    to be asked holds are left out first."""
+    zero = F.when(F.col("to_rank") == 0, F.col("to_grp"))
+    reach = matrix.groupBy("key").agg(F.count("*").alias("_held"), F.max("to_rank").alias("_top"), F.min(zero).alias("_low"))
+    other = (F.col("_low") < F.col("grp")) | ((F.col("_low") == F.col("grp")) & (F.col("_held") > 1))
+    asking = asking.join(reach, "key").where((F.col("_top") > F.col("rank")) | ((F.col("rank") == 0) & other))
+    own = Window.partitionBy("sig", "tag")
+    asking = asking.withColumns({"_often": F.row_number().over(own.orderBy(F.desc("_held"), "key")), "_slots": F.count("*").over(own)})
+    need = F.col("tag") % _NEED
+    return asking.where((F.col("_slots") >= need) & (F.col("_often") >= need)).drop("_held", "_top", "_low", "_often", "_slots")
+
+
 def _asked(asking: DataFrame, matrix: DataFrame, which) -> DataFrame:
-    """The matrix of blocks and slots: a set asks a block that holds as many of its slots as any
-    link needs. (sig, grp, block)."""
-    meets = asking.join(matrix, "key").where(which).groupBy("sig", "tag", "to_grp", "to_block").agg(F.count("*").alias("c"))
-    return meets.where(f"c >= tag % {_NEED}").select("sig", F.col("to_grp").alias("grp"), F.col("to_block").alias("block")).distinct()
+    """The matrix of blocks and slots: a set asks a block that holds one of its rarest slots.
+    (sig, grp, block)."""
+    meets = _rarest(asking, matrix).join(matrix, "key").where(which)
+    return meets.select("sig", F.col("to_grp").alias("grp"), F.col("to_block").alias("block")).distinct()
 
 
 def _forest(base: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, num: int, den: int, every_link: bool) -> DataFrame:
@@ -501,9 +516,7 @@ def _forest(base: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, num: int
     one_side = (F.col("to_rank") > F.col("rank")) | ((F.col("to_rank") == 0) & (F.col("rank") == 0) & (to < at))
     large = own.where("rank > 0")
     chosen = large.groupBy("comp", F.pmod(F.xxhash64("sig"), F.lit(LEADS)).alias("i")).agg(F.min("sig").alias("sig")).select("sig")
-    top = held.groupBy("key").agg(F.max("rank").alias("top"))
-    rising = held.join(top, "key").where("rank = 0 or rank < top").drop("top")
-    asking = rising.where("rank = 0").unionByName(rising.where("rank > 0").join(chosen, "sig", "left_semi"))
+    asking = held.where("rank = 0").unionByName(held.where("rank > 0").join(chosen, "sig", "left_semi"))
     asks = _asked(asking, matrix, one_side)
     found = _compared(base, facts, members, stage(asks, "asks"), k, num, den, "blocks")
     links = found if links is None else links.unionByName(found)
@@ -515,7 +528,7 @@ def _forest(base: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, num: int
     labels = stage(large.select("comp").distinct().join(labels, "comp"), "large")
     slots = held.where("rank > 0").join(labels, "comp")
     apart = slots.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    asking = slots.join(apart, "key", "left_semi").join(top, "key").where("rank < top").join(chosen, "sig", "left_anti")
+    asking = slots.join(apart, "key", "left_semi").join(chosen, "sig", "left_anti")
     targets = matrix.where("to_rank > 0").join(labels.select(F.col("comp").alias("to_comp"), F.col("label").alias("to_label")), "to_comp")
     rest = stage(_asked(asking, targets, (F.col("to_rank") > F.col("rank")) & (F.col("to_label") != F.col("label"))), "rest")
     if rest.isEmpty():

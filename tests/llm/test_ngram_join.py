@@ -64,6 +64,17 @@ def test_a_family_of_a_third_of_all_rows(spark, monkeypatch):
     assert asked[0] <= len(rows) and sum(asked[1:]) <= 100  # 300 sets in 19 blocks would ask some 2,800 times
 
 
+def test_sets_are_matched_on_their_rarest_slots(spark):
+    """40 sets with two common slots are never matched on these; linked ones keep a shared slot."""
+    held = [(k, i, 3, i, 0, 0) for i in range(40) for k in (1, 2, 100 + i // 2, 200 + i // 2)]
+    held = spark.createDataFrame(held, "key long, sig long, tag int, grp long, block int, rank long")
+    matrix = held.selectExpr("key", "grp as to_grp", "block as to_block", "rank as to_rank").distinct()
+    rows = ngram_join._rarest(held, matrix).collect()
+    assert sorted((r.sig, r.key) for r in rows) == sorted((i, k) for i in range(40) for k in (100 + i // 2, 200 + i // 2))
+    asks = ngram_join._asked(held, matrix, "to_grp < grp").collect()
+    assert sorted((r.sig, r.grp) for r in asks) == [(i, i - 1) for i in range(1, 40, 2)]
+
+
 def test_edge_rows_and_empty_table(spark):
     rows = edge_rows()
     same(frame(spark, rows, clash=True), rows, 3, 90)
