@@ -7,10 +7,10 @@ from ledgerlens.functions.hashing import transaction_hash
 from ledgerlens.functions.merchant import normalise_merchant
 from ledgerlens.functions.money import money_label, percent_label, ratio_half_even, mean_half_up
 from ledgerlens.functions.rules import first_group_match, first_match, rule_groups
-from ledgerlens.functions.text import blank_to_null, clean_upper, ustrip
+from ledgerlens.functions.text import blank_to_null, clean_upper, strip_cell, ustrip
 
 __all__ = [
     "blank_to_null", "clean_upper", "first_group_match", "first_match", "mean_half_up",
     "money_label", "normalise_merchant", "parse_amount", "parse_mixed_date", "percent_label",
-    "ratio_half_even", "rule_groups", "transaction_hash", "ustrip",
+    "ratio_half_even", "rule_groups", "strip_cell", "transaction_hash", "ustrip",
 ]
