@@ -290,14 +290,22 @@ class Warehouse:
     FOLD = "fold-staging"
 
     def _finish_fold(self) -> None:
-        """Let a complete copy of rewritten months replace them; drop an incomplete one."""
+        """Let a complete copy of rewritten months replace them; drop an incomplete one. The files of the
+        copy become the table's, month by month, without being written again: a month that the
+        copy no longer holds is in place already, so a stop at any point is finished by the next call."""
         if not self._path_exists(self.path(self.FOLD)):
             return
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        copy = Path(self.path(self.FOLD))
+        fs = copy.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if self._path_exists(self.path(self.FOLD) + "/_SUCCESS"):
-            copy = self.spark.read.schema(S.TRANSACTIONS).parquet(self.path(self.FOLD))
-            copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(self.path("transactions"))
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(self.FOLD))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            for month in [f.getPath() for f in fs.listStatus(copy) if f.isDirectory()]:  # one folder per calendar month
+                place = Path(self.path("transactions"), month.getName())
+                fs.delete(place, True)
+                if not fs.rename(month, place):
+                    raise OSError(f"{month} could not be moved to {place}")
+            self.spark.catalog.refreshByPath(self.path("transactions"))
+        fs.delete(copy, True)
 
     def save_budgets(self, budgets: DataFrame) -> None:
         """Replace the budget table."""

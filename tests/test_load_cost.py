@@ -44,3 +44,47 @@ def test_cells_are_stripped_like_python_does(spark):
     cells = [a + t + b for t in inner for a in ends for b in ends] + [None]
     out = spark.createDataFrame([(c,) for c in cells], "c string").select("c", strip_cell(F.col("c")).alias("s")).collect()
     assert len(out) == len(cells) and all(r.s == (None if r.c is None else r.c.strip()) for r in out)
+
+
+def _folded_copy(spark, workdir, monkeypatch):
+    """A warehouse whose fold stops once its copy is complete, and the file names of that copy."""
+    import glob
+    import os
+
+    from ledgerlens.operators.load import Warehouse
+
+    wh = Warehouse(spark, f"{workdir}/wh")
+    wh.initialise()
+    raw = [(f"2024-0{1 + n % 3}-05", f"SHOP {n % 2}", f"{n}.50", "", None, 1, (n,)) for n in range(12)]
+    wh.load_statements(spark.createDataFrame(raw, HEADERS))
+    wh.set_overrides(spark.createDataFrame([("SHOP 1", "Side Business")], "merchant string, category string"))
+    with monkeypatch.context() as m:
+        m.setattr(Warehouse, "_finish_fold", lambda self: None)
+        assert wh.fold_overrides() == ["2024-01", "2024-02", "2024-03"]
+    return wh, {os.path.basename(f) for f in glob.glob(f"{wh.path(wh.FOLD)}/year_month=*/*.parquet")}
+
+
+def test_a_fold_writes_its_months_once(spark, workdir, monkeypatch):
+    import glob
+    import os
+
+    wh, copied = _folded_copy(spark, workdir, monkeypatch)
+    wh._finish_fold()
+    assert copied and {os.path.basename(f) for f in glob.glob(f"{wh.path('transactions')}/year_month=*/*.parquet")} == copied
+    assert not os.path.exists(wh.path(wh.FOLD))
+    rows = wh.read("transactions").collect()
+    assert len(rows) == 12 and {r.category for r in rows if r.merchant == "SHOP 1"} == {"Side Business"}
+    assert wh.fold_overrides() == []
+
+
+def test_a_replacement_that_stops_between_months_is_finished(spark, workdir, monkeypatch):
+    import shutil
+
+    wh, _ = _folded_copy(spark, workdir, monkeypatch)
+    want = sorted(map(tuple, wh.view().drop("created_at").collect()), key=str)
+    shutil.rmtree(f"{wh.path('transactions')}/year_month=2024-01")  # one month is in place already,
+    shutil.move(f"{wh.path(wh.FOLD)}/year_month=2024-01", wh.path("transactions"))
+    shutil.rmtree(f"{wh.path('transactions')}/year_month=2024-02")  # the next is taken away and not replaced yet
+    wh._finish_fold()
+    assert sorted(map(tuple, wh.view().drop("created_at").collect()), key=str) == want
+    assert wh.fold_overrides() == []
